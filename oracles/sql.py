@@ -104,13 +104,14 @@ CTES: dict[str, str] = {
         {QTY} AS quantity, ['size','fit','quality','changed_mind','damaged'][1 + l_linenumber % 5] AS reason,
         CASE WHEN l_orderkey % 509 = 0 THEN '{{"legacy":"1"}}' END AS _rescued_data
         FROM lineitem WHERE l_returnflag = 'R'""",
+    "first_sales": "SELECT transaction_id, MIN(sale_date) AS sale_date FROM good_sales GROUP BY 1",
     "checked_returns": """SELECT r.*, r.returned_at - s.sale_date AS days_to_return,
         concat_ws(',',
           CASE WHEN r._rescued_data IS NOT NULL THEN 'no_rescued_fields' END,
           CASE WHEN s.transaction_id IS NULL THEN 'matched_to_sale' END,
           CASE WHEN r.quantity <= 0 THEN 'positive_quantity' END,
           CASE WHEN r.returned_at < s.sale_date THEN 'returned_after_sale' END) AS violations
-        FROM raw_returns r LEFT JOIN good_sales s ON r.transaction_id = s.transaction_id""",
+        FROM raw_returns r LEFT JOIN first_sales s ON r.transaction_id = s.transaction_id""",
     "good_returns": "SELECT * FROM checked_returns WHERE violations = ''",
     "lines_held": """SELECT DISTINCT l_partkey, l_suppkey, (l_partkey * 13 + l_suppkey * 7) % 61 AS b FROM lineitem""",
     "raw_inventory": """SELECT d.day AS snapshot_date, CAST(l_partkey AS VARCHAR) AS sku,

@@ -1,16 +1,19 @@
 """The shopping bag as a fold over its ordered events.
 
 The outcome depends on order: a line enters only while the bag has room, so a removal decides
-whether a later SKU fits. Two passes keep that exact without gathering a bag anywhere:
-
-1. events are range-partitioned by bag *and time*, so a bag with very many events is spread
-   over many tasks, and each task replaces its stretch by a shorter one with the same effect;
-2. what is left is sorted per bag and folded in one stream that holds a single bag's lines.
+whether a later SKU fits, and a bag cannot be split by SKU. It can be split in time. Events
+are range-partitioned by bag and moment into pieces of even size; a bag with very many events
+becomes a chain of pieces. All pieces are folded at once, the later ones of a chain from a
+guessed start, and a piece whose start turns out different from the guess is folded again.
+When no start changes any more the result is the one a single pass would have produced.
+Pieces forget their start as soon as the lines they began with are removed or replaced, so a
+few rounds are the rule; one more piece of every chain is final after each round in any case.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from selvedge.session import stage
+
 # The helpers below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,96 +30,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_LINES = 20
 MAX_QUANTITY = 10
 
-_KEPT_SKUS = 10_000
-_EVENT = ["bag_id", "at", "seq", "op", "sku", "quantity"]
+_ORDER = ["bag_id", "at", "seq", "sku", "op"]
+_ROWS_PER_FRAME = 10_000
+
+Lines = list[tuple[str, int]]
 
 
 def _clean(events: DataFrame) -> DataFrame:
-    """Clamp quantities; setting a quantity of zero or less removes the line."""
-    quantity = F.coalesce("quantity", F.lit(0))
-    clamped = F.when(F.col("op") == "add", F.greatest(F.lit(1), F.least(F.lit(MAX_QUANTITY), quantity))).otherwise(
-        F.greatest(F.lit(0), F.least(F.lit(MAX_QUANTITY), quantity))
-    )
-    removes = (F.col("op") == "remove") | ((F.col("op") == "set") & (clamped == 0))
-    return events.filter(F.col("op").isin("add", "set", "remove") & (F.col("sku") != "")).select(
+    """Clamp quantities, turn setting zero into removal, and merge copies of an event.
+
+    Copies share their place in the order, so they combine before the shuffle: adding one
+    quantity several times is adding their sum, everything else is done by the first.
+    """
+    asked = F.greatest(F.lit(0), F.least(F.lit(MAX_QUANTITY), F.coalesce("quantity", F.lit(0))))
+    removes = (F.col("op") == "remove") | ((F.col("op") == "set") & (asked == 0))
+    quantity = F.when(removes, 0).when(F.col("op") == "add", F.greatest(F.lit(1), asked)).otherwise(asked)
+    valid = events.filter(F.col("op").isin("add", "set", "remove") & (F.col("sku") != ""))
+    merged = valid.groupBy(
         "bag_id",
         "at",
         F.col("seq").cast("bigint").alias("seq"),
-        F.when(removes, F.lit("remove")).otherwise(F.col("op")).alias("op"),
         "sku",
-        F.when(removes, F.lit(0)).otherwise(clamped).cast("bigint").alias("quantity"),
-    )
-
-
-class _Stretch:
-    """One bag's events between two removals, one summary per SKU.
-
-    Without removals the bag never gets room again, so a SKU turned away once stays out:
-    only its first add decides, and the rest merges into a quantity.
-    """
+        F.when(removes, F.lit("remove")).otherwise(F.col("op")).alias("op"),
+        quantity.cast("bigint").alias("quantity"),
+    ).agg(F.count(F.lit(1)).alias("copies"))
+    total = F.least(F.lit(MAX_QUANTITY), F.col("quantity") * F.least(F.col("copies"), F.lit(MAX_QUANTITY)))
+    added = F.when(F.col("op") == "add", total).otherwise(F.col("quantity"))
+    return merged.select(*_ORDER, added.cast("bigint").alias("quantity"))
 
-    def __init__(self, bag):
-        self.bag = bag
-        self.skus: dict[str, dict] = {}
-        self.absent: set[str] = set()
 
-    def feed(self, at, seq, op, sku, quantity, out: list) -> None:
-        seen = self.skus.get(sku)
-        entered = seen is not None and "entry" in seen
-        if op == "remove":
-            if sku in self.absent and not entered:
-                return
-            self.flush(out)
-            out.append((self.bag, at, seq, "remove", sku, 0))
-            self.absent.add(sku)
-            return
-        if op == "set" and not entered:
-            if sku not in self.absent:
-                self.skus.setdefault(sku, {})["before"] = (at, seq, quantity)
-        elif op == "set":
-            seen["after"] = (at, seq, quantity)
-        elif not entered:
-            self.skus.setdefault(sku, {})["entry"] = (at, seq, quantity)
-        else:
-            part = "after" if "after" in seen else "entry"
-            first_at, first_seq, total = seen[part]
-            seen[part] = (first_at, first_seq, min(MAX_QUANTITY, total + quantity))
-        if len(self.skus) > _KEPT_SKUS:
-            self.flush(out)
-
-    def flush(self, out: list) -> None:
-        for sku, seen in self.skus.items():
-            for part, op in (("before", "set"), ("entry", "add"), ("after", "set")):
-                if part in seen:
-                    at, seq, quantity = seen[part]
-                    out.append((self.bag, at, seq, op, sku, quantity))
-            if "entry" in seen:
-                self.absent.discard(sku)
-        self.skus.clear()
-        if len(self.absent) > _KEPT_SKUS:
-            self.absent.clear()
-
-
-def _rows(batches: Iterator[pd.DataFrame]):
-    for batch in batches:
-        yield from zip(*(batch[c].tolist() for c in _EVENT))
-
-
-def _shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out: list = []
-    stretch = None
-    for bag, *event in _rows(batches):
-        if stretch is None or stretch.bag != bag:
-            if stretch is not None:
-                stretch.flush(out)
-            stretch = _Stretch(bag)
-        stretch.feed(*event, out)
-        if len(out) >= _KEPT_SKUS:
-            yield pd.DataFrame(out, columns=_EVENT)
-            out = []
-    if stretch is not None:
-        stretch.flush(out)
-    yield pd.DataFrame(out, columns=_EVENT)
+def _held(state: DataFrame, events: DataFrame) -> DataFrame:
+    """An earlier result as the adds it consists of, before any event."""
+    return state.select(
+        "bag_id",
+        F.lit(None).cast(events.schema["at"].dataType).alias("at"),
+        F.col("line_no").cast("bigint").alias("seq"),
+        "sku",
+        F.lit("add").alias("op"),
+        F.col("quantity").cast("bigint").alias("quantity"),
+    )
 
 
 def _apply(lines: dict[str, int], op: str, sku: str, quantity: int, max_lines: int) -> None:
@@ -126,27 +80,60 @@ def _apply(lines: dict[str, int], op: str, sku: str, quantity: int, max_lines: i
         lines[sku] = quantity
 
 
-def _folder(max_lines: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["bag_id", "line_no", "sku", "quantity"]
+def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines]) -> DataFrame:
+    """The lines of every piece's bags at its end, streamed with one bag's lines in memory.
+
+    ``edge`` marks the first and last bag of a piece, the only ones that can reach into
+    another piece; each such bag has a row ``line_no`` = 0 even when it ends up empty.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bag_id", "piece", "edge", "line_no", "sku", "quantity"]
         out: list = []
-        current, lines = None, {}
-
-        def close():
-            out.extend((current, n, sku, quantity) for n, (sku, quantity) in enumerate(lines.items(), 1))
-
-        for bag, _at, _seq, op, sku, quantity in _rows(batches):
-            if bag != current:
-                close()
-                current, lines = bag, {}
-                if len(out) >= _KEPT_SKUS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            _apply(lines, op, sku, quantity, max_lines)
-        close()
+        piece = bag = None
+        lines: dict[str, int] = {}
+        first = False
+
+        def close(edge: bool) -> None:
+            if bag is None:
+                return
+            if edge:
+                out.append((bag, piece, True, 0, None, 0))
+            out.extend((bag, piece, edge, n, sku, quantity) for n, (sku, quantity) in enumerate(lines.items(), 1))
+
+        for frame in frames:
+            wanted = ["piece", "bag_id", "op", "sku", "quantity"]
+            for next_piece, next_bag, op, sku, quantity in zip(*(frame[c].tolist() for c in wanted)):
+                if next_piece != piece or next_bag != bag:
+                    close(edge=first or next_piece != piece)
+                    first = next_piece != piece
+                    piece, bag = next_piece, next_bag
+                    lines = dict(starts.get((bag, piece), ()))
+                _apply(lines, op, sku, quantity, max_lines)
+            if len(out) >= _ROWS_PER_FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        close(edge=True)
         yield pd.DataFrame(out, columns=columns)
 
-    return fold
+    bag_type = pieces.schema["bag_id"].dataType.simpleString()
+    schema = f"bag_id {bag_type}, piece int, edge boolean, line_no bigint, sku string, quantity bigint"
+    return (
+        pieces.repartition("piece")
+        .sortWithinPartitions("piece", *_ORDER)
+        .select("piece", "bag_id", "op", "sku", "quantity")
+        .mapInPandas(fold, schema=schema)
+    )
+
+
+def _ends(edges: DataFrame) -> dict[tuple, Lines]:
+    """Edge bags on the driver: at most two bags per piece, each within the line limit."""
+    ends: dict[tuple, Lines] = defaultdict(list)
+    for row in sorted(edges.collect(), key=lambda r: r["line_no"]):
+        lines = ends[row["bag_id"], row["piece"]]
+        if row["line_no"]:
+            lines.append((row["sku"], row["quantity"]))
+    return dict(ends)
 
 
 def fold_bags(events: DataFrame, state: DataFrame | None = None, max_lines: int = MAX_LINES) -> DataFrame:
@@ -158,22 +145,36 @@ def fold_bags(events: DataFrame, state: DataFrame | None = None, max_lines: int
     """
     cleaned = _clean(events)
     if state is not None:
-        held = state.select(
-            "bag_id",
-            F.lit(None).cast(events.schema["at"].dataType).alias("at"),
-            F.col("line_no").cast("bigint").alias("seq"),
-            F.lit("add").alias("op"),
-            "sku",
-            F.col("quantity").cast("bigint").alias("quantity"),
-        )
-        cleaned = held.unionByName(cleaned)
-    order = ["bag_id", "at", "seq"]
-    shorter = (
-        cleaned.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_shorten, schema=cleaned.schema)
-    )
-    bag_type = events.schema["bag_id"].dataType.simpleString()
-    return (
-        shorter.repartition("bag_id")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_folder(max_lines), schema=f"bag_id {bag_type}, line_no bigint, sku string, quantity bigint")
-    )
+        cleaned = _held(state, events).unionByName(cleaned)
+    pieces = stage(cleaned.repartitionByRange(*_ORDER).withColumn("piece", F.spark_partition_id()), "bag-pieces")
+    folded = stage(_fold_pieces(pieces, max_lines, {}), "bag-ends")
+
+    ends = _ends(folded.filter("edge"))
+    chains = defaultdict(list)
+    for bag, piece in sorted(ends, key=lambda key: key[1]):
+        chains[bag].append(piece)
+    links = {
+        (bag, after): (bag, before) for bag, chain in chains.items() for before, after in zip(chain, chain[1:])
+    }
+    used: dict[tuple, Lines] = {}
+    while True:
+        changed = {key: ends[before] for key, before in links.items() if ends[before] != used.get(key, [])}
+        if not changed:
+            break
+        bags, places = {bag for bag, _ in changed}, {piece for _, piece in changed}
+        again = pieces.filter(F.col("piece").isin(*places) & F.col("bag_id").isin(*bags))
+        fresh = _ends(_fold_pieces(again, max_lines, changed).filter("edge"))
+        ends.update({key: lines for key, lines in fresh.items() if key in changed})
+        used.update(changed)
+
+    columns = ["bag_id", "line_no", "sku", "quantity"]
+    split = [bag for bag, chain in chains.items() if len(chain) > 1]
+    if not split:
+        return folded.filter("line_no > 0").select(*columns)
+    whole = folded.filter((F.col("line_no") > 0) & ~F.col("bag_id").isin(*split)).select(*columns)
+    last = [
+        (bag, n, sku, quantity)
+        for bag in split
+        for n, (sku, quantity) in enumerate(ends[bag, chains[bag][-1]], 1)
+    ]
+    return whole.unionByName(whole.sparkSession.createDataFrame(last, whole.schema))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selvedge.functions.measures import available_units
+from selvedge.operators.ranking import global_rank
+from selvedge.session import stage
 
 # Order statuses in order of fulfilment, then the closing one; delivery terms.
 TRACK = ("placed", "packed", "shipped", "delivered")
@@ -113,19 +115,34 @@ def order_rollup(summary: DataFrame) -> DataFrame:
     )
 
 
+def _paged(lines: DataFrame) -> DataFrame:
+    """Lines with the page of their order's document they belong to.
+
+    Orders within the limit, as all orders placed through a bag are, have one page and cost a
+    count. Longer ones are numbered over all tasks and cut into pages of the limit.
+    """
+    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
+    long_orders = stage(counts.filter(F.col("_n") > LINES_PER_DOCUMENT).select("order_id"), "long-orders")
+    if long_orders.isEmpty():
+        return lines.withColumn("page", F.lit(0).cast("bigint"))
+    short = lines.join(long_orders, "order_id", "left_anti").withColumn("page", F.lit(0).cast("bigint"))
+    rows = stage(lines.join(long_orders, "order_id", "left_semi"), "long-lines")
+    keyed = rows.withColumn("_copy", F.monotonically_increasing_id())
+    ranked = global_rank(keyed, [F.asc(c) for c in ("order_id", "line_no", "sku", "_copy")], "_place")
+    first = ranked.groupBy("order_id").agg(F.min("_place").alias("_first"))
+    page = F.call_function("div", F.col("_place") - F.col("_first"), F.lit(LINES_PER_DOCUMENT))
+    paged = ranked.join(first, "order_id").withColumn("page", page)
+    return short.unionByName(paged.select(*short.columns))
+
+
 def order_documents(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Each order with its lines nested in line order; an order without lines has none.
 
     An order longer than any bag allows continues in further rows (``page``), so no array
     grows without bound.
     """
-    page = F.call_function("div", F.col("line_no") - 1, F.lit(LINES_PER_DOCUMENT))
     entry = F.struct("line_no", "sku", *[c for c in lines.columns if c not in ("order_id", "line_no", "sku")])
-    nested = (
-        lines.withColumn("page", page)
-        .groupBy("order_id", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("lines"))
-    )
+    nested = _paged(lines).groupBy("order_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
     joined = orders.join(nested, "order_id", "left")
     none = F.array().cast(nested.schema["lines"].dataType)
     return joined.withColumns({"page": F.coalesce("page", F.lit(0)), "lines": F.coalesce("lines", none)})
@@ -135,11 +152,14 @@ def order_documents(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def reserved_units(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Units per SKU in orders that were not cancelled."""
+    """Units per SKU in orders that were not cancelled.
+
+    Lines are summed per order and SKU before they meet the headers, which keeps an order
+    with very many lines small.
+    """
     live = orders.filter(F.col("status") != CANCELLED).select("order_id")
-    return lines.select("order_id", "sku", "quantity").join(live, "order_id").groupBy("sku").agg(
-        F.sum("quantity").alias("reserved")
-    )
+    units = lines.groupBy("order_id", "sku").agg(F.sum("quantity").alias("units"))
+    return units.join(live, "order_id").groupBy("sku").agg(F.sum("units").alias("reserved"))
 
 
 def availability(catalog: DataFrame, reserved: DataFrame) -> DataFrame:

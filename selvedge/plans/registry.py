@@ -17,7 +17,7 @@ from selvedge.operators.ranking import global_rank
 from selvedge.operators.temporal import dedupe_by, fanout
 from selvedge.plans import billing, marts, orderbook, silver, storefront
 from selvedge.plans.adapter import Retail
-from selvedge.session import run_dir
+from selvedge.session import run_dir, stage, tune
 from selvedge.sources import layout, versions
 from selvedge.sources.drops import write_lines
 from selvedge.sources.tables import delete_where
@@ -282,7 +282,8 @@ def _detail(lake: Lake) -> DataFrame:
 
 def _zordered(lake: Lake) -> DataFrame:
     path = run_dir(lake.spark, "zorder")
-    layout.zorder(lake.good_sales, ["sale_date", "store_id"]).write.parquet(path)
+    sales = stage(lake.good_sales, "zorder-input")
+    layout.zorder(sales, ["sale_date", "store_id"]).write.parquet(path)
     return lake.spark.read.parquet(path).select("transaction_id", "sale_date", "store_id", "quantity", "net_amount")
 
 
@@ -386,6 +387,10 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
 
 def all_queries() -> dict[str, Query]:
     def runner(build: Callable[[Lake], DataFrame]) -> Query:
-        return lambda spark, folder: portable(build(Lake(spark, folder)))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
+            return portable(build(Lake(spark, folder)))
+
+        return run
 
     return {name: runner(build) for name, build in _QUERIES.items()}

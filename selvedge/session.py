@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 _local_dirs: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> None:
+    """Let AQE split a skewed join even where that costs a further shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def lake_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for.
 
@@ -20,17 +27,15 @@ def lake_session(app: str, master: str | None = None, **conf: str) -> SparkSessi
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.autoBroadcastJoinThreshold", "32MB")
-        .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,13 +23,12 @@ def write_lines(df: DataFrame, path: str, day: Column, line: Column) -> None:
     """Write one text line per row into its day's directory, days that already exist excepted.
 
     Skipping them keeps a rerun from landing the same rows under new file names, which an
-    ingest would take for new arrivals. Rows are range-partitioned by day and a hash, so a
-    heavy day fills several files and light days do not scatter.
+    ingest would take for new arrivals. Rows are gathered by day; the rebalance splits a heavy
+    day over several files by size.
     """
     lines = df.select(line.alias("value"), F.date_format(day, "yyyy-MM-dd").alias("dt"))
     fresh = lines.join(landed_days(df.sparkSession, path), "dt", "left_anti")
-    spread = fresh.repartitionByRange("dt", F.xxhash64("value"))
-    spread.select("value", "dt").write.mode("append").partitionBy("dt").text(path)
+    fresh.hint("rebalance", F.col("dt")).select("value", "dt").write.mode("append").partitionBy("dt").text(path)
 
 
 def write_drops(df: DataFrame, path: str, day_col: str) -> None:

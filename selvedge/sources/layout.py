@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:
@@ -68,8 +67,9 @@ def zorder(df: DataFrame, columns: Sequence[str], bits: int = 8) -> DataFrame:
     """Cluster rows so that those close in all the columns share files.
 
     Each column becomes its rank among bounded quantile cuts, the ranks' bits are interleaved,
-    and rows are range-partitioned by the result. A row hash breaks ties, so one value pair
-    holding a large share of the rows still spreads over several files.
+    and rows are range-partitioned by the result. The row's place in the scan breaks ties, so
+    one value pair, or one row in very many copies, still spreads over several files. ``df``
+    is to be a plain table scan: there a repeated task finds every row in the same place.
     """
     if len(columns) * bits > 62:
         raise ValueError("columns x bits must stay within 62")
@@ -81,6 +81,5 @@ def zorder(df: DataFrame, columns: Sequence[str], bits: int = 8) -> DataFrame:
         for j in range(len(columns))
     ]
     z = reduce(lambda a, b: a.bitwiseOR(b), pieces)
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    keyed = coded.withColumns({"_z": z, "_tie": F.xxhash64(*plain)})
+    keyed = coded.withColumn("_z", z).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
     return keyed.repartitionByRange("_z", "_tie").sortWithinPartitions("_z").select(*df.columns)
