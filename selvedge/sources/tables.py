@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """Replace a table, schema included, or add to it."""
-    df.write.format("parquet").mode(mode).saveAsTable(name)
+    df.write.format("parquet").mode(mode).partitionBy(*partition_by).saveAsTable(name)
 
 
 def snapshot_copy(spark: SparkSession, source: str, target: str) -> None:
