@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,11 @@ def evaluate_rules(df: DataFrame, rules: Mapping[str, str], null_policy: str = "
     if null_policy not in ("pass", "fail"):
         raise ValueError(f"null_policy must be 'pass' or 'fail', not {null_policy!r}")
     when_null = F.lit(null_policy == "pass")
-    broken = [F.when(F.coalesce(F.expr(check), when_null), None).otherwise(F.lit(name)) for name, check in rules.items()]
-    return df.withColumn(VIOLATIONS, F.array_compact(F.array(*broken)))
+    holds = {name: F.coalesce(F.expr(check), when_null) for name, check in rules.items()}
+    names = F.array_compact(F.array(*[F.when(~held, F.lit(name)) for name, held in holds.items()]))
+    none = F.array().cast("array<string>")
+    # The names are only put together for the rows that need them.
+    return df.withColumn(VIOLATIONS, F.when(reduce(and_, holds.values()), none).otherwise(names))
 
 
 def passed(checked: DataFrame) -> DataFrame:

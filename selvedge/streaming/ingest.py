@@ -26,8 +26,7 @@ _RESERVED = {f.name for f in (*_OWN.fields, *_FOLDERS.fields)}
 # --- discovered columns, kept beside the checkpoint ---
 
 
-def known_columns(spark: SparkSession, checkpoint: str, hints: str) -> T.StructType:
-    """The columns found so far, or the hinted ones before the first run."""
+def _remembered(spark: SparkSession, checkpoint: str) -> T.StructType | None:
     try:
         found = spark.read.schema("step INT, columns STRING").json(f"{checkpoint}/columns")
         last = found.agg(F.max_by("columns", "step")).first()[0]
@@ -35,7 +34,12 @@ def known_columns(spark: SparkSession, checkpoint: str, hints: str) -> T.StructT
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         last = None
-    return T.StructType.fromDDL(hints) if last is None else T.StructType.fromDDL(last)
+    return None if last is None else T.StructType.fromDDL(last)
+
+
+def known_columns(spark: SparkSession, checkpoint: str, hints: str) -> T.StructType:
+    """The columns found so far, or the hinted ones before the first run."""
+    return _remembered(spark, checkpoint) or T.StructType.fromDDL(hints)
 
 
 def _remember(spark: SparkSession, checkpoint: str, columns: T.StructType) -> None:
@@ -77,11 +81,18 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
     def misfit(key: Column, value: Column) -> Column:
         return value.isNotNull() & (~F.array_contains(names, key) | F.array_contains(blank, key))
 
+    # A row with as many typed values as fields has nothing to rescue, which is the usual case.
+    fitted = sum((F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns), F.lit(0))
+    clean = fitted == F.size("_fields")
     left_over = F.map_filter("_fields", misfit)
-    novel = F.exists(
-        F.map_keys(F.map_filter("_fields", lambda k, v: v.isNotNull())), lambda k: _unknown(k, columns)
+    novel = F.when(clean, False).otherwise(
+        F.exists(F.map_keys(F.map_filter("_fields", lambda k, v: v.isNotNull())), lambda k: _unknown(k, columns))
+    )
+    rescued = (
+        F.when(F.col("_fields").isNull(), F.col("value"))
+        .when(clean, None)
+        .otherwise(F.nullif(F.to_json(left_over), F.lit("{}")))
     )
-    rescued = F.when(F.col("_fields").isNull(), F.col("value")).when(F.size(left_over) > 0, F.to_json(left_over))
     carried = [c for c in raw.columns if c != "value"]
     return parsed.select(
         *[F.col("_typed").getField(f.name).alias(f.name) for f in columns],
@@ -123,8 +134,9 @@ def ingest_json(
     """Ingest the files that are new since the last run, then stop; returns the whole table.
 
     Every micro-batch owns one folder of the target and replaces it when retried, so a batch
-    that fails half-way and runs again leaves its rows once. A batch is written in one pass;
-    only when it brings new keys are its columns widened and the batch written again.
+    that fails half-way and runs again leaves its rows once. The first batch is looked through
+    for its columns; later ones are written in one pass, and only when a batch turns out to
+    bring new keys are the columns widened and the batch written again.
     """
     for name, value in (("source", source), ("target", target), ("checkpoint", checkpoint)):
         if not value or not value.strip():
@@ -138,12 +150,19 @@ def ingest_json(
         counted.write.mode("overwrite").partitionBy("dt").parquet(f"{target}/ingest_batch={batch_id}")
         return seen.get["novel"]
 
+    def widen(batch: DataFrame, columns: T.StructType) -> T.StructType:
+        wider = _discover(batch, columns)
+        if len(wider) > len(columns):
+            _remember(batch.sparkSession, checkpoint, wider)
+        return wider
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        columns = known_columns(batch.sparkSession, checkpoint, hints)
-        if write(batch, batch_id, columns):
-            wider = _discover(batch, columns)
+        columns = _remembered(batch.sparkSession, checkpoint)
+        if columns is None:
+            write(batch, batch_id, widen(batch, T.StructType.fromDDL(hints)))
+        elif write(batch, batch_id, columns):
+            wider = widen(batch, columns)
             if len(wider) > len(columns):
-                _remember(batch.sparkSession, checkpoint, wider)
                 write(batch, batch_id, wider)
 
     lines = spark.readStream.schema("value STRING, dt STRING").option("maxFilesPerTrigger", files_per_batch).text(source)
