@@ -68,8 +68,9 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
     object is rescued whole. ``_novel`` marks rows with a key that could become a column.
     """
     parsed = raw.filter(F.trim("value") != "").withColumns(
-        {"_typed": F.from_json("value", columns), "_fields": _fields(F.col("value"))}
+        {"_typed": F.from_json("value", columns), "_keys": F.json_object_keys("value")}
     )
+    fields = _fields(F.col("value"))
     if columns.fields:
         blank = F.array_compact(
             F.array(*[F.when(F.col("_typed").getField(f.name).isNull(), F.lit(f.name)) for f in columns])
@@ -81,18 +82,13 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
     def misfit(key: Column, value: Column) -> Column:
         return value.isNotNull() & (~F.array_contains(names, key) | F.array_contains(blank, key))
 
-    # A row with as many typed values as fields has nothing to rescue, which is the usual case.
+    # A row with as many typed values as keys has nothing to rescue. That is the usual case,
+    # and it is spared the second parse.
     fitted = sum((F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns), F.lit(0))
-    clean = fitted == F.size("_fields")
-    left_over = F.map_filter("_fields", misfit)
-    novel = F.when(clean, False).otherwise(
-        F.exists(F.map_keys(F.map_filter("_fields", lambda k, v: v.isNotNull())), lambda k: _unknown(k, columns))
-    )
-    rescued = (
-        F.when(F.col("_fields").isNull(), F.col("value"))
-        .when(clean, None)
-        .otherwise(F.nullif(F.to_json(left_over), F.lit("{}")))
-    )
+    clean = fitted == F.size("_keys")
+    left_over = F.nullif(F.to_json(F.map_filter(fields, misfit)), F.lit("{}"))
+    novel = F.when(clean, False).otherwise(F.exists("_keys", lambda k: _unknown(k, columns)))
+    rescued = F.when(F.col("_keys").isNull(), F.col("value")).when(clean, None).otherwise(left_over)
     carried = [c for c in raw.columns if c != "value"]
     return parsed.select(
         *[F.col("_typed").getField(f.name).alias(f.name) for f in columns],
@@ -108,8 +104,8 @@ def _discover(raw: DataFrame, columns: T.StructType) -> T.StructType:
     Keys differing only in case are one column, named after the first in order. At most
     ``MAX_COLUMNS`` names reach the driver, however many distinct keys the data has.
     """
-    present = F.map_filter(_fields(F.col("value")), lambda k, v: v.isNotNull())
-    keys = raw.select(F.explode(F.map_keys(present)).alias("key")).filter(_unknown(F.col("key"), columns))
+    shapes = raw.select(F.json_object_keys("value").alias("keys")).distinct()
+    keys = shapes.select(F.explode("keys").alias("key")).filter(_unknown(F.col("key"), columns))
     names = keys.groupBy(F.lower("key").alias("name")).agg(F.min("key").alias("key")).orderBy("key")
     found = names.limit(max(0, MAX_COLUMNS - len(columns))).collect()
     return T.StructType([*columns.fields, *[T.StructField(row["key"], T.StringType()) for row in found]])
