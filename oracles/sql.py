@@ -467,9 +467,11 @@ BODIES: dict[str, str] = {
         {rnd('SUM(total)', 0)} AS value FROM book GROUP BY 1""",
     "order_rollup": """SELECT COUNT(*) FILTER (status IN ('placed', 'packed', 'shipped')) AS open_orders,
         COUNT(*) AS orders_taken, SUM(total) AS lifetime_value FROM book""",
-    "order_documents": """SELECT b.order_id, b.status, b.total, 0 AS page,
+    "order_documents": """SELECT b.order_id, b.status, b.total, coalesce(p.page, 0) AS page,
         coalesce(string_agg(line_no || ':' || sku, ',' ORDER BY line_no, sku), '') AS lines
-        FROM book b LEFT JOIN book_lines USING (order_id) GROUP BY 1, 2, 3""",
+        FROM book b LEFT JOIN (SELECT *,
+            (row_number() OVER (PARTITION BY order_id ORDER BY line_no, sku) - 1) // 1000 AS page FROM book_lines) p
+        ON b.order_id = p.order_id GROUP BY 1, 2, 3, 4""",
     "reserved_units": "SELECT * FROM reserved",
     "availability": "SELECT sku, product_id, available FROM available",
     "style_availability": f"""SELECT product_id, {big('greatest(0, SUM(on_hand) - coalesce(SUM(reserved), 0))')} AS available,
