@@ -91,13 +91,13 @@ FACTS = ("lineitem", "orders", "events")
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out a fact table whose files are too few to occupy the cores.
+    """Deal out a fact table that is too small to occupy the cores as it is read.
 
-    A file of one row group is read by one task, which then does all the work up to the next
-    shuffle. A table with a file per core, as any large one has, is left alone.
+    Fewer splits than cores leave some of them idle up to the next shuffle. A table with a
+    split per core, as any large one has, is left alone.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if len(scan.inputFiles()) >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 class Retail:

@@ -80,12 +80,9 @@ def offered_actions(status: Column) -> Column:
 
 def orders_by_email(orders: DataFrame, email: str, n: int = 25) -> DataFrame:
     """A customer's newest orders, whatever the case their address was typed in."""
-    return orders.sparkSession.sql(
-        """SELECT order_id, placed_at, status, item_count, total FROM {orders}
-           WHERE lower(customer_email) = lower(:email) ORDER BY placed_at DESC, order_id LIMIT :n""",
-        args={"email": email, "n": n},
-        orders=orders,
-    )
+    theirs = orders.filter(F.lower("customer_email") == F.lower(F.lit(email)))
+    newest = theirs.orderBy(F.desc("placed_at"), F.asc("order_id")).limit(n)
+    return newest.select("order_id", "placed_at", "status", "item_count", "total")
 
 
 def recent_orders(orders: DataFrame, status: str | None = None, n: int = 60) -> DataFrame:
