@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm import licenses, mixing, quality_rules, secrets
+from selvedge.llm import licenses, mixing, neardup, quality_rules, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), similarity=0.85)
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
     base = tuple(r.kind for r in secrets.BASE_RULES)
@@ -56,10 +61,16 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_rules": op4_quality_rules,
         "op7_mix_sources": op7_mix_sources,
         "op9_license_scan": op9_license_scan,
+        "op10_token_counts": op10_token_counts,
     }
