@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm import licenses, mixing, neardup, quality_rules, secrets, tokens
+from selvedge.llm import chat, classifier, licenses, mixing, neardup, quality_rules, secrets, tokens, warc
+from selvedge.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,39 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def conversation_records(turns: DataFrame) -> DataFrame:
+    """Each row of ``conversations`` as a JSON record in one of the layouts that hold such a turn."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    other = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt")
+    shared = F.to_json(F.struct(F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations")))
+    plain = F.when(F.col("role") == "user", F.to_json(F.struct(text.alias("prompt")))).when(
+        F.col("role") == "assistant", F.to_json(F.struct(text.alias("completion")))
+    )
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    record = F.when(kind == 1, plain).when(kind == 2, F.when(other.isNotNull(), shared))
+    return turns.select("conv_id", "turn", F.coalesce(record, messages).alias("record"))
+
+
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    turns = chat.canonical_turns(conversation_records(given.unionByName(extra)))
+    formatted = stage(chat.format_turns(turns), "chat")
+    return chat.digest_conversations(formatted, "conv_id", ["turn", "part", "role", "text"])
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages")).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
@@ -70,7 +104,10 @@ def llm_queries() -> dict[str, Query]:
         "op2_near_duplicates": op2_near_duplicates,
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_rules": op4_quality_rules,
+        "op5_chat_format": op5_chat_format,
+        "op6_warc": op6_warc,
         "op7_mix_sources": op7_mix_sources,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_license_scan": op9_license_scan,
         "op10_token_counts": op10_token_counts,
     }
