@@ -3,7 +3,8 @@
 1. Every hashed word has a fixed sparse ternary index vector. A word's context vector is the sum, over
    the whole corpus, of the index vectors of the words within two places of it. Tasks add up their
    own texts; the sums of tasks are added in two levels by slices of the vocabulary.
-2. A document is the mean and the spread of its words' unit vectors, and the logarithm of its length.
+2. A document is the mean and the spread of its words' unit vectors, the mean likeness of
+   neighbouring ones, and the logarithm of its length.
 3. Labelled rows outside the held-out quarter, at most ``max_rows`` of them in the order of a hash of
    their key, train the network; a fifth of them is set aside to fit the temperature that calibrates
    its probabilities.
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selvedge.llm.sums import SCHEMA, sliced, total
 from selvedge.llm.words import alphabet, chunks, hash_words
 from selvedge.session import stage
 
 PLACES_BITS, WIDTH, NONZERO, REACH = 14, 64, 4, 2
 PLACES = 1 << PLACES_BITS
-SLICES, SALTS = 16, 64
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 LETTERS = alphabet(b" \t\n\x0b\x0c\r", MARKS, fold=False, seed=23)
 
@@ -50,7 +51,7 @@ def _places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (hashes >> np.uint64(64 - PLACES_BITS)).astype(np.uint16), offsets
 
 
-def _add_contexts(total: np.ndarray, place: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> None:
+def _add_contexts(held: np.ndarray, place: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> None:
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     around = np.zeros((len(place), WIDTH), dtype=np.int8)
     for d in range(1, REACH + 1):
@@ -60,42 +61,21 @@ def _add_contexts(total: np.ndarray, place: np.ndarray, offsets: np.ndarray, vec
     order = np.argsort(place, kind="stable")
     sorted_places = place[order]
     first = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
-    total[sorted_places[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+    held[sorted_places[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
 
 
 def context_vectors(docs: DataFrame, text: str) -> np.ndarray:
-    """PLACES x WIDTH sums over all texts; the driver gets SLICES rows of a fixed size."""
-    size = PLACES // SLICES * WIDTH
+    """PLACES x WIDTH sums over all texts."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, total, any_words = index_vectors(), np.zeros((PLACES, WIDTH), dtype=np.int64), False
+        vectors, held = index_vectors(), np.zeros((PLACES, WIDTH), dtype=np.int64)
         for batch in batches:
             for place, offsets in _places(batch.column(0)):
                 if len(place):
-                    any_words = True
-                    _add_contexts(total, place, offsets, vectors)
-        if any_words:
-            parts = [p.tobytes() for p in np.split(total.astype(np.int32).ravel(), SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
-
-    def add(kind):
-        def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size, dtype=np.int64)
-            for batch in batches:
-                for part in batch.column("part"):
-                    total += np.frombuffer(part.as_buffer(), dtype=kind)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part"])
-
-        return run
-
-    parts = docs.select(text).mapInArrow(collect, "slice int, part binary")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(SALTS)))
-    first = salted.groupBy("slice", "salt").applyInArrow(add(np.int32), "slice int, part binary")
-    rows = first.groupBy("slice").applyInArrow(add(np.int64), "slice int, part binary").collect()  # SLICES rows
-    total = np.zeros((SLICES, size), dtype=np.int64)
-    for r in rows:
-        total[r["slice"]] = np.frombuffer(r["part"], dtype=np.int64)
-    return total.reshape(PLACES, WIDTH)
+                    _add_contexts(held, place, offsets, vectors)
+        yield sliced(held.astype(np.int32))
+
+    return total(docs.select(text).mapInArrow(collect, SCHEMA), (PLACES, WIDTH), np.int32, np.int64)
 
 
 def unit_vectors(contexts: np.ndarray) -> np.ndarray:
@@ -116,14 +96,18 @@ def pool(docs: DataFrame, vectors: np.ndarray, key: str, text: str) -> DataFrame
                 counts = np.diff(offsets)
                 full = np.flatnonzero(counts)
                 mean = np.zeros((len(counts), WIDTH), dtype=np.float32)
-                spread = np.zeros_like(mean)
+                spread, near = np.zeros_like(mean), np.zeros(len(counts), dtype=np.float32)
                 if len(full):
                     held = words[place]
                     n = counts[full][:, None].astype(np.float32)
                     mean[full] = np.add.reduceat(held, offsets[full], axis=0) / n
+                    alike = np.zeros(len(place), dtype=np.float32)
+                    alike[1:] = np.einsum("ij,ij->i", held[1:], held[:-1])
+                    alike[offsets[full]] = 0
+                    near[full] = np.add.reduceat(alike, offsets[full]) / np.maximum(counts[full] - 1, 1)
                     np.square(held, out=held)
                     spread[full] = np.sqrt(np.maximum(np.add.reduceat(held, offsets[full], axis=0) / n - mean[full] ** 2, 0))
-                pooled = np.concatenate([mean, spread, np.log1p(counts)[:, None].astype(np.float32)], axis=1)
+                pooled = np.column_stack([mean, spread, near, np.log1p(counts)]).astype(np.float32)
                 at = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * pooled.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, len(counts)), pa.ListArray.from_arrays(at, pa.array(pooled.ravel()))], ["key", "pooled"]

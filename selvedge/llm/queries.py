@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm import chat, classifier, licenses, mixing, neardup, quality_rules, secrets, tokens, warc
+from selvedge.llm import chat, classifier, decontaminate, licenses, mixing, neardup, quality_rules, secrets, tokens, warc
 from selvedge.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), similarity=0.85)
 
@@ -101,6 +105,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_rules": op4_quality_rules,
