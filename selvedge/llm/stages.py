@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from selvedge.llm import mixing, secrets
+from selvedge.llm import decontaminate as leaks
+from selvedge.llm import mixing, neardup, secrets
 from selvedge.llm import quality_rules as rules
+from selvedge.session import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +16,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (similarity 0.8, five words): the one with the least id.
+
+    Of rows that share an id the first by their columns stays; rows without an id all stay.
+    """
+    kept = neardup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = docs.join(stage(kept, "kept"), "doc_id", "left_semi")
+    order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    first = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_n = 1")
+    return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = stage(leaks.find_leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind in brackets; ``n_chars`` follows the text."""
     found = secrets.scan_secrets(docs)
