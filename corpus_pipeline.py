@@ -16,6 +16,8 @@ from selvedge.session import stage
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", stages.quality_rules),
+    ("near_dedup", stages.near_dedup),
+    ("decontaminate", stages.decontaminate),
     ("secret_scan", stages.secret_scan),
     ("mix_sources", stages.mix_sources),
 ]
