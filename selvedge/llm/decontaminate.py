@@ -13,8 +13,9 @@ sent to tasks is bounded whatever the size of the benchmark; each block is searc
    item: ``COPY`` of the item's words make a copy; ``PARAPHRASE`` of them and the item's answer (its last
    sentence, word by word in order) make a paraphrase.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased for A-Z. Very frequent words
-(over COMMON of all half passages) weigh nothing in the search but count in the subsequence.
+Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased for A-Z. Frequent words (in over
+COMMON of all half passages) weigh nothing in the search but count in the subsequence; the OWN rarest words of
+every item always weigh, so an item is found however often it has leaked.
 
 Defined results: null or empty items and texts match nothing; an item repeated under several ids is reported
 under each; rows that repeat are reported once; items of fewer than LEAST words need all their words in a
@@ -36,9 +37,10 @@ from selvedge.llm.sums import SCHEMA, sliced, total
 from selvedge.llm.words import alphabet, chunks, hash_words
 from selvedge.session import stage
 
-HALF, PASSAGE, ITEMS = 32, 64, 192
-RANK, EXTRA = 224, 16
-COMMON, COSINE = 0.02, 0.5
+HALF, PASSAGE, ITEMS = 32, 64, 256
+RANK, EXTRA = 256, 16
+COMMON, OWN, COSINE = 0.002, 8, 0.3
+RUN = 1 << 17
 COPY, PARAPHRASE, LEAST = 0.75, 0.5, 8
 WORDS = alphabet(bytes(b for b in range(128) if not chr(b).isalnum()), fold=True, seed=31)
 NON_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -116,13 +118,17 @@ def vocabulary_places(docs: DataFrame, key: str, text: str, vocabulary: np.ndarr
                 place = _lookup(known, hashes, likely)
                 half, _ = halves(offsets)
                 inside = place >= 0
-                pairs = np.unique(half[inside].astype(np.int64) * size + place[inside])
-                seen[:size] += np.bincount(pairs % size, minlength=size)
+                for a in range(0, len(place), RUN):  # a half passage cut here counts twice
+                    own, where = place[a : a + RUN], half[a : a + RUN]
+                    own, where = own[own >= 0].astype(np.int64), where[own >= 0]
+                    pairs = np.sort((where - half[a]) * size + own)
+                    first = np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]
+                    seen[:size] += np.bincount(pairs[first] % size, minlength=size)
                 seen[size] += int(half[-1]) + 1 if len(half) else 0
                 keep = np.flatnonzero(np.add.reduceat(np.r_[inside, False].astype(np.int64), np.minimum(offsets[:-1], len(inside))) * (np.diff(offsets) > 0) > 0)
                 own = [place[offsets[k] : offsets[k + 1]].tobytes() for k in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(at) - 1).take(pa.array(keep)), pa.array(own, pa.binary()), pa.array([False] * len(keep))], ["key", "places", "sums"]
+                    [batch.column(0).slice(low, len(at) - 1).take(pa.array(keep)), pa.array(own, pa.binary()), pa.array([False] * len(keep), pa.bool_())], ["key", "places", "sums"]
                 )
                 low += len(at) - 1
         yield pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([seen.tobytes()], pa.binary()), pa.array([True])], ["key", "places", "sums"])
@@ -141,12 +147,12 @@ def halves(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, places, offsets) for runs of about a million words."""
+    """(first row, places, offsets) for runs of texts of about RUN words."""
     low, size, parts = 0, 0, []
     for k, value in enumerate(batch.column(column)):
         parts.append(np.frombuffer(value.as_buffer(), dtype=np.int16))
         size += len(parts[-1])
-        if size > 1 << 19:
+        if size > RUN:
             yield low, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             low, size, parts = k + 1, 0, []
     if parts:
@@ -173,9 +179,14 @@ def _passages(sums: np.ndarray, first: np.ndarray) -> np.ndarray:
     return both
 
 
-def weights(seen: np.ndarray, halves_seen: int) -> np.ndarray:
-    idf = np.log((halves_seen + 1) / (seen + 1))
-    idf[seen > COMMON * max(halves_seen, 50)] = 0
+def weights(seen: np.ndarray, halves_seen: int, block: Block) -> np.ndarray:
+    """Smoothed inverse document frequencies; 0 for frequent words but the rarest of each item."""
+    idf = 1 + np.log((halves_seen + 1) / (seen + 1))
+    light = seen > COMMON * halves_seen
+    for words in block.words:
+        own = np.unique(words)
+        light[own[np.argsort(seen[own], kind="stable")[:OWN]]] = False
+    idf[light] = 0
     return idf
 
 
@@ -201,8 +212,7 @@ def latent_vectors(places: DataFrame, block: Block, idf: np.ndarray) -> np.ndarr
                 sums, words, where = _sum_halves(place, half, int(first[-1]), weighted, heavy)
                 if not len(words):
                     continue
-                norm = np.zeros((len(sums), 1), dtype=np.float32)
-                np.add.at(norm, where, (idf[words] ** 2).astype(np.float32)[:, None])
+                norm = np.bincount(where, idf[words] ** 2, minlength=len(sums)).astype(np.float32)[:, None]
                 passage = _passages(sums, first) / np.maximum(_passages(norm, first), 1e-6)
                 # A word of a half stands in the passage that begins with it and in the one before.
                 back = passage.copy()
@@ -260,10 +270,12 @@ class Item:
 
     def judge(self, text: list[int]) -> tuple[int, int, int, bool] | None:
         """(common words, begin, end, answer found) of the best stretch, if that is a copy or a paraphrase."""
+        at = -1
+        for _ in range(text.count(self.words[0])):
+            at = text.index(self.words[0], at + 1)
+            if text[at : at + self.size] == self.words:
+                return self.size, at, at + self.size, True
         if self.size < LEAST:
-            for at in range(len(text) - self.size + 1):
-                if text[at : at + self.size] == self.words:
-                    return self.size, at, at + self.size, True
             return None
         if common_length(self.masks, self.size, text)[0] < PARAPHRASE * self.size:
             return None
@@ -301,11 +313,13 @@ def search(places: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray)
             rows, out = [], []
             for low, place, offsets in _texts(batch, 1):
                 half, first = halves(offsets)
-                sums, words, _ = _sum_halves(place, half, int(first[-1]), weighted, heavy)
+                sums, words, where = _sum_halves(place, half, int(first[-1]), weighted, heavy)
                 if not len(words):
                     continue
                 passage = _passages(sums, first)
-                norm = np.linalg.norm(passage, axis=1)
+                # The norm before projection: what an unrelated passage loses by it must not raise its cosine.
+                norm = np.bincount(where, idf[words] ** 2, minlength=len(sums)).astype(np.float32)
+                norm = np.sqrt(_passages(norm[:, None], first)[:, 0])
                 alive = np.flatnonzero(norm > 0)
                 for cut in range(0, len(alive), 8192):
                     some = alive[cut : cut + 8192]
@@ -348,7 +362,7 @@ def find_leaks(
         places = vocabulary_places(docs, key, text, block.vocabulary)
         size = len(block.vocabulary)
         seen = total(places.filter("sums").select(F.lit(0).alias("slice"), F.col("places").alias("part")), (size + 1,), np.int64, np.int64, slices=1)
-        idf = weights(seen[:size], int(seen[size]))
+        idf = weights(seen[:size], int(seen[size]), block)
         hits = search(places, block, idf, latent_vectors(places, block, idf))
         kind = passages.schema["item"].dataType
         names = spark.createDataFrame([(n, *name) for n, name in enumerate(block.names)], f"passage int, item {kind.simpleString()}, part int")
