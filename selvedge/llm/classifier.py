@@ -5,8 +5,8 @@
    own texts; the sums of tasks are added in two levels by slices of the vocabulary.
 2. A document is the mean and the spread of its words' unit vectors, the mean likeness of
    neighbouring ones, and the logarithm of its length.
-3. Labelled rows outside the held-out quarter, at most ``max_rows`` of them in the order of a hash of
-   their key, train the network; a fifth of them is set aside to fit the temperature that calibrates
+3. Labelled rows outside the held-out quarter, at most ``max_rows`` of them drawn by a hash of their
+   key, train the network; a fifth of them is set aside to fit the temperature that calibrates
    its probabilities.
 
 The vocabulary is hashed into 2**14 places, so the vectors sent to tasks are 4 MB at any size of input.
@@ -194,18 +194,21 @@ def score_quality(
     pooled = stage(pool(docs, unit_vectors(context_vectors(docs, text)), key, text), "pooled")
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     marked = marked.filter(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    sample = (
-        pooled.join(marked, "key").orderBy(F.xxhash64("key"), "label").limit(max_rows).toPandas()  # a bounded sample
-    )
+    marked = stage(marked.join(pooled.select("key"), "key", "left_semi"), "labelled")
+    share = min(1.0, max_rows / max(1, marked.count()))
+    drawn = F.xxhash64("key").cast("double") / F.lit(2.0**63) < F.lit(2 * share - 1) if share < 1 else F.lit(True)
+    # About max_rows rows, drawn by a hash of their key, and never more.
+    sample = pooled.join(marked.filter(drawn), "key").limit(max_rows).toPandas()
+    sample = sample.iloc[np.lexsort((sample["label"], sample["key"]))]
     y = sample["label"].to_numpy(dtype=np.int64)
     if len(set(y.tolist())) == 2:
         network = train(np.stack(sample["pooled"].to_numpy()), y)
         score = network.probability
     else:
-        share = float(y.mean()) if len(y) else 0.5
+        constant = float(y.mean()) if len(y) else 0.5
 
         def score(x: np.ndarray) -> np.ndarray:
-            return np.full(len(x), share)
+            return np.full(len(x), constant)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
