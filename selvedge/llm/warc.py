@@ -48,12 +48,13 @@ def with_revisits(pages: DataFrame, key: str, url: str, payload: str, least: int
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    # Only digests met more than once travel; the maximum is combined before the shuffle.
-    owners = rows.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("id").alias("owner"), F.min("id").alias("other"))
-    owners = owners.filter("other < owner").select("digest", F.col("bytes").alias("of_bytes"), "owner")
-    joined = rows.join(owners, (rows["digest"] == owners["digest"]) & (rows["bytes"] == F.col("of_bytes")), "left")
-    refers = F.when(F.col("owner").isNotNull() & (F.col("id") < F.col("owner")), F.col("owner"))
-    return joined.select("id", "url", "payload", refers.alias("refers_to"))
+    narrow = rows.filter(F.col("bytes") >= least).select("id", "digest", "bytes")
+    owners = narrow.groupBy("digest", "bytes").agg(F.max("id").alias("owner"), F.min("id").alias("other"))
+    owners = owners.filter("other < owner").select("digest", "bytes", "owner")
+    # Digests travel without their payloads; what is joined to those is a row for each revisit.
+    revisits = narrow.join(owners, ["digest", "bytes"]).filter("id < owner")
+    revisits = stage(revisits.select("id", "digest", F.col("owner").alias("refers_to")).distinct(), "revisits")
+    return rows.join(revisits, ["id", "digest"], "left").select("id", "url", "payload", "refers_to")
 
 
 def _name(key: int | None) -> str:
