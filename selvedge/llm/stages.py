@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     chosen = docs.join(stage(kept, "kept"), "doc_id", "left_semi")
     order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    first = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_n = 1")
+    first = chosen.withColumn("_place_of_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_place_of_id = 1")
     return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
