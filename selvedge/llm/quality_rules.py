@@ -10,6 +10,7 @@ rule; other columns of the input, also ones named like a measure, are kept out o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -170,8 +171,10 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Iter
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, whole and with all their columns.
 
-    The row travels beside its measures in one struct, so nothing is joined back.
+    The row travels beside its measures in one struct, so nothing is joined back. The observed count keeps
+    the optimiser from moving the filter below the measures, where its condition would repeat them all.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     verdict = assess(whole, "row", "text", rules)
-    return verdict.filter("kept").select("row.*")
+    seen = verdict.select("row", "kept").observe(f"assessed-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    return seen.filter("kept").select("row.*")
