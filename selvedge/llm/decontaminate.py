@@ -301,14 +301,14 @@ def search(places: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray)
     norms = np.linalg.norm(items, axis=1, keepdims=True)
     items = np.where(norms > 0, items / np.maximum(norms, 1e-9), 0).astype(np.float32)
     context = places.sparkSession.sparkContext
-    sent = context.broadcast(((idf[:, None] * latent).astype(np.float32), items, block))
+    sent = context.broadcast(((idf[:, None] * latent).astype(np.float32), items, block.words, block.answers.tolist()))
     heavy = idf > 0
     kind = places.schema["key"].dataType.simpleString()
     schema = f"key {kind}, passage int, cosine double, common int, size int, begin bigint, end bigint, answered boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, sought, held = sent.value
-        ready = [Item(w, int(a)) for w, a in zip(held.words, held.answers, strict=True)]
+        weighted, sought, words_of, answers = sent.value
+        ready = [Item(w, a) for w, a in zip(words_of, answers, strict=True)]
         for batch in batches:
             rows, out = [], []
             for low, place, offsets in _texts(batch, 1):

@@ -181,18 +181,15 @@ class Counter:
         return totals
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit per row. ``path`` is read by the driver; the vocabulary is sent once."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    read = read_vocabulary(path)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(read).values()))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A worker serves many tasks; what it has learnt of a vocabulary stays.
-        counter = _counters.get(path) or _counters.setdefault(path, Counter(vocabulary.value))
+        counter = Counter(Vocabulary(*sent.value))
         for batch in batches:
             counts = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["key", "n_tokens"])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 CHUNK = 4 << 20
 MASK = (1 << 64) - 1
 _ROOT = 0x9E3779B97F4A7C15 | 1
