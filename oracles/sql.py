@@ -143,7 +143,7 @@ CTES: dict[str, str] = {
         GROUP BY 1""",
     "style_totals": f"""SELECT style_id, style_name, category, subcategory, season, {big('SUM(quantity)')} AS units_sold,
         {rnd('SUM(net_revenue)', 2)} AS net_revenue, {rnd('SUM(cost_price * kept_quantity)', 2)} AS cost_of_goods,
-        {rnd('CAST(SUM(CAST(round(discount_pct * 1000000) AS BIGINT)) AS DOUBLE) / COUNT(discount_pct) / 1000000 * 100', 1)}
+        {rnd('CAST(CAST(SUM(CAST(CAST(discount_pct AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) / COUNT(discount_pct) * 100', 1)}
           AS avg_discount_pct, COUNT(DISTINCT sku) AS sku_count FROM sold GROUP BY 1, 2, 3, 4, 5""",
     "styles_ranked": f"""SELECT t.*, {big('coalesce(returned_units, 0)')} AS returned_units,
         {rnd('net_revenue - cost_of_goods', 2)} AS margin_amount,
@@ -185,7 +185,7 @@ CTES: dict[str, str] = {
              WHEN {rnd('stock_share - demand_share', 1)} > 10 THEN 'over-stocked' ELSE 'balanced' END AS signal
         FROM curve_shares""",
     "markdowns": """SELECT style_id,
-        CAST(SUM(CAST(round(discount_pct * 1000000) AS BIGINT)) AS DOUBLE) / COUNT(discount_pct) / 1000000 AS markdown
+        CAST(CAST(SUM(CAST(CAST(discount_pct AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE) / COUNT(discount_pct) AS markdown
         FROM good_sales JOIN products USING (sku)
         WHERE sale_date >= (SELECT MAX(sale_date) FROM good_sales) - 7 GROUP BY 1""",
     "catalog": f"""SELECT p.sku, p.style_id || '-' || upper(p.colour[1:3]) AS product_id, p.style_id, p.style_name,
@@ -230,15 +230,19 @@ CTES: dict[str, str] = {
         FROM supplier JOIN (VALUES (1), (2), (3)) AS t(v) ON v <= 1 + s_suppkey % 3""",
     "newest_clusters": """SELECT cluster_id, cluster_name, cluster_source FROM clusters
         QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY v DESC) = 1""",
+    "line_sums": f"""SELECT l_orderkey, {big('SUM(CAST(l_quantity AS BIGINT))')} AS units,
+        SUM({rnd(rnd(L['retail_price'] + ' * (1 - l_discount)', 0) + ' * CAST(l_quantity AS BIGINT)', 2)}) AS amount
+        FROM lineitem GROUP BY 1""",
     "book": """SELECT 'ORD-' || o_orderkey AS order_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS placed_at,
-        'Customer ' || o_custkey AS customer_name, 'C' || o_custkey || '@Example.com' AS customer_email,
-        'City ' || (o_custkey % 25) AS city, 1 + o_orderkey % 9 AS item_count,
-        floor(o_totalprice) + CASE WHEN floor(o_totalprice) >= 2999 THEN 0 ELSE 149 END AS total,
+        coalesce(c_name, 'Customer ' || o_custkey) AS customer_name, 'C' || o_custkey || '@Example.com' AS customer_email,
+        'City ' || (o_custkey % 25) AS city, coalesce(units, 0) AS item_count, coalesce(amount, 0::DOUBLE) AS subtotal,
+        coalesce(amount, 0::DOUBLE) + CASE WHEN coalesce(amount, 0) >= 2999 THEN 0 ELSE 149 END AS total,
         CASE o_orderstatus WHEN 'F' THEN 'delivered'
           WHEN 'P' THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'cancelled' ELSE 'placed' END
           ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'shipped'
             WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 'packed' ELSE 'placed' END END AS status,
-        o_orderkey, o_custkey, o_orderdate FROM orders""",
+        o_orderkey, o_custkey, o_orderdate FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+        LEFT JOIN line_sums ON l_orderkey = o_orderkey""",
     "changes": """SELECT order_id, 1 AS seq, 'packed' AS status,
           CASE WHEN o_orderkey % 3 = 0 THEN 'first ' || o_orderkey END AS note,
           o_orderdate + to_hours(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS updated_at FROM book
@@ -252,10 +256,10 @@ CTES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC, seq DESC) = 1""",
     "last_note": """SELECT order_id, note FROM known_changes WHERE note IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC, seq DESC) = 1""",
-    "current": """SELECT b.order_id, coalesce(c.status, b.status) AS status, coalesce(c.updated_at, b.placed_at) AS updated_at,
-        n.note, b.total FROM book b LEFT JOIN last_change c USING (order_id) LEFT JOIN last_note n USING (order_id)""",
+    "current": """SELECT b.* EXCLUDE (status), coalesce(c.status, b.status) AS status,
+        coalesce(c.updated_at, b.placed_at) AS updated_at, n.note FROM book b LEFT JOIN last_change c USING (order_id) LEFT JOIN last_note n USING (order_id)""",
     "book_lines": "SELECT 'ORD-' || l_orderkey AS order_id, l_linenumber AS line_no, CAST(l_partkey AS VARCHAR) AS sku, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem",
-    "reserved": f"""SELECT sku, {big('SUM(quantity)')} AS reserved FROM book_lines JOIN book USING (order_id)
+    "reserved": f"""SELECT sku, {big('SUM(quantity)')} AS reserved FROM book_lines JOIN current USING (order_id)
         WHERE status <> 'cancelled' GROUP BY 1""",
     "available": f"""SELECT sku, product_id, list_price, current_price,
         {big('greatest(0, on_hand - coalesce(reserved, 0))')} AS available
@@ -306,6 +310,7 @@ STOCK = f"""sku, {text('snapshot_date')}, store_id, {big('on_hand')} AS on_hand,
 STYLE = f"""product_id, style_id, style_name, category, subcategory, colour, season, list_price, current_price,
     discount_pct, on_hand, units_sold, return_rate_pct, {text('launch_date')}, sizes_in_stock, sizes_all, in_stock, is_new,
     popularity_rank"""
+WAY = STYLE.rsplit(",", 1)[0]
 LAST_DAYS = "sale_date >= (SELECT MAX(sale_date) FROM daily) - 14"
 REVENUE = f"{rnd('SUM(net_revenue)', 0)} AS net_revenue"
 MARGIN = f"{rnd('SUM(margin_amount) / nullif(SUM(net_revenue), 0) * 100', 1)} AS margin_pct"
@@ -316,7 +321,7 @@ VIOLATIONS = """SELECT rule, COUNT(*) AS failing
     FROM (SELECT unnest(string_split(violations, ',')) AS rule FROM {0} WHERE violations <> '') GROUP BY 1"""
 INVENTORY_LINE = """sku, style_name, category, colour, size, store_name, city, on_hand, on_order, daily_sell_rate,
     days_of_cover, status, stock_value"""
-ORDER_LINE = f"""order_id, {moment('placed_at')}, strftime(placed_at, '%Y-%m-%d %H:%M:%S') AS updated_at, customer_name,
+ORDER_LINE = f"""order_id, {moment('placed_at')}, {moment('updated_at')}, customer_name,
     city, item_count, total, status"""
 
 
@@ -415,10 +420,10 @@ BODIES: dict[str, str] = {
     "inventory_lines_dead": f"""SELECT {INVENTORY_LINE} FROM health WHERE status = 'dead'
         ORDER BY stock_value DESC, sku, store_id LIMIT 200""",
     **{
-        f"list_styles_{sort}": f"SELECT {STYLE} FROM styles"
+        f"list_styles_{sort}": f"SELECT {WAY} FROM ways"
         for sort in ("featured", "new", "price_low", "price_high", "discount")
     },
-    "list_styles_filtered": f"""SELECT {STYLE} FROM styles WHERE category = 'Tops' AND colour = 'Navy'
+    "list_styles_filtered": f"""SELECT {WAY} FROM ways WHERE category = 'Tops' AND colour = 'Navy'
         AND list_contains(string_split(sizes_in_stock, ','), 'M') AND list_price > current_price + 1""",
     "facets": f"""SELECT 'colour' AS facet, 'Navy' AS value, 0 AS place
         WHERE EXISTS (SELECT 1 FROM styles WHERE colour = 'Navy')
@@ -436,9 +441,10 @@ BODIES: dict[str, str] = {
           product_id FROM styles WHERE in_stock AND list_price > current_price + 1 QUALIFY position <= 4)""",
     "styles_per_category": "SELECT category, COUNT(*) AS styles FROM styles GROUP BY 1",
     "catalogue_values": "SELECT DISTINCT colour FROM products",
-    "catalogue_bundle": f"""SELECT product_id, s.style_id, s.style_name, s.category, s.colour, z.sizes, w.colourways
+    "catalogue_bundle": f"""SELECT s.* EXCLUDE (launch_date, popularity_rank), {text('launch_date')}, z.sizes, w.colourways
         FROM styles s
-        JOIN (SELECT product_id, string_agg(size || ':' || sku, ',' ORDER BY {SIZE_RANK}, size, sku) AS sizes
+        JOIN (SELECT product_id, string_agg(size || ':' || sku || ':' || on_hand || ':' || CAST(list_price AS BIGINT) || ':'
+              || CAST(current_price AS BIGINT), ',' ORDER BY {SIZE_RANK}, size, sku) AS sizes
               FROM catalog GROUP BY 1) z USING (product_id)
         JOIN (SELECT style_id, string_agg(product_id, ',' ORDER BY popularity_rank) AS colourways
               FROM styles GROUP BY 1) w ON s.style_id = w.style_id""",
@@ -458,19 +464,21 @@ BODIES: dict[str, str] = {
         CASE status WHEN 'placed' THEN 'packed,cancelled' WHEN 'packed' THEN 'shipped,cancelled'
           WHEN 'shipped' THEN 'delivered' ELSE '' END AS actions FROM current""",
     "unknown_statuses": f"SELECT order_id, seq, status, note, {moment('updated_at')} FROM changes WHERE status = 'lost'",
-    "orders_by_email": f"""SELECT order_id, {moment('placed_at')}, status, item_count, total FROM book
-        WHERE lower(customer_email) = 'c7@example.com' ORDER BY book.placed_at DESC, order_id LIMIT 25""",
-    "recent_orders": f"SELECT {ORDER_LINE} FROM book ORDER BY book.placed_at DESC, order_id LIMIT 60",
-    "recent_orders_placed": f"""SELECT {ORDER_LINE} FROM book WHERE status = 'placed'
-        ORDER BY book.placed_at DESC, order_id LIMIT 100""",
+    "orders_by_email": f"""SELECT order_id, {moment('placed_at')}, status, item_count, total FROM current
+        WHERE lower(customer_email) = 'c7@example.com' ORDER BY current.placed_at DESC, order_id LIMIT 25""",
+    "recent_orders": f"SELECT {ORDER_LINE} FROM current ORDER BY current.placed_at DESC, order_id LIMIT 60",
+    **{
+        f"recent_orders_{status}": f"""SELECT {ORDER_LINE} FROM current WHERE status = '{status}'
+        ORDER BY current.placed_at DESC, order_id LIMIT 100"""
+        for status in ("placed", "packed")
+    },
     "order_summary": f"""SELECT status, COUNT(*) AS orders, {big('SUM(item_count)')} AS units,
-        {rnd('SUM(total)', 0)} AS value FROM book GROUP BY 1""",
+        {rnd('SUM(total)', 0)} AS value FROM current GROUP BY 1""",
     "order_rollup": """SELECT COUNT(*) FILTER (status IN ('placed', 'packed', 'shipped')) AS open_orders,
-        COUNT(*) AS orders_taken, SUM(total) AS lifetime_value FROM book""",
+        COUNT(*) AS orders_taken, SUM(total) AS lifetime_value FROM current""",
     "order_documents": """SELECT b.order_id, b.status, b.total, coalesce(p.page, 0) AS page,
         coalesce(string_agg(line_no || ':' || sku, ',' ORDER BY line_no, sku), '') AS lines
-        FROM book b LEFT JOIN (SELECT *,
-            (row_number() OVER (PARTITION BY order_id ORDER BY line_no, sku) - 1) // 1000 AS page FROM book_lines) p
+        FROM current b LEFT JOIN (SELECT *, (line_no - 1) // 1000 AS page FROM book_lines) p
         ON b.order_id = p.order_id GROUP BY 1, 2, 3, 4""",
     "reserved_units": "SELECT * FROM reserved",
     "availability": "SELECT sku, product_id, available FROM available",
@@ -496,15 +504,41 @@ BODIES: dict[str, str] = {
              WHEN mistyped THEN '{"quantity":"x"}' END AS _rescued_data, dt FROM drops""",
     "ingest_idempotent": """SELECT dt, COUNT(*) AS "rows",
         COUNT(DISTINCT CASE WHEN NOT broken THEN transaction_id END) AS transactions FROM drops GROUP BY 1""",
+    "ingest_provenance": """SELECT dt, 0 AS ingest_batch, COUNT(*) AS "rows", COUNT(*) AS traced, COUNT(*) AS stamped
+        FROM drops GROUP BY 1""",
+    "drops_late_rows": """SELECT dt, COUNT(*) AS "rows",
+        COUNT(DISTINCT CASE WHEN NOT broken THEN transaction_id END) AS transactions FROM drops GROUP BY 1""",
+    "quarantine_rerun": """SELECT transaction_id, violations, 'bronze.sales' AS source_table, true AS dated
+        FROM checked_sales WHERE violations <> ''""",
+    "quality_report": " UNION ALL ".join(
+        f"SELECT '{stream}' AS stream, * FROM ({VIOLATIONS.format(f'checked_{stream}')})"
+        for stream in ("sales", "returns", "inventory")
+    ),
+    "overwrite_schema": f"SELECT category, {big('SUM(units_sold)')} AS units FROM daily GROUP BY 1",
+    "append_evolving": """SELECT season, COUNT(*) AS "rows", COUNT(CASE WHEN season <> 'SS26' THEN colour END) AS coloured
+        FROM products GROUP BY 1""",
+    "place_orders": f"""SELECT coalesce(c.status, 'placed') AS status, COUNT(*) AS orders,
+        {big('SUM(item_count)')} AS units, {big('SUM(u.units)')} AS line_units
+        FROM book b LEFT JOIN last_change c USING (order_id) LEFT JOIN (SELECT order_id, SUM(quantity) AS units
+          FROM book_lines GROUP BY 1) u USING (order_id) GROUP BY 1""",
+    "order_document_by_id": f"""SELECT order_id, status, total, 0 AS page, l_linenumber AS line_no, {L['sku']} AS sku,
+        {L['style_id']} || '-' || upper(left({L['colour']}, 3)) AS product_id, {L['style_name']} AS style_name,
+        {L['category']} AS category, {L['colour']} AS colour, {L['size']} AS size, {big('l_quantity')} AS quantity,
+        {rnd(L['retail_price'] + ' * (1 - l_discount)', 0)} AS unit_price, {L['retail_price']} AS list_price,
+        {rnd(rnd(L['retail_price'] + ' * (1 - l_discount)', 0) + ' * CAST(l_quantity AS BIGINT)', 2)} AS line_total
+        FROM current JOIN lineitem ON l_orderkey = o_orderkey WHERE order_id = 'ORD-7'""",
+    "availability_of": f"""SELECT sku, {big('coalesce(available, 0)')} AS available FROM (SELECT sku FROM products
+        WHERE CAST(sku AS BIGINT) % 50 = 0 UNION ALL SELECT 'no-such-sku') LEFT JOIN available USING (sku)""",
+    "bag_lines": f"""SELECT bag_id, sku, product_id, quantity, list_price, current_price, available,
+        {rnd('current_price * quantity', 2)} AS line_total, quantity > available AS short FROM bag JOIN available USING (sku)""",
+    "table_detail": """SELECT COUNT(*) AS "rows", 5 AS num_files, true AS mean_fits, true AS largest_fits FROM good_sales""",
+    "compact": f"""SELECT COUNT(*) AS "rows", {big('SUM(units_sold)')} AS units_sold, true AS few_files, true AS fewer_files
+        FROM daily""",
     "ingest_evolving": """SELECT dt, COUNT(*) AS "rows",
         COUNT(CASE WHEN NOT broken AND sale_date >= DATE '2026-08-15' THEN promo END) AS promo_rows FROM drops
         GROUP BY 1""",
     "delete_where": f"SELECT {DAILY} FROM daily WHERE net_revenue <= 10000000",
-    "version_counts": """SELECT * FROM (VALUES (0), (1), (2)) AS v(version),
-        LATERAL (SELECT COUNT(*) AS "rows" FROM daily WHERE version <> 1 OR net_revenue <= 10000000)""",
     "version_diff": f"SELECT 'removed' AS change, 1 AS copies, {DAILY} FROM daily WHERE net_revenue > 10000000",
-    "restore_version": f"SELECT {DAILY} FROM daily",
-    "zorder": f"SELECT transaction_id, {text('sale_date')}, store_id, quantity, net_amount FROM good_sales",
 }
 
 ORACLES: dict[str, str] = {name: oracle(body) for name, body in BODIES.items()}

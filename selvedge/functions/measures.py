@@ -37,17 +37,14 @@ def pct_null(part: Column, whole: Column, digits: int) -> Column:
     return F.round(part / F.nullif(whole, F.lit(0)) * 100, digits)
 
 
-_MEAN_SCALE = 1_000_000
-
-
 def fixed_point(value: Column) -> Column:
-    """A fraction as a whole number of millionths, so that sums do not depend on row order."""
-    return F.round(value * _MEAN_SCALE).cast("bigint")
+    """A fraction as an exact decimal, so that sums do not depend on row order."""
+    return value.cast("decimal(38,18)")
 
 
 def mean_of_fixed(total: Column, rows: Column) -> Column:
     """Mean of fractions summed as :func:`fixed_point`; NULL over no rows."""
-    return total.cast("double") / F.nullif(rows, F.lit(0)) / _MEAN_SCALE
+    return total.cast("double") / F.nullif(rows, F.lit(0))
 
 
 def days_of_cover(on_hand: Column, daily_rate: Column) -> Column:

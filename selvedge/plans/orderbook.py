@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selvedge.functions.measures import available_units
-from selvedge.operators.ranking import global_rank
-from selvedge.session import stage
 
 # Order statuses in order of fulfilment, then the closing one; delivery terms.
 TRACK = ("placed", "packed", "shipped", "delivered")
@@ -20,7 +18,7 @@ DELIVERY_FEE = 149.0
 
 # Longest accepted checkout inputs.
 CUSTOMER_LENGTHS = {"name": 80, "email": 120, "phone": 20, "address": 200, "city": 60, "postcode": 10}
-LINES_PER_DOCUMENT = 1000
+PAGE_LINES = 1000
 
 
 def conform_customer(df: DataFrame) -> DataFrame:
@@ -62,6 +60,11 @@ def apply_status_events(orders: DataFrame, events: DataFrame) -> DataFrame:
     return orders.join(folded, "order_id", "left").withColumns(changed).select(*orders.columns)
 
 
+def current_orders(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """The book as it stands now; every read of orders goes through this."""
+    return apply_status_events(orders, events)
+
+
 def tracker_stage(status: Column) -> Column:
     """How many steps of fulfilment an order has passed; NULL for a cancelled one."""
     steps = F.array(*[F.lit(s) for s in TRACK])
@@ -112,34 +115,19 @@ def order_rollup(summary: DataFrame) -> DataFrame:
     )
 
 
-def _paged(lines: DataFrame) -> DataFrame:
-    """Lines with the page of their order's document they belong to.
-
-    Orders within the limit, as all orders placed through a bag are, have one page and cost a
-    count. Longer ones are numbered over all tasks and cut into pages of the limit.
-    """
-    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    long_orders = stage(counts.filter(F.col("_n") > LINES_PER_DOCUMENT).select("order_id"), "long-orders")
-    if long_orders.isEmpty():
-        return lines.withColumn("page", F.lit(0).cast("bigint"))
-    short = lines.join(long_orders, "order_id", "left_anti").withColumn("page", F.lit(0).cast("bigint"))
-    rows = stage(lines.join(long_orders, "order_id", "left_semi"), "long-lines")
-    keyed = rows.withColumn("_copy", F.monotonically_increasing_id())
-    ranked = global_rank(keyed, [F.asc(c) for c in ("order_id", "line_no", "sku", "_copy")], "_place")
-    first = ranked.groupBy("order_id").agg(F.min("_place").alias("_first"))
-    page = F.call_function("div", F.col("_place") - F.col("_first"), F.lit(LINES_PER_DOCUMENT))
-    paged = ranked.join(first, "order_id").withColumn("page", page)
-    return short.unionByName(paged.select(*short.columns))
-
-
-def order_documents(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def order_documents(
+    orders: DataFrame, lines: DataFrame, order_id: str | None = None, page_lines: int = PAGE_LINES
+) -> DataFrame:
     """Each order with its lines nested in line order; an order without lines has none.
 
-    An order longer than any bag allows continues in further rows (``page``), so no array
-    grows without bound.
+    ``order_id`` looks one order up; an unknown one gives no row. Line ``n`` stands on page
+    ``(n - 1) div page_lines``, so that no array grows without bound.
     """
+    if order_id is not None:
+        orders, lines = (df.filter(F.col("order_id") == order_id) for df in (orders, lines))
     entry = F.struct("line_no", "sku", *[c for c in lines.columns if c not in ("order_id", "line_no", "sku")])
-    nested = _paged(lines).groupBy("order_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
+    page = F.call_function("div", F.coalesce("line_no", F.lit(1)) - 1, F.lit(page_lines)).cast("bigint")
+    nested = lines.groupBy("order_id", page.alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("lines"))
     joined = orders.join(nested, "order_id", "left")
     none = F.array().cast(nested.schema["lines"].dataType)
     return joined.withColumns({"page": F.coalesce("page", F.lit(0)), "lines": F.coalesce("lines", none)})
@@ -167,6 +155,12 @@ def availability(catalog: DataFrame, reserved: DataFrame) -> DataFrame:
     )
 
 
+def availability_of(catalog: DataFrame, reserved: DataFrame, skus: DataFrame) -> DataFrame:
+    """Units left of each asked SKU; one the catalogue does not know has none."""
+    left = skus.select("sku").distinct().join(availability(catalog, reserved).select("sku", "available"), "sku", "left")
+    return left.withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
+
+
 def style_availability(catalog: DataFrame, reserved: DataFrame) -> DataFrame:
     """The same over all sizes of a product: totals first, then the floor at zero."""
     stock = catalog.select("sku", "product_id", "on_hand").join(reserved, "sku", "left")

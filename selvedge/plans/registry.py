@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,15 +13,16 @@ from pyspark.sql import types as T
 from selvedge.functions import report
 from selvedge.functions.measures import shown_discount
 from selvedge.operators.folds import fold_bags
-from selvedge.operators.quality import passed, quarantine_stats, rejected, violation_report
+from selvedge.operators.quality import passed, quarantine, quarantine_stats, rejected, violation_report
 from selvedge.operators.ranking import global_rank
 from selvedge.operators.temporal import dedupe_by, fanout
 from selvedge.plans import billing, marts, orderbook, silver, storefront
 from selvedge.plans.adapter import Retail
 from selvedge.session import run_dir, stage, tune
-from selvedge.sources import layout, versions
+from selvedge.sources import layout, tables
+from selvedge.sources import orderbook as book_tables
 from selvedge.sources.drops import write_lines
-from selvedge.sources.tables import delete_where
+from selvedge.sources.tables import delete_where, row_diff
 from selvedge.streaming.ingest import STREAM_HINTS, ingest_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,13 +87,17 @@ class Lake(Retail):
     def style_catalog(self) -> DataFrame:
         return marts.style_catalog(self.product_catalog, self.good_sales)
 
+    @cached_property
+    def colourways(self) -> DataFrame:
+        return marts.colourways(self.product_catalog, self.good_sales)
+
     @cached_property
     def current_orders(self) -> DataFrame:
-        return orderbook.apply_status_events(self.orders, self.status_events)
+        return orderbook.current_orders(self.orders, self.status_events)
 
     @cached_property
     def reserved(self) -> DataFrame:
-        return orderbook.reserved_units(self.orders, self.order_lines)
+        return orderbook.reserved_units(self.current_orders, self.order_lines)
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -129,12 +135,14 @@ def _fanout_check(lake: Lake) -> DataFrame:
 
 
 def _bundle(lake: Lake) -> DataFrame:
-    bundle = storefront.catalogue_bundle(lake.style_catalog, lake.product_catalog)
-    return bundle.withColumn("sizes", F.transform("sizes", lambda s: F.concat_ws(":", s["size"], s["sku"])))
+    bundle = storefront.catalogue_bundle(lake.colourways, lake.product_catalog)
+    money = lambda x: x.cast("bigint").cast("string")
+    entry = lambda s: F.concat_ws(":", s["size"], s["sku"], s["on_hand"].cast("string"), money(s["list_price"]), money(s["current_price"]))
+    return bundle.withColumn("sizes", F.transform("sizes", entry))
 
 
 def _documents(lake: Lake) -> DataFrame:
-    found = orderbook.order_documents(lake.orders, lake.order_lines)
+    found = orderbook.order_documents(lake.current_orders, lake.order_lines)
     line = lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["sku"])
     return found.select("order_id", "status", "total", "page", F.transform("lines", line).alias("lines"))
 
@@ -185,7 +193,7 @@ def _report(lake: Lake) -> DataFrame:
 # --- ingest ---
 
 
-def _drop_lines(lake: Lake, path: str, promo: Column, when: str = "true") -> None:
+def _drop_lines(lake: Lake, path: str, promo: Column, batch: str, when: str = "true") -> None:
     """Land the sales as JSON lines by day; some broken, some with a mistyped quantity."""
     key = F.split("transaction_id", "-")[0].cast("bigint")
     mistyped, broken = key % 211 == 0, key % 503 == 0
@@ -205,7 +213,7 @@ def _drop_lines(lake: Lake, path: str, promo: Column, when: str = "true") -> Non
     text = F.when(mistyped, F.regexp_replace(text, r"\}$", ',"quantity":"x"}')).otherwise(text)
     cut = F.concat(F.lit('{"transaction_id":"'), "transaction_id", F.lit('",'))
     rows = lake.bronze_sales.filter(when)
-    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text))
+    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text), batch)
 
 
 def _promo() -> Column:
@@ -227,16 +235,38 @@ class _Landing:
 
 def _ingest_rescue(lake: Lake) -> DataFrame:
     place = _Landing(lake, "ingest-rescue")
-    _drop_lines(lake, place.landing, _promo())
+    _drop_lines(lake, place.landing, _promo(), "all")
     return place.ingest().drop("_source_file", "_ingested_at", "ingest_batch")
 
 
+def _ingest_provenance(lake: Lake) -> DataFrame:
+    """Where and when the rows of each day came from."""
+    place = _Landing(lake, "ingest-provenance")
+    _drop_lines(lake, place.landing, _promo(), "only")
+    origin = F.concat(F.lit("/dt="), "dt", F.lit("/batch=only/"))
+    return place.ingest().groupBy("dt", "ingest_batch").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("_source_file").contains(origin)).alias("traced"),
+        F.count_if(F.col("_ingested_at").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp())).alias("stamped"),
+    )
+
+
+def _drops_late_rows(lake: Lake) -> DataFrame:
+    """A day lands in two batches, the second bringing its late rows."""
+    place = _Landing(lake, "late-rows")
+    _drop_lines(lake, place.landing, _promo(), "first", "store_id % 2 = 0")
+    _drop_lines(lake, place.landing, _promo(), "late", "store_id % 2 = 1")
+    return place.ingest().groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("transaction_id").alias("transactions"))
+
+
 def _ingest_idempotent(lake: Lake) -> DataFrame:
-    """Land and ingest twice; the second round adds nothing."""
-    place = _Landing(lake, "ingest-twice")
-    for _ in range(2):
-        _drop_lines(lake, place.landing, _promo())
-        table = place.ingest()
+    """Ingest three times: nothing new adds nothing, new files of landed days add their rows once."""
+    place = _Landing(lake, "ingest-again")
+    _drop_lines(lake, place.landing, _promo(), "first", "store_id % 2 = 0")
+    place.ingest()
+    place.ingest()
+    _drop_lines(lake, place.landing, _promo(), "second", "store_id % 2 = 1")
+    table = place.ingest()
     return table.groupBy("dt").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("transaction_id").alias("transactions")
     )
@@ -245,9 +275,9 @@ def _ingest_idempotent(lake: Lake) -> DataFrame:
 def _ingest_evolving(lake: Lake) -> DataFrame:
     """The first half of the days lands without ``promo``, the second half with it."""
     place = _Landing(lake, "ingest-evolving")
-    _drop_lines(lake, place.landing, F.lit(None).cast("string"), "sold_at < '2026-08-15'")
+    _drop_lines(lake, place.landing, F.lit(None).cast("string"), "before", "sold_at < '2026-08-15'")
     place.ingest()
-    _drop_lines(lake, place.landing, _promo(), "sold_at >= '2026-08-15'")
+    _drop_lines(lake, place.landing, _promo(), "after", "sold_at >= '2026-08-15'")
     table = place.ingest()
     return table.groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.count("promo").alias("promo_rows"))
 
@@ -255,36 +285,101 @@ def _ingest_evolving(lake: Lake) -> DataFrame:
 # --- table upkeep ---
 
 
-def _versioned(lake: Lake, label: str) -> str:
-    """Daily sales written, cut down by a delete, and restored."""
-    path = run_dir(lake.spark, label)
-    versions.write_version(lake.daily_sales, path, "CREATE")
-    left = delete_where(versions.read_version(lake.spark, path), F.col("net_revenue") > BUSY_DAY)
-    versions.write_version(left, path, "DELETE")
-    versions.restore_version(lake.spark, path, 0)
-    return path
-
-
 def _compacted(lake: Lake) -> DataFrame:
-    """Daily sales in one small file per day, then compacted; the layout before and after."""
+    """Daily sales in one file per day, then compacted to a target size: what the layout became."""
     path = run_dir(lake.spark, "compact")
     lake.daily_sales.repartitionByRange(28, "sale_date").write.parquet(f"{path}/small")
-    after = layout.compact(lake.spark, f"{path}/small", f"{path}/packed")
-    before = layout.table_detail(lake.spark, f"{path}/small")
-    return before.withColumn("state", F.lit("before")).unionByName(after.withColumn("state", F.lit("after")))
+    before = layout.table_detail(lake.spark, f"{path}/small").first()
+    target = max(1, before["size_bytes"] // 3)
+    after = layout.compact(lake.spark, f"{path}/small", f"{path}/packed", target)
+    kept = lake.spark.read.parquet(f"{path}/packed").agg(F.count(F.lit(1)).alias("rows"), F.sum("units_sold").alias("units_sold"))
+    most = -(-before["size_bytes"] // target)
+    return kept.crossJoin(after).select(
+        "rows", "units_sold", (F.col("num_files") <= most).alias("few_files"), (F.col("num_files") < before["num_files"]).alias("fewer_files")
+    )
 
 
 def _detail(lake: Lake) -> DataFrame:
     path = run_dir(lake.spark, "detail")
-    lake.good_sales.write.parquet(path)
-    return layout.table_detail(lake.spark, path)
+    lake.good_sales.repartition(5).write.parquet(path)
+    rows = lake.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    found = layout.table_detail(lake.spark, path)
+    means = F.col("avg_bytes") * F.col("num_files") == F.col("size_bytes")
+    return rows.crossJoin(found).select(
+        "rows", "num_files", means.alias("mean_fits"), F.col("largest_bytes").between(F.col("avg_bytes"), F.col("size_bytes")).alias("largest_fits")
+    )
+
+
+def _quarantine_rerun(lake: Lake) -> DataFrame:
+    """A batch quarantined twice: its rows are there once, tagged with their source."""
+    path = run_dir(lake.spark, "quarantine")
+    for _ in range(2):
+        _, bad = quarantine(lake.checked_sales, path, "bronze.sales", "day-1")
+    tagged = bad.withColumn("dated", F.col("_quarantined_at").isNotNull())
+    return tagged.select("transaction_id", F.array_join("_violations", ",").alias("violations"), F.col("_source_table").alias("source_table"), "dated")
+
+
+def _quality_report(lake: Lake) -> DataFrame:
+    """Broken rules of all three streams."""
+    streams = {"sales": lake.checked_sales, "returns": lake.checked_returns, "inventory": lake.checked_inventory}
+    parts = [violation_report(rejected(df)).select(F.lit(name).alias("stream"), "*") for name, df in streams.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _table_name(label: str) -> str:
+    return f"{label}_{uuid.uuid4().hex[:12]}"
+
+
+def _overwritten(lake: Lake) -> DataFrame:
+    """A named table, replaced under another schema, and copied."""
+    name, copy = _table_name("daily"), _table_name("copy")
+    tables.write_table(lake.daily_sales, name)
+    tables.write_table(tables.read_table(lake.spark, name).groupBy("category").agg(F.sum("units_sold").alias("units")), f"{name}_new")
+    tables.write_table(tables.read_table(lake.spark, f"{name}_new"), name)
+    tables.snapshot_copy(lake.spark, name, copy)
+    tables.drop_table(lake.spark, name)
+    tables.drop_table(lake.spark, f"{name}_new")
+    return tables.read_table(lake.spark, copy)
+
+
+def _evolved(lake: Lake) -> DataFrame:
+    """A folder whose second append brings a column."""
+    path = run_dir(lake.spark, "evolving")
+    tables.append_evolving(lake.products.filter("season = 'SS26'").select("sku", "season"), path)
+    tables.append_evolving(lake.products.filter("season <> 'SS26'").select("sku", "season", "colour"), path)
+    return tables.read_evolving(lake.spark, path).groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.count("colour").alias("coloured"))
+
+
+def _placed(lake: Lake) -> DataFrame:
+    """Orders placed into tables of their own, changed by events, and summed up."""
+    schema = _table_name("ops")
+    for _ in range(2):
+        book_tables.ensure_ops_tables(lake.spark, schema)
+    headers = lake.orders.drop("placed_at", "updated_at", "status", "channel", "note")
+    book_tables.place_orders(headers, lake.order_lines, schema)
+    book_tables.record_status_events(lake.status_events, schema)
+    read = lambda name: lake.spark.read.table(f"{schema}.{name}")
+    now = orderbook.current_orders(read("orders"), read("status_events"))
+    units = read("order_lines").groupBy("order_id").agg(F.sum("quantity").alias("line_units"))
+    return now.join(units, "order_id", "left").groupBy("status").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("item_count").alias("units"), F.sum("line_units").alias("line_units")
+    )
+
+
+def _document_of(lake: Lake) -> DataFrame:
+    found = orderbook.order_documents(lake.current_orders, lake.order_lines, "ORD-7")
+    return found.select("order_id", "status", "total", "page", F.explode("lines").alias("line")).select("order_id", "status", "total", "page", "line.*")
+
+
+def _availability_of(lake: Lake) -> DataFrame:
+    asked = lake.products.filter("sku % 50 = 0").select("sku")
+    unknown = lake.spark.createDataFrame([("no-such-sku",)], "sku string")
+    return orderbook.availability_of(lake.product_catalog, lake.reserved, asked.unionByName(unknown))
 
 
-def _zordered(lake: Lake) -> DataFrame:
-    path = run_dir(lake.spark, "zorder")
-    sales = stage(lake.good_sales, "zorder-input")
-    layout.zorder(sales, ["sale_date", "store_id"]).write.parquet(path)
-    return lake.spark.read.parquet(path).select("transaction_id", "sale_date", "store_id", "quantity", "net_amount")
+def _bag_lines(lake: Lake) -> DataFrame:
+    found = orderbook.bag_lines(lake.bags, lake.product_catalog, lake.reserved)
+    return found.select("bag_id", "sku", "product_id", "quantity", "list_price", "current_price", "available", "line_total", "short")
 
 
 # Arguments the registered queries are run with.
@@ -302,6 +397,8 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "violation_report": lambda k: violation_report(rejected(k.checked_sales)),
     "violation_report_returns": lambda k: violation_report(rejected(k.checked_returns)),
     "violation_report_inventory": lambda k: violation_report(rejected(k.checked_inventory)),
+    "quality_report": _quality_report,
+    "quarantine_rerun": _quarantine_rerun,
     "quarantine_stats": lambda k: quarantine_stats(k.checked_sales),
     "net_sales": lambda k: k.sales,
     "dedupe_sales": lambda k: dedupe_by(k.good_sales, ["transaction_id"], ["sold_at", "sku"]),
@@ -331,22 +428,22 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "revenue_by_category": lambda k: storefront.revenue_by_category(k.daily_sales, DAYS),
     "returns_by_reason": lambda k: storefront.returns_by_reason(k.returns_analysis),
     "inventory_by_status": lambda k: storefront.inventory_by_status(k.inventory_health),
-    "top_styles": lambda k: storefront.top_styles(k.top_products),
+    "top_styles": lambda k: storefront.top_styles(marts.style_sales(k.sales, k.returns, k.products, k.stores)),
     "worst_size_style": lambda k: storefront.worst_size_style(k.size_curve),
     "size_curve_for_style": lambda k: storefront.size_curve_for_style(k.size_curve, "STY0005"),
     "inventory_lines": lambda k: storefront.inventory_lines(k.inventory_health),
     "inventory_lines_dead": lambda k: storefront.inventory_lines(k.inventory_health, "dead"),
     # catalogue reads
     **{
-        f"list_styles_{sort.replace('-', '_')}": lambda k, sort=sort: storefront.list_styles(k.style_catalog, sort)
+        f"list_styles_{sort.replace('-', '_')}": lambda k, sort=sort: storefront.list_styles(k.colourways, sort)
         for sort in storefront.SORTS
     },
     "list_styles_filtered": lambda k: storefront.list_styles(
-        k.style_catalog, category="Tops", colour="Navy", size="M", sale=True
+        k.colourways, category="Tops", colour="Navy", size="M", sale=True
     ),
-    "facets": lambda k: storefront.facets(storefront.filter_styles(k.style_catalog, colour="Navy")),
-    "shelves": lambda k: storefront.shelves(k.style_catalog),
-    "styles_per_category": lambda k: storefront.styles_per_category(k.style_catalog),
+    "facets": lambda k: storefront.facets(storefront.filter_styles(k.colourways, colour="Navy")),
+    "shelves": lambda k: storefront.shelves(k.colourways),
+    "styles_per_category": lambda k: storefront.styles_per_category(k.colourways),
     "catalogue_values": lambda k: storefront.catalogue_values(k.products, "colour"),
     "catalogue_bundle": _bundle,
     "fit_note": lambda k: storefront.fit_note(k.returns_analysis),
@@ -356,14 +453,19 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "order_status_latest": lambda k: k.current_orders.select("order_id", "status", "updated_at", "note", "total"),
     "order_tracking": _tracking,
     "unknown_statuses": lambda k: orderbook.unknown_statuses(k.status_events),
-    "orders_by_email": lambda k: orderbook.orders_by_email(k.orders, "c7@EXAMPLE.com"),
-    "recent_orders": lambda k: orderbook.recent_orders(k.orders),
-    "recent_orders_placed": lambda k: orderbook.recent_orders(k.orders, "placed", 100),
-    "order_summary": lambda k: orderbook.order_summary(k.orders),
-    "order_rollup": lambda k: orderbook.order_rollup(orderbook.order_summary(k.orders)),
+    "orders_by_email": lambda k: orderbook.orders_by_email(k.current_orders, "c7@EXAMPLE.com"),
+    "recent_orders": lambda k: orderbook.recent_orders(k.current_orders),
+    "recent_orders_placed": lambda k: orderbook.recent_orders(k.current_orders, "placed", 100),
+    "recent_orders_packed": lambda k: orderbook.recent_orders(k.current_orders, "packed", 100),
+    "order_summary": lambda k: orderbook.order_summary(k.current_orders),
+    "order_rollup": lambda k: orderbook.order_rollup(orderbook.order_summary(k.current_orders)),
     "order_documents": _documents,
+    "order_document_by_id": _document_of,
+    "place_orders": _placed,
     "reserved_units": lambda k: k.reserved,
     "availability": lambda k: orderbook.availability(k.product_catalog, k.reserved),
+    "availability_of": _availability_of,
+    "bag_lines": _bag_lines,
     "style_availability": lambda k: orderbook.style_availability(k.product_catalog, k.reserved),
     "price_bags": lambda k: orderbook.price_bags(k.bags, k.product_catalog, k.reserved),
     "fold_bags": lambda k: fold_bags(k.bag_events),
@@ -371,17 +473,17 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "format_report": _report,
     # ingest
     "ingest_rescue": _ingest_rescue,
+    "ingest_provenance": _ingest_provenance,
+    "drops_late_rows": _drops_late_rows,
     "ingest_idempotent": _ingest_idempotent,
     "ingest_evolving": _ingest_evolving,
     # table upkeep
     "delete_where": lambda k: delete_where(k.daily_sales, F.col("net_revenue") > BUSY_DAY),
-    "version_counts": lambda k: versions.version_counts(k.spark, _versioned(k, "version-counts")),
-    "version_diff": lambda k: versions.version_diff(k.spark, _versioned(k, "version-diff"), 0, 1),
-    "restore_version": lambda k: versions.read_version(k.spark, _versioned(k, "restore")),
-    "write_audit": lambda k: versions.write_audit(k.spark, _versioned(k, "audit")),
+    "version_diff": lambda k: row_diff(k.daily_sales, delete_where(k.daily_sales, F.col("net_revenue") > BUSY_DAY)),
     "table_detail": _detail,
     "compact": _compacted,
-    "zorder": _zordered,
+    "overwrite_schema": _overwritten,
+    "append_evolving": _evolved,
 }
 
 

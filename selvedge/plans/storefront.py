@@ -62,12 +62,13 @@ def inventory_by_status(health: DataFrame) -> DataFrame:
     return rows.orderBy(status_rank(F.col("status")))
 
 
-def top_styles(ranked: DataFrame, n: int = 12) -> DataFrame:
-    rows = ranked.withColumn("net_revenue", F.round("net_revenue", 0)).select(
-        "revenue_rank", "style_name", "category", "season", "units_sold", "net_revenue",
+def top_styles(styles: DataFrame, n: int = 12) -> DataFrame:
+    """The ``n`` best styles by net revenue; their rank is their place among these ``n``."""
+    best = top_rows(styles, [F.desc("net_revenue"), F.asc("style_id")], n, "revenue_rank")
+    return best.select(
+        "revenue_rank", "style_name", "category", "season", "units_sold", F.round("net_revenue", 0).alias("net_revenue"),
         "margin_amount", "avg_discount_pct", "return_rate_pct",
-    )
-    return rows.orderBy("revenue_rank").limit(n)
+    ).orderBy("revenue_rank")
 
 
 def worst_size_style(curve: DataFrame) -> DataFrame:
@@ -100,11 +101,11 @@ def inventory_lines(health: DataFrame, status: str | None = None, n: int = 200)
 
 
 def _listing_order(sort: str) -> list[Column]:
-    rank, current = F.col("popularity_rank"), F.coalesce("current_price", F.lit(0.0))
+    popular, current = [F.desc("units_sold"), F.asc("product_id")], F.coalesce("current_price", F.lit(0.0))
     markdown = F.coalesce("list_price", F.lit(0.0)) - current
     leading = {
-        "featured": [F.desc("in_stock"), rank],
-        "new": [F.desc("is_new"), rank],
+        "featured": [F.desc("in_stock"), *popular],
+        "new": [F.desc("is_new"), *popular],
         "price-low": [current.asc()],
         "price-high": [current.desc()],
         "discount": [markdown.desc()],
@@ -150,12 +151,13 @@ def shelves(styles: DataFrame) -> DataFrame:
     """The home page: new in, trending, and the largest reductions, all in stock."""
     stocked = styles.filter("in_stock")
     was, now = F.col("list_price"), F.col("current_price")
+    popular = [F.desc("units_sold"), F.asc("product_id")]
     picks = {
-        "new_in": (stocked.filter("is_new"), [F.asc("popularity_rank")], NEW_IN),
-        "trending": (stocked, [F.asc("popularity_rank")], TRENDING),
+        "new_in": (stocked.filter("is_new"), popular, NEW_IN),
+        "trending": (stocked, popular, TRENDING),
         "reduced": (
             stocked.filter(on_sale(was, now)),
-            [(was - now).desc(), F.asc("popularity_rank")],
+            [(was - now).desc(), *popular],
             REDUCED,
         ),
     }
@@ -180,12 +182,12 @@ def catalogue_bundle(styles: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Both arrays hold what one style offers, a handful of sizes and colours.
     """
-    entry = F.struct(size_rank(F.col("size")).alias("rank"), "size", "sku", "on_hand", "current_price")
+    entry = F.struct(size_rank(F.col("size")).alias("rank"), "size", "sku", "on_hand", "list_price", "current_price")
     sizes = catalog.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("sizes"))
-    colour = F.struct("popularity_rank", "product_id")
+    colour = F.struct((-F.col("units_sold")).alias("units"), "product_id")
     ways = styles.groupBy("style_id").agg(F.array_sort(F.collect_list(colour)).getField("product_id").alias("colourways"))
     return styles.join(sizes, "product_id").join(ways, "style_id").select(
-        "product_id", "style_id", "style_name", "category", "colour", "sizes", "colourways"
+        *[c for c in styles.columns], "sizes", "colourways"
     )
 
 

@@ -1,4 +1,4 @@
-"""Dated JSON drops: one directory per day under a landing folder."""
+"""Dated JSON drops: one directory per day under a landing folder, in it one per batch."""
 
 from __future__ import annotations
 
@@ -7,31 +7,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def landed_days(spark: SparkSession, path: str) -> DataFrame:
-    """The days a landing folder already holds, from its file listing."""
-    day = F.regexp_extract("path", r"/dt=([^/]+)/", 1).alias("dt")
+def landed_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The batches a landing folder already holds, from its file listing."""
+    batch = F.regexp_extract("path", r"/batch=([^/]+)/", 1).alias("batch")
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "dt string")
-    return files.select(day).distinct()
+        return spark.createDataFrame([], "batch string")
+    return files.select(batch).filter("batch <> ''").distinct()
 
 
-def write_lines(df: DataFrame, path: str, day: Column, line: Column) -> None:
-    """Write one text line per row into its day's directory, days that already exist excepted.
+def write_lines(df: DataFrame, path: str, day: Column, line: Column, batch_id: str) -> None:
+    """Write one text line per row into its day's directory, every row, under the batch's name.
 
-    Skipping them keeps a rerun from landing the same rows under new file names, which an
-    ingest would take for new arrivals. Rows are gathered by day; the rebalance splits a heavy
-    day over several files by size.
+    A batch lands once: a second landing of the same ``batch_id`` is refused, so a rerun cannot bring
+    rows in again under new file names, while late rows of a landed day come in as a batch of their
+    own. The rebalance splits a heavy day over several files by size.
     """
-    lines = df.select(line.alias("value"), F.date_format(day, "yyyy-MM-dd").alias("dt"))
-    fresh = lines.join(landed_days(df.sparkSession, path), "dt", "left_anti")
-    fresh.hint("rebalance", F.col("dt")).select("value", "dt").write.mode("append").partitionBy("dt").text(path)
+    if not batch_id or not batch_id.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("batch_id takes letters, digits, - and _")
+    if not landed_batches(df.sparkSession, path).filter(F.col("batch") == batch_id).isEmpty():
+        raise ValueError(f"batch {batch_id} has landed already")
+    lines = df.select(line.alias("value"), F.date_format(day, "yyyy-MM-dd").alias("dt"), F.lit(batch_id).alias("batch"))
+    lines.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt", "batch").text(path)
 
 
-def write_drops(df: DataFrame, path: str, day_col: str) -> None:
+def write_drops(df: DataFrame, path: str, day_col: str, batch_id: str) -> None:
     """Drop a stream as JSON lines by the day of ``day_col``; days without rows get no directory."""
     day = F.col(day_col).cast("date")
-    write_lines(df, path, day, F.to_json(F.struct(*df.columns)))
+    write_lines(df, path, day, F.to_json(F.struct(*df.columns)), batch_id)

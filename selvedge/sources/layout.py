@@ -1,11 +1,8 @@
-"""Physical layout: file report, compaction and multi-column clustering."""
+"""Physical layout: file report and compaction."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,70 +13,17 @@ def data_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_detail(spark: SparkSession, path: str) -> DataFrame:
-    """File count, total and mean size: the small-files report."""
+    """File count, total, mean and largest size: the small-files report."""
     return data_files(spark, path).agg(
         F.count(F.lit(1)).alias("num_files"),
         F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"),
         F.avg("length").alias("avg_bytes"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("largest_bytes"),
     )
 
 
 def compact(spark: SparkSession, source: str, target: str, target_file_bytes: int = 1 << 30) -> DataFrame:
-    """Rewrite a folder into files of about the target size and report the new layout.
-
-    Neighbouring scan splits are joined without a shuffle; only files that are too large are
-    dealt out again.
-    """
-    before = table_detail(spark, source).first()
-    files = max(1, -(-before["size_bytes"] // target_file_bytes))
-    rows = spark.read.parquet(source)
-    packed = rows.coalesce(files) if files <= before["num_files"] else rows.repartition(files)
-    packed.write.mode("overwrite").parquet(target)
+    """Rewrite a folder into as few files as hold it at the target size, dealt out evenly; report the new layout."""
+    size = table_detail(spark, source).first()["size_bytes"]
+    spark.read.parquet(source).repartition(max(1, -(-size // target_file_bytes))).write.mode("overwrite").parquet(target)
     return table_detail(spark, target)
-
-
-def _boundaries(df: DataFrame, column: str, bits: int) -> Column:
-    """At most ``2**bits - 1`` values that cut the column's distinct values into equal parts.
-
-    They come from a fixed number of distinct values, those with the smallest hashes: the
-    sample is bounded, repeatable, and copies of a value count once.
-    """
-    buckets, sample = 1 << bits, 4 << bits
-    values = df.select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
-    kept = values.orderBy(F.xxhash64("v")).limit(sample)
-    listed = kept.agg(F.sort_array(F.collect_list("v")).alias("v"))
-    place = lambda i: F.floor(i * F.size("v") / buckets).cast("int")
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("v", place(i)))
-    return listed.select(F.sort_array(F.array_distinct(cuts))).scalar()
-
-
-def _bucket(value: Column, cuts: Column, bits: int) -> Column:
-    """How many cuts lie below the value, by binary search; NULL counts as lowest."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-
-    def step(found: Column, width: Column) -> Column:
-        return F.when(F.coalesce(F.get(cuts, found + width - 1) < value, F.lit(False)), found + width).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), step)
-
-
-def zorder(df: DataFrame, columns: Sequence[str], bits: int = 8) -> DataFrame:
-    """Cluster rows so that those close in all the columns share files.
-
-    Each column becomes its rank among bounded quantile cuts, the ranks' bits are interleaved,
-    and rows are range-partitioned by the result. The row's place in the scan breaks ties, so
-    one value pair, or one row in very many copies, still spreads over several files. ``df``
-    is to be a plain table scan: there a repeated task finds every row in the same place.
-    """
-    if len(columns) * bits > 62:
-        raise ValueError("columns x bits must stay within 62")
-    cut = df.withColumns({f"_cuts{j}": _boundaries(df, c, bits) for j, c in enumerate(columns)})
-    coded = cut.withColumns({f"_rank{j}": _bucket(F.col(c), F.col(f"_cuts{j}"), bits) for j, c in enumerate(columns)})
-    pieces = [
-        F.shiftleft(F.shiftright(f"_rank{j}", bit).bitwiseAND(1).cast("bigint"), bit * len(columns) + j)
-        for bit in range(bits)
-        for j in range(len(columns))
-    ]
-    z = reduce(lambda a, b: a.bitwiseOR(b), pieces)
-    keyed = coded.withColumn("_z", z).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
-    return keyed.repartitionByRange("_z", "_tie").sortWithinPartitions("_z").select(*df.columns)

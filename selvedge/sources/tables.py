@@ -39,3 +39,12 @@ def read_evolving(spark: SparkSession, path: str) -> DataFrame:
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     """The rows a delete leaves: those for which the condition is not true, NULL included."""
     return df.filter(~F.coalesce(condition, F.lit(False)))
+
+
+def row_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that left and rows that came, with how many copies of each; equal rows meet as counts."""
+    columns = before.columns
+    both = before.select("*", F.lit(-1).alias("_n")).unionByName(after.select("*", F.lit(1).alias("_n")))
+    change = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    kind = F.when(F.col("_n") > 0, F.lit("added")).otherwise(F.lit("removed"))
+    return change.select(kind.alias("change"), F.abs("_n").alias("copies"), *columns)

@@ -14,9 +14,6 @@ STREAM_HINTS = {
     "returns": "quantity INT",
 }
 
-# A table stays a table: keys beyond this many columns remain in the rescue column, nothing is lost.
-MAX_COLUMNS = 2000
-
 RESCUED = "_rescued_data"
 _OWN = T.StructType().add(RESCUED, "string").add("_source_file", "string").add("_ingested_at", "timestamp")
 _FOLDERS = T.StructType().add("ingest_batch", "long").add("dt", "string")
@@ -84,8 +81,7 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
 
     # A row with as many typed values as keys has nothing to rescue. That is the usual case,
     # and it is spared the second parse.
-    fitted = sum((F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns), F.lit(0))
-    clean = fitted == F.size("_keys")
+    clean = F.lit(len(columns)) - F.size(blank) == F.size("_keys")
     left_over = F.nullif(F.to_json(F.map_filter(fields, misfit)), F.lit("{}"))
     novel = F.when(clean, False).otherwise(F.exists("_keys", lambda k: _unknown(k, columns)))
     rescued = F.when(F.col("_keys").isNull(), F.col("value")).when(clean, None).otherwise(left_over)
@@ -101,13 +97,13 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
 def _discover(raw: DataFrame, columns: T.StructType) -> T.StructType:
     """``columns`` plus every new key of the batch as a string, in name order.
 
-    Keys differing only in case are one column, named after the first in order. At most
-    ``MAX_COLUMNS`` names reach the driver, however many distinct keys the data has.
+    Keys differing only in case are one column, named after the first in order. Every key becomes
+    a column, so no key's place in that order decides what later steps keep.
     """
     shapes = raw.select(F.json_object_keys("value").alias("keys")).distinct()
     keys = shapes.select(F.explode("keys").alias("key")).filter(_unknown(F.col("key"), columns))
     names = keys.groupBy(F.lower("key").alias("name")).agg(F.min("key").alias("key")).orderBy("key")
-    found = names.limit(max(0, MAX_COLUMNS - len(columns))).collect()
+    found = names.collect()  # column names, not rows
     return T.StructType([*columns.fields, *[T.StructField(row["key"], T.StringType()) for row in found]])
 
 
@@ -163,7 +159,7 @@ def ingest_json(
 
     lines = spark.readStream.schema("value STRING, dt STRING").option("maxFilesPerTrigger", files_per_batch).text(source)
     query = (
-        with_provenance(lines)
+        with_provenance(lines.select("value", "dt", "_metadata"))
         .writeStream.foreachBatch(land)
         .option("checkpointLocation", f"{checkpoint}/commits")
         .trigger(availableNow=True)

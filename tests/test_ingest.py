@@ -1,13 +1,13 @@
 import json
-from datetime import date
 
 import pytest
-from conftest import rows
+from conftest import SMALL, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selvedge.plans import pipeline
-from selvedge.plans.generator import land, make_retail_drops
+from selvedge.plans.adapter import Retail
+from selvedge.sources.drops import write_drops
 from selvedge.streaming.ingest import ingest_json, known_columns, read_bronze, rescue
 
 HINTS = "quantity INT, price DOUBLE"
@@ -117,44 +117,38 @@ def test_empty_and_missing_inputs(spark, place, tmp_path):
             ingest_json(spark, **{"source": "s", "target": "t", "checkpoint": "c", "hints": HINTS, **bad})
 
 
+def test_more_than_two_thousand_keys_all_become_columns(spark, place):
+    place.drop("2026-08-01", "a.json", {"id": "1", **{f"k{n:04d}": "v" for n in range(2100)}}, {"id": "2", "zz": "last"})
+    got = by_id(place.ingest())
+    assert got["1"]["_rescued_data"] is None and got["2"]["_rescued_data"] is None
+    assert got["2"]["zz"] == "last" and got["1"]["k2099"] == "v"
+
+
 def test_the_whole_lake(spark, tmp_path):
-    drops = make_retail_drops(spark, date(2026, 8, 1), days=10)
+    given = Retail(spark, SMALL)
     paths = [str(tmp_path / n) for n in ("landing", "checkpoints", "lake")]
-    land(drops, paths[0])
-    made = pipeline.run_medallion(spark, *paths, drops.products, drops.stores)
-    sold, held, back = drops.sales.count(), drops.inventory.count(), drops.returns.count()
-    for stream, count in (("sales", sold), ("inventory", held), ("returns", back)):
+    streams = {"sales": (given.bronze_sales, "sold_at"), "returns": (given.bronze_returns, "returned_at"), "inventory": (given.bronze_inventory, "snapshot_date")}
+    for name, (df, day) in streams.items():
+        write_drops(df.drop("_rescued_data"), f"{paths[0]}/{name}", day, "first")
+    made = pipeline.run_medallion(spark, *paths, given.products, given.stores)
+    count = {name: df.count() for name, (df, _) in streams.items()}
+    for stream, rows_in in count.items():
         stats = pipeline.batch_stats(spark, paths[2], stream, "full").first()
-        assert stats["rows_in"] == count == stats["kept"] + stats["rejected"]
+        assert stats["rows_in"] == rows_in == stats["kept"] + stats["rejected"]
         assert spark.read.table(f"silver.{stream}").count() == stats["kept"]
     assert set(made) == set(pipeline.MARTS)
-    products = drops.products.count()
+    products = given.products.count()
     assert made["product_catalog"].count() == products
-    assert made["daily_sales"].agg(F.sum("units_sold")).first()[0] == drops.sales.agg(F.sum("quantity")).first()[0]
     silver = spark.read.table("silver.sales")
+    kept = silver.count()
+    assert made["daily_sales"].agg(F.sum("units_sold")).first()[0] == silver.agg(F.sum("quantity")).first()[0]
     assert silver.filter("net_revenue > net_amount").isEmpty()
     shares = made["size_curve"].groupBy("style_id").agg(F.sum("demand_share").alias("s"))
     assert shares.filter("abs(s - 100) > 0.5").isEmpty()
     ranks = sorted(r[0] for r in rows(made["style_catalog"].select("popularity_rank")))
     assert ranks == list(range(1, len(ranks) + 1))
-    again = pipeline.run_medallion(spark, *paths, drops.products, drops.stores)
-    assert spark.read.table("silver.sales").count() == sold
+    again = pipeline.run_medallion(spark, *paths, given.products, given.stores)
+    assert spark.read.table("silver.sales").count() == kept
     assert again["product_catalog"].count() == products
     with pytest.raises(ValueError):
-        pipeline.run_medallion(spark, "", paths[1], paths[2], drops.products, drops.stores)
-
-
-def test_generated_drops_do_not_depend_on_partitions(spark):
-    def digest(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-
-    one = make_retail_drops(spark, date(2026, 8, 1), days=4)
-    first = [digest(df) for df in (one.sales, one.returns, one.inventory)]
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
-    try:
-        two = make_retail_drops(spark, date(2026, 8, 1), days=4)
-        assert [digest(df) for df in (two.sales, two.returns, two.inventory)] == first
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    other = make_retail_drops(spark, date(2026, 8, 1), days=4, seed=7)
-    assert digest(other.sales) != first[0]
+        pipeline.run_medallion(spark, "", paths[1], paths[2], given.products, given.stores)

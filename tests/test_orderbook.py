@@ -88,14 +88,21 @@ def test_documents_nest_lines_in_order_and_keep_empty_orders(spark):
     assert got == {"1": ["a", "b"], "2": []}
 
 
-def test_very_long_orders_continue_on_further_pages(spark, monkeypatch):
-    monkeypatch.setattr(ob, "LINES_PER_DOCUMENT", 10)
+def test_long_orders_continue_on_further_pages(spark):
     lines = [line("long", n, f"s{n:03d}") for n in range(1, 36)] + [line("long", 35, "s035")] * 4 + [line("short", 1, "x")]
-    got = ob.order_documents(book(spark, order("long"), order("short")), spark.createDataFrame(lines, tables.ORDER_LINES))
-    pages = {(r["order_id"], r["page"]): [x["sku"] for x in r["lines"]] for r in got.collect()}
+    frame = spark.createDataFrame(lines, tables.ORDER_LINES)
+    got = ob.order_documents(book(spark, order("long"), order("short")), frame, page_lines=10).collect()
+    pages = {(r["order_id"], r["page"]): [x["sku"] for x in r["lines"]] for r in got}
     assert sorted(pages) == [("long", 0), ("long", 1), ("long", 2), ("long", 3), ("short", 0)]
     assert [s for p in range(4) for s in pages["long", p]] == [x[2] for x in sorted(lines[:-1], key=lambda x: x[1])]
-    assert max(map(len, pages.values())) == 10
+
+
+def test_one_document_by_id(spark):
+    orders = book(spark, order("1"), order("2"))
+    lines = spark.createDataFrame([line("1", n, f"s{n}") for n in range(1, 1002)] + [line("2", 1, "x")], tables.ORDER_LINES)
+    found = ob.order_documents(orders, lines, "1").collect()
+    assert sorted((r["page"], len(r["lines"])) for r in found) == [(0, 1000), (1, 1)]
+    assert ob.order_documents(orders, lines, "9").count() == 0
 
 
 @pytest.fixture
@@ -115,6 +122,8 @@ def test_availability(shop):
     catalog, reserved = shop
     assert sorted(rows(reserved)) == [("a", 3), ("b", 4)]
     assert sorted(rows(ob.availability(catalog, reserved))) == [("a", "p1", 2), ("b", "p1", 0), ("c", "p2", 0)]
+    asked = catalog.sparkSession.createDataFrame([("b",), ("c",), ("nope",)], "sku string")
+    assert sorted(rows(ob.availability_of(catalog, reserved, asked))) == [("b", 0), ("c", 0), ("nope", 0)]
     assert sorted(rows(ob.style_availability(catalog, reserved))) == [("p1", 0, True), ("p2", 0, True)]
 
 

@@ -1,5 +1,4 @@
 import json
-import random
 from pathlib import Path
 
 import pytest
@@ -8,38 +7,15 @@ from pyspark.sql import functions as F
 
 from selvedge import session
 from selvedge.plans.adapter import Retail
-from selvedge.sources import drops, layout, tables, versions
-
-
-def test_versions_restore_and_diff(spark, tmp_path):
-    path = str(tmp_path / "t")
-    assert versions.latest_version(spark, path) is None
-    with pytest.raises(ValueError):
-        versions.read_version(spark, path)
-    first = spark.createDataFrame([(1, 5.0), (2, 20.0), (2, 20.0), (3, None)], "id int, v double")
-    assert versions.write_version(first, path, "CREATE") == 0
-    left = tables.delete_where(versions.read_version(spark, path), F.col("v") > 10)
-    assert versions.write_version(left, path, "DELETE") == 1
-    assert versions.restore_version(spark, path, 0) == 2
-    assert rows(versions.version_counts(spark, path)) == [(0, 4), (1, 2), (2, 4)]
-    assert sorted(rows(versions.read_version(spark, path, 1)), key=str) == [(1, 5.0), (3, None)]
-    assert rows(versions.version_diff(spark, path, 0, 1)) == [("removed", 2, 2, 20.0)]
-    assert rows(versions.version_diff(spark, path, 0, 2)) == []
-    assert rows(versions.version_diff(spark, path, 1, 2)) == [("added", 2, 2, 20.0)]
-    audit = versions.write_audit(spark, path).collect()
-    assert [(r["version"], r["operation"], r["rows_written"]) for r in audit] == [(0, "CREATE", 4), (1, "DELETE", 2), (2, "RESTORE", 4)]
-    assert all(r["bytes_written"] > 0 and r["files_written"] > 0 and r["timestamp"] for r in audit)
-    with pytest.raises(ValueError):
-        versions.read_version(spark, path, 7)
-
-
-def test_data_without_its_audit_row_is_no_version(spark, tmp_path):
-    path = str(tmp_path / "t")
-    versions.write_version(spark.range(3), path)
-    spark.range(99).write.parquet(f"{path}/data/version=1")
-    assert versions.read_version(spark, path).count() == 3
-    assert versions.write_version(spark.range(5), path) == 1
-    assert versions.read_version(spark, path).count() == 5
+from selvedge.sources import drops, layout, tables
+
+
+def test_row_diff_counts_copies(spark):
+    old = spark.createDataFrame([(1, 5.0), (2, 20.0), (2, 20.0), (3, None)], "id int, v double")
+    left = tables.delete_where(old, F.col("v") > 10)
+    assert rows(tables.row_diff(old, left)) == [("removed", 2, 2, 20.0)]
+    assert rows(tables.row_diff(left, old)) == [("added", 2, 2, 20.0)]
+    assert rows(tables.row_diff(old, old)) == []
 
 
 def test_compaction(spark, tmp_path):
@@ -54,41 +30,17 @@ def test_compaction(spark, tmp_path):
     assert more["num_files"] >= 3
 
 
-def test_zorder_keeps_rows_and_narrows_files(spark, tmp_path):
-    rng = random.Random(5)
-    data = [(rng.randrange(64), f"st{rng.randrange(64):02d}", n) for n in range(4000)] + [(7, "st07", -1)] * 2000
-    source, target = str(tmp_path / "s"), str(tmp_path / "z")
-    spark.createDataFrame(data, "d int, store string, n int").write.parquet(source)
-    table = spark.read.parquet(source)
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        layout.zorder(table, ["d", "store"], bits=5).write.parquet(target)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    clustered = spark.read.parquet(target)
-    assert sorted(rows(clustered)) == sorted(data)
-    files = clustered.groupBy(F.col("_metadata.file_path")).agg(
-        F.count("*").alias("n"), (F.max("d") - F.min("d")).alias("d"), F.countDistinct("store").alias("s")
-    )
-    spans = files.collect()
-    assert len(spans) >= 10 and max(r["n"] for r in spans) < 2000
-    assert sum(r["d"] for r in spans) / len(spans) < 40 and sum(r["s"] for r in spans) / len(spans) < 40
-    with pytest.raises(ValueError):
-        layout.zorder(table, ["d", "store"], bits=32)
-
-
-def test_drops_skip_days_already_landed(spark, tmp_path):
+def test_late_rows_land_and_a_batch_lands_once(spark, tmp_path):
     path = str(tmp_path / "landing")
     df = spark.createDataFrame([("2026-08-01T10:00:00", 1), ("2026-08-03T10:00:00", 2)], "at string, v int")
-    drops.write_drops(df, path, "at")
-    files = {str(p) for p in Path(path).rglob("*.txt")}
-    assert sorted(p.name for p in Path(path).glob("dt=*")) == ["dt=2026-08-01", "dt=2026-08-03"]
-    later = spark.createDataFrame([("2026-08-01T11:00:00", 9), ("2026-08-04T10:00:00", 3)], "at string, v int")
-    drops.write_drops(df.union(later), path, "at")
-    assert files < {str(p) for p in Path(path).rglob("*.txt")}
-    assert sorted(json.loads(line)["v"] for p in Path(path).rglob("*.txt") for line in p.read_text().splitlines()) == [1, 2, 3]
+    drops.write_drops(df, path, "at", "a")
+    late = spark.createDataFrame([("2026-08-01T11:00:00", 9), ("2026-08-04T10:00:00", 3)], "at string, v int")
+    drops.write_drops(late, path, "at", "b")
+    for batch in ("a", "b", "", "x/y"):
+        with pytest.raises(ValueError):
+            drops.write_drops(df, path, "at", batch)
+    assert sorted(p.name for p in Path(path).glob("dt=*")) == ["dt=2026-08-01", "dt=2026-08-03", "dt=2026-08-04"]
+    assert sorted(json.loads(line)["v"] for p in Path(path).rglob("*.txt") for line in p.read_text().splitlines()) == [1, 2, 3, 9]
 
 
 def test_named_tables(spark):
