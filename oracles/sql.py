@@ -542,3 +542,27 @@ BODIES: dict[str, str] = {
 }
 
 ORACLES: dict[str, str] = {name: oracle(body) for name, body in BODIES.items()}
+
+# The bag as a recursion over each bag's ordered events.
+ORACLES["fold_bags"] = """
+WITH RECURSIVE e AS (
+  SELECT user_id AS b, json_extract_string(props, '$.k') AS k, least(10, 1 + event_id % 12) AS q,
+    CASE WHEN event_type IN ('purchase', 'click') THEN 'add' WHEN event_type = 'view' THEN 'set' ELSE 'remove' END AS o,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE event_type IN ('purchase', 'click', 'view', 'error') AND user_id IS NOT NULL
+    AND json_extract_string(props, '$.k') <> ''
+),
+f AS (
+  SELECT DISTINCT b, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, q BIGINT)[]) AS l FROM e
+  UNION ALL
+  SELECT f.b, e.n, CASE
+    WHEN o = 'remove' THEN list_filter(l, lambda x: x.k <> e.k)
+    WHEN len(list_filter(l, lambda x: x.k = e.k)) > 0 THEN list_transform(l, lambda x: CASE WHEN x.k <> e.k THEN x
+      ELSE {'k': x.k, 'q': CASE WHEN o = 'add' THEN least(10, x.q + e.q) ELSE e.q END} END)
+    WHEN o = 'add' AND len(l) < 20 THEN list_append(l, {'k': e.k, 'q': e.q})
+    ELSE l END
+  FROM f JOIN e ON e.b = f.b AND e.n = f.n + 1
+),
+g AS (SELECT b, arg_max(l, n) AS l FROM f GROUP BY b)
+SELECT b AS bag_id, i AS line_no, l[i].k AS sku, l[i].q AS quantity FROM g, unnest(range(1, len(l) + 1)) AS r(i)
+"""

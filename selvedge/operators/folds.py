@@ -16,7 +16,7 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_LINES = 20
 MAX_QUANTITY = 10
 
-_ORDER = ["bag_id", "at", "seq", "sku", "op"]
+_ORDER = ["bag_id", "at", "seq", "sku", "op", "quantity"]
 _ROWS_PER_FRAME = 10_000
 
 Lines = list[tuple[str, int]]
 
 
 def _clean(events: DataFrame) -> DataFrame:
-    """Clamp quantities, turn setting zero into removal, and merge copies of an event.
+    """Clamp quantities, turn setting zero into removal, and merge copies of an event; events without a bag go.
 
     Copies share their place in the order, so they combine before the shuffle: adding one
     quantity several times is adding their sum, everything else is done by the first.
@@ -45,7 +45,8 @@ def _clean(events: DataFrame) -> DataFrame:
     asked = F.greatest(F.lit(0), F.least(F.lit(MAX_QUANTITY), F.coalesce("quantity", F.lit(0))))
     removes = (F.col("op") == "remove") | ((F.col("op") == "set") & (asked == 0))
     quantity = F.when(removes, 0).when(F.col("op") == "add", F.greatest(F.lit(1), asked)).otherwise(asked)
-    valid = events.filter(F.col("op").isin("add", "set", "remove") & (F.col("sku") != ""))
+    named = F.col("bag_id").isNotNull() & (F.col("sku") != "")
+    valid = events.filter(F.col("op").isin("add", "set", "remove") & named)
     merged = valid.groupBy(
         "bag_id",
         "at",
@@ -56,7 +57,7 @@ def _clean(events: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("copies"))
     total = F.least(F.lit(MAX_QUANTITY), F.col("quantity") * F.least(F.col("copies"), F.lit(MAX_QUANTITY)))
     added = F.when(F.col("op") == "add", total).otherwise(F.col("quantity"))
-    return merged.select(*_ORDER, added.cast("bigint").alias("quantity"))
+    return merged.select(*_ORDER[:-1], added.cast("bigint").alias("quantity"))
 
 
 def _held(state: DataFrame, events: DataFrame) -> DataFrame:
@@ -87,8 +88,9 @@ def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines])
     another piece; each such bag has a row ``line_no`` = 0 even when it ends up empty.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["bag_id", "piece", "edge", "line_no", "sku", "quantity"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64()]
         out: list = []
         piece = bag = None
         lines: dict[str, int] = {}
@@ -101,9 +103,14 @@ def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines])
                 out.append((bag, piece, True, 0, None, 0))
             out.extend((bag, piece, edge, n, sku, quantity) for n, (sku, quantity) in enumerate(lines.items(), 1))
 
+        def batch() -> pa.RecordBatch:
+            values = list(zip(*out)) or [()] * len(columns)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], columns)
+
         for frame in frames:
+            kinds[0] = frame.schema.field("bag_id").type
             wanted = ["piece", "bag_id", "op", "sku", "quantity"]
-            for next_piece, next_bag, op, sku, quantity in zip(*(frame[c].tolist() for c in wanted)):
+            for next_piece, next_bag, op, sku, quantity in zip(*(frame.column(c).to_pylist() for c in wanted)):
                 if next_piece != piece or next_bag != bag:
                     close(edge=first or next_piece != piece)
                     first = next_piece != piece
@@ -111,10 +118,11 @@ def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines])
                     lines = dict(starts.get((bag, piece), ()))
                 _apply(lines, op, sku, quantity, max_lines)
             if len(out) >= _ROWS_PER_FRAME:
-                yield pd.DataFrame(out, columns=columns)
+                yield batch()
                 out = []
         close(edge=True)
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield batch()
 
     bag_type = pieces.schema["bag_id"].dataType.simpleString()
     schema = f"bag_id {bag_type}, piece int, edge boolean, line_no bigint, sku string, quantity bigint"
@@ -122,7 +130,7 @@ def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines])
         pieces.repartition("piece")
         .sortWithinPartitions("piece", *_ORDER)
         .select("piece", "bag_id", "op", "sku", "quantity")
-        .mapInPandas(fold, schema=schema)
+        .mapInArrow(fold, schema=schema)
     )
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Buckets over which facts after the last change of a dimension are dealt.
+OPEN_PARTS = 16
+
+
 def latest_value(df: DataFrame, column: str) -> Column:
     """``max(column)`` as a scalar subquery: no driver round trip and no join."""
     return df.agg(F.max(column)).scalar()
@@ -56,21 +60,24 @@ def interval_join_bucketed(
 
     Time is cut into buckets that join the equality keys: a key holding a large share of the
     facts spreads over its buckets, and a fact only meets the intervals of its own bucket.
-    Each interval is repeated once per bucket it touches, open ends up to the newest fact.
+    Facts from the dimension's last change on, where intervals are open, are dealt over
+    ``OPEN_PARTS`` further buckets by their moment. Only the dimension is looked through for that.
     """
     width = bucket_days * 86_400
 
     def bucket(moment: Column) -> Column:
         return F.floor(F.unix_seconds(moment.cast("timestamp")) / width).cast("bigint")
 
-    newest = bucket(latest_value(fact, at))
-    first = bucket(F.col(start))
-    last = F.least(newest, F.coalesce(bucket(F.col(end)), newest))
-    spread = dim.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-    spread = spread.withColumn("_bucket", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    return interval_join(fact.withColumn("_bucket", bucket(F.col(at))), spread, [*keys, "_bucket"], at, start, end).drop(
-        "_bucket"
-    )
+    final = dim.agg(F.max(F.greatest(bucket(F.col(start)), bucket(F.col(end))))).scalar()
+    top = final + OPEN_PARTS - 1
+    ended = bucket(F.col(end))
+    first = F.least(final, bucket(F.col(start)))
+    last = F.when(ended < final, ended).otherwise(top)
+    cut = dim.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    own = bucket(F.col(at))
+    dealt = final + F.pmod(F.xxhash64(at), F.lit(OPEN_PARTS))
+    placed = fact.withColumn("_bucket", F.when(own < final, own).otherwise(dealt))
+    return interval_join(placed, cut, [*keys, "_bucket"], at, start, end).drop("_bucket")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

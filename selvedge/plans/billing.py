@@ -73,8 +73,8 @@ def current_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def spend_by_cluster(usage: DataFrame, prices: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Spend per cluster source and name. Collapsing the clusters first keeps every usage row single."""
-    owned = usage.withColumn("cluster_id", F.col("usage_metadata.cluster_id")).join(
-        current_clusters(clusters), "cluster_id"
-    )
-    return _spend(priced_usage(owned, prices), {c: F.col(c) for c in ("cluster_source", "cluster_name")})
+    """Spend per cluster source and name: summed per cluster first, so a busy one meets its name as one row."""
+    by_id = priced_usage(usage, prices).groupBy(F.col("usage_metadata.cluster_id").alias("cluster_id"))
+    sums = by_id.agg(F.sum("usage_quantity").alias("usage_quantity"), F.sum("_usd").alias("_usd"))
+    named = sums.join(current_clusters(clusters), "cluster_id")
+    return _spend(named, {c: F.col(c) for c in ("cluster_source", "cluster_name")})

@@ -91,3 +91,11 @@ def test_continuing_from_a_state(spark, many_pieces):
     first = fold_bags(spark.createDataFrame(events[:300], SCHEMA), max_lines=4)
     then = fold_bags(spark.createDataFrame(events[300:], SCHEMA), state=first, max_lines=4)
     assert sorted(rows(then)) == whole
+
+
+def test_keys_beyond_the_doubles_and_events_without_a_bag(spark):
+    big = 2**53 + 1
+    events = [(big, START, 1, "add", "a", 2), (None, START, 2, "add", "a", 1), (big + 1, START, 3, "add", "b", 1)]
+    events += [(7, START, 1, "add", "a", 1), (7, START, 2, "set", "a", 5), (7, START, 2, "set", "a", 3)]
+    got = sorted(rows(fold_bags(spark.createDataFrame(events, SCHEMA))))
+    assert got == [(7, 1, "a", 5), (big, 1, "a", 2), (big + 1, 1, "b", 1)]
