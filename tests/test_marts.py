@@ -126,12 +126,12 @@ def test_top_products_and_returns(lake):
 
 
 def styles(spark):
-    columns = "product_id string, category string, colour string, list_price double, current_price double, in_stock boolean, is_new boolean, popularity_rank int, sizes_in_stock array<string>, sizes_all array<string>"
+    columns = "product_id string, category string, colour string, list_price double, current_price double, in_stock boolean, is_new boolean, units_sold int, sizes_in_stock array<string>, sizes_all array<string>"
     data = [
-        ("p1", "Tops", "Navy", 100.0, 100.0, False, True, 1, [], ["S", "M"]),
-        ("p2", "Tops", "Navy", 100.0, 60.0, True, False, 2, ["M"], ["M", "XL"]),
-        ("p3", "Shoes", "Olive", 200.0, 199.5, True, True, 3, ["40"], ["38", "40"]),
-        ("p4", "Tops", "Olive", 90.0, 50.0, True, False, 4, ["OS"], ["OS"]),
+        ("p1", "Tops", "Navy", 100.0, 100.0, False, True, 40, [], ["S", "M"]),
+        ("p2", "Tops", "Navy", 100.0, 60.0, True, False, 30, ["M"], ["M", "XL"]),
+        ("p3", "Shoes", "Olive", 200.0, 199.5, True, True, 20, ["40"], ["38", "40"]),
+        ("p4", "Tops", "Olive", 90.0, 50.0, True, False, 10, ["OS"], ["OS"]),
     ]
     return spark.createDataFrame(data, columns)
 

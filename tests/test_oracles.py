@@ -59,3 +59,39 @@ def test_bags_fold_like_one_pass_over_the_given_events(spark):
     events = [tuple(r) for r in Retail(spark, SMALL).bag_events.collect()]
     got = sorted(tuple(r) for r in QUERIES["fold_bags"](spark, SMALL).collect())
     assert got == brute(events)
+
+
+LAZY = (
+    "net_sales daily_sales inventory_health returns_analysis size_curve product_catalog top_styles list_styles_featured "
+    "list_styles_filtered facets shelves styles_per_category catalogue_bundle order_summary order_documents availability price_bags"
+).split()
+
+
+def test_building_a_read_runs_no_job(spark):
+    context = spark.sparkContext
+    context.setJobGroup("building", "")
+    try:
+        for name in LAZY:
+            assert QUERIES[name](spark, SMALL).columns
+        assert not context.statusTracker().getJobIdsForGroup("building")
+    finally:
+        context.setJobGroup("rest", "")
+
+
+def fact_scans(result):
+    """Reads of lineitem in the plan that ran; adaptive plans print the one they began with as well."""
+    found, skipped = 0, None
+    for text in result._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(text) - len(text.lstrip(" :+-|"))
+        if skipped is not None and depth > skipped:
+            continue
+        skipped = depth - 1 if "== Initial Plan ==" in text else None
+        found += "FileScan parquet [l_" in text
+    return found
+
+
+@pytest.mark.parametrize("name,most", [("product_catalog", 4), ("style_markdown", 2), ("inventory_health", 3), ("net_sales", 3), ("price_bags", 9)])
+def test_facts_are_read_a_few_times_at_most(spark, name, most):
+    result = QUERIES[name](spark, SMALL)
+    result.collect()
+    assert 0 < fact_scans(result) <= most
