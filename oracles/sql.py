@@ -245,11 +245,11 @@ CTES: dict[str, str] = {
         LEFT JOIN line_sums ON l_orderkey = o_orderkey""",
     "changes": """SELECT order_id, 1 AS seq, 'packed' AS status,
           CASE WHEN o_orderkey % 3 = 0 THEN 'first ' || o_orderkey END AS note,
-          o_orderdate + to_hours(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS updated_at FROM book
+          o_orderdate + to_hours(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS updated_at FROM book WHERE o_orderkey % 17 <> 0
         UNION ALL
         SELECT order_id, 2, CASE WHEN o_orderkey % 13 = 0 THEN 'lost' WHEN o_orderkey % 11 = 0 THEN 'cancelled'
           ELSE 'shipped' END, CASE WHEN o_orderkey % 6 = 1 THEN 'second ' || o_orderkey END,
-          o_orderdate + to_hours(CAST(o_orderkey % 7 + 1 AS INTEGER)) FROM book""",
+          o_orderdate + to_hours(CAST(o_orderkey % 7 + 1 AS INTEGER)) FROM book WHERE o_orderkey % 17 <> 0""",
     "known_changes": """SELECT * FROM changes
         WHERE status IN ('placed', 'packed', 'shipped', 'delivered', 'cancelled')""",
     "last_change": """SELECT * FROM known_changes

@@ -250,7 +250,7 @@ class Retail:
 
     @cached_property
     def status_events(self) -> DataFrame:
-        """Two status changes per order, some with a note and some naming an unknown status."""
+        """Two status changes for most orders, some with a note and some naming an unknown status."""
         first = (
             "struct(1L AS seq, 'packed' AS status, o_orderkey % 5 + 1 AS hours, "
             "if(o_orderkey % 3 = 0, concat('first ', o_orderkey), NULL) AS note)"
@@ -261,7 +261,9 @@ class Retail:
             "if(o_orderkey % 6 = 1, concat('second ', o_orderkey), NULL) AS note)"
         )
         return project(
-            self.table("orders").selectExpr("o_orderkey", "o_orderdate", f"inline(array({first}, {second}))"),
+            self.table("orders")
+            .filter("o_orderkey % 17 <> 0")
+            .selectExpr("o_orderkey", "o_orderdate", f"inline(array({first}, {second}))"),
             {
                 "order_id": _ORDER_ID.format("o_orderkey"),
                 "seq": "seq",
