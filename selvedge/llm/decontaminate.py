@@ -1,21 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Items are cut into passages of at most PASSAGE words, taken in blocks of about ITEMS passages, so all that is
-sent to tasks is bounded whatever the size of the benchmark; each block is searched against all documents:
+Items are cut evenly into passages of at most PASSAGE words, taken in blocks of about ITEMS passages, so all that
+is sent to tasks is bounded whatever the size of the benchmark (an item stays whole in its block, so by the longest
+item at most); each block is searched against all documents:
 
 1. Documents become arrays of vocabulary places (the block's words; others are -1), read as half passages of
    HALF words; two neighbouring halves are a passage. Document frequencies come from all of them.
 2. A randomised SVD of the TF-IDF matrix of all passages and items, one pass: with a Gaussian test matrix W
    tasks sum Z = A'(A W), and the Nystroem form Z (W'Z)^-1 Z' gives right singular vectors. The test matrix
    also holds the items themselves, so that their own directions are in the range that is found.
-3. Every passage and item is projected, and pairs with a cosine of COSINE or more are candidates.
-4. A candidate is confirmed by the longest common subsequence of words within a stretch little longer than the
-   item: ``COPY`` of the item's words make a copy; ``PARAPHRASE`` of them and the item's answer (its last
-   sentence, word by word in order) make a paraphrase.
+3. Every passage and passage of an item is projected, and pairs with a cosine of COSINE or more are candidates.
+4. A candidate is confirmed on the whole item, whatever its length, by the longest common subsequence of words
+   within a stretch little longer than the item: ``COPY`` of the item's words make a copy; ``PARAPHRASE`` of them
+   and the item's answer (its last sentence, word by word in order) make a paraphrase.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased for A-Z. Frequent words (in over
-COMMON of all half passages) weigh nothing in the search but count in the subsequence; the OWN rarest words of
-every item always weigh, so an item is found however often it has leaked.
+COMMON of all half passages, and in more than FEW) weigh nothing in the search but count in the subsequence; the
+OWN rarest words of every passage of an item always weigh, so an item is found however often it has leaked.
 
 Defined results: null or empty items and texts match nothing; an item repeated under several ids is reported
 under each; rows that repeat are reported once; items of fewer than LEAST words need all their words in a
@@ -39,7 +40,7 @@ from selvedge.session import stage
 
 HALF, PASSAGE, ITEMS = 32, 64, 256
 RANK, EXTRA = 256, 16
-COMMON, OWN, COSINE = 0.002, 8, 0.3
+COMMON, FEW, OWN, COSINE = 0.002, 64, 8, 0.3
 RUN = 1 << 17
 COPY, PARAPHRASE, LEAST = 0.75, 0.5, 8
 WORDS = alphabet(bytes(b for b in range(128) if not chr(b).isalnum()), fold=True, seed=31)
@@ -47,8 +48,8 @@ NON_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def item_passages(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, part, text, answer): passages of items; ``answer`` is the number of closing words that answer it."""
+def item_texts(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(item, text, answer, parts): words of items; the last ``answer`` ones answer it, ``parts`` passages hold it."""
     body = F.coalesce(F.col(text), F.lit(""))
 
     def words(column):
@@ -57,24 +58,21 @@ def item_passages(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
     last = F.regexp_extract(body, "([^.!?]+)[.!?\\s]*$", 1)
     rows = benchmark.select(F.col(key).alias("item"), words(body).alias("w"), F.size(words(last)).alias("answer")).filter("size(w) > 0")
-    rows = rows.select("item", "w", "answer", F.posexplode(F.sequence(F.lit(1), F.size("w"), F.lit(PASSAGE))).alias("part", "at"))
-    final = F.col("at") + PASSAGE > F.size("w")
-    return rows.select(
-        "item",
-        "part",
-        F.array_join(F.slice("w", F.col("at"), PASSAGE), " ").alias("text"),
-        F.when(final, F.least("answer", F.size("w") - F.col("at") + 1)).otherwise(0).alias("answer"),
-    ).distinct()
+    return rows.select("item", F.array_join("w", " ").alias("text"), "answer", F.ceil(F.size("w") / PASSAGE).alias("parts")).distinct()
 
 
 @dataclass(frozen=True)
 class Block:
-    """Items of one block: their words as places in the sorted vocabulary of word hashes."""
+    """Items of one block: their words as places in the sorted vocabulary of word hashes, and their passages."""
 
     names: list
-    answers: np.ndarray
+    answers: list[int]
     words: list[np.ndarray]
     vocabulary: np.ndarray
+    passages: list[tuple[int, int, int]]  # (item, first word, end)
+
+    def passage_words(self) -> list[np.ndarray]:
+        return [self.words[k][a:b] for k, a, b in self.passages]
 
 
 def read_block(rows: list) -> Block:
@@ -86,11 +84,21 @@ def read_block(rows: list) -> Block:
     every = np.concatenate(hashes)
     vocabulary, place = np.unique(every, return_inverse=True)
     words = [place[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return Block([(r["item"], r["part"]) for r in rows], np.array([r["answer"] for r in rows]), words, vocabulary)
+    passages = []
+    for k, own in enumerate(words):
+        parts = -(-len(own) // PASSAGE)
+        cuts = [len(own) * n // parts for n in range(parts + 1)]
+        passages += [(k, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return Block([r["item"] for r in rows], [r["answer"] for r in rows], words, vocabulary, passages)
+
+
+def place_type(size: int) -> type:
+    """The type of places in a vocabulary; long items may hold more words than int16 counts."""
+    return np.int16 if size < 1 << 15 else np.int32
 
 
 def _lookup(vocabulary: np.ndarray, hashes: np.ndarray, likely: np.ndarray) -> np.ndarray:
-    found = np.full(len(hashes), -1, dtype=np.int16)
+    found = np.full(len(hashes), -1, dtype=place_type(len(vocabulary)))
     maybe = np.flatnonzero(likely[hashes >> np.uint64(44)])
     own = hashes[maybe]
     at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
@@ -100,7 +108,7 @@ def _lookup(vocabulary: np.ndarray, hashes: np.ndarray, likely: np.ndarray) -> n
 
 
 def vocabulary_places(docs: DataFrame, key: str, text: str, vocabulary: np.ndarray) -> DataFrame:
-    """(key, places as int16 binary) for each text, and one row without a key per task: its document frequencies."""
+    """(key, places as binary) for each text, and one row without a key per task: its document frequencies."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = len(vocabulary)
@@ -146,11 +154,11 @@ def halves(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1], counts) + inside // HALF, first
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, column: int, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, places, offsets) for runs of texts of about RUN words."""
     low, size, parts = 0, 0, []
     for k, value in enumerate(batch.column(column)):
-        parts.append(np.frombuffer(value.as_buffer(), dtype=np.int16))
+        parts.append(np.frombuffer(value.as_buffer(), dtype=kind))
         size += len(parts[-1])
         if size > RUN:
             yield low, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -180,10 +188,10 @@ def _passages(sums: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def weights(seen: np.ndarray, halves_seen: int, block: Block) -> np.ndarray:
-    """Smoothed inverse document frequencies; 0 for frequent words but the rarest of each item."""
+    """Smoothed inverse document frequencies; 0 for frequent words but the rarest of each passage of an item."""
     idf = 1 + np.log((halves_seen + 1) / (seen + 1))
-    light = seen > COMMON * halves_seen
-    for words in block.words:
+    light = seen > max(FEW, COMMON * halves_seen)
+    for words in block.passage_words():
         own = np.unique(words)
         light[own[np.argsort(seen[own], kind="stable")[:OWN]]] = False
     idf[light] = 0
@@ -193,8 +201,9 @@ def weights(seen: np.ndarray, halves_seen: int, block: Block) -> np.ndarray:
 def latent_vectors(places: DataFrame, block: Block, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors (words x rank) of the TF-IDF matrix of all passages and items."""
     size = len(idf)
-    items = np.zeros((len(block.words), size))
-    for k, words in enumerate(block.words):
+    own = block.passage_words()
+    items = np.zeros((len(own), size))
+    for k, words in enumerate(own):
         np.add.at(items[k], words, idf[words])
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
     width = min(size, RANK + EXTRA)
@@ -207,7 +216,7 @@ def latent_vectors(places: DataFrame, block: Block, idf: np.ndarray) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted, held = sent.value, np.zeros((size, width), dtype=np.float32)
         for batch in batches:
-            for _, place, offsets in _texts(batch, 0):
+            for _, place, offsets in _texts(batch, 0, place_type(size)):
                 half, first = halves(offsets)
                 sums, words, where = _sum_halves(place, half, int(first[-1]), weighted, heavy)
                 if not len(words):
@@ -259,7 +268,7 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 
 class Item:
-    """An item passage ready to be compared with stretches of text."""
+    """A whole item ready to be compared with stretches of text."""
 
     def __init__(self, words: np.ndarray, answer: int):
         self.words, self.answer = words.tolist(), answer
@@ -269,7 +278,7 @@ class Item:
         self.stretch = self.size + self.size // 2 + 8
 
     def judge(self, text: list[int]) -> tuple[int, int, int, bool] | None:
-        """(common words, begin, end, answer found) of the best stretch, if that is a copy or a paraphrase."""
+        """(common words, begin, end, answer found) of the best stretch that is a copy or a paraphrase."""
         at = -1
         for _ in range(text.count(self.words[0])):
             at = text.index(self.words[0], at + 1)
@@ -279,39 +288,51 @@ class Item:
             return None
         if common_length(self.masks, self.size, text)[0] < PARAPHRASE * self.size:
             return None
-        best = (0, 0, 0)
+        best = None
         for low in range(0, max(1, len(text) - self.stretch + self.size // 4), max(4, self.size // 4)):
             part = text[low : low + self.stretch]
             length, reach = common_length(self.masks, self.size, part)
-            if length > best[0]:
-                length, back = common_length(self.backward, self.size, part[:reach][::-1])
-                best = (length, low + reach - back, low + reach)
-        length, begin, end = best
-        answered = bool(self.closing) and common_length(_masks(self.closing), self.answer, text[begin : end + self.answer])[0] == self.answer
-        if length >= COPY * self.size or (length >= PARAPHRASE * self.size and answered and 3 <= self.answer < self.size):
-            return length, begin, end, answered
-        return None
+            if length < PARAPHRASE * self.size or (best and length <= best[0]):
+                continue
+            length, back = common_length(self.backward, self.size, part[:reach][::-1])
+            begin, end = low + reach - back, low + reach
+            answered = bool(self.closing) and common_length(_masks(self.closing), self.answer, text[begin : end + self.answer])[0] == self.answer
+            if length >= COPY * self.size or (answered and 3 <= self.answer < self.size):
+                best = length, begin, end, answered
+        return best
+
+
+def joined(places: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """(text, item, begin, end, cosine) with overlapping places of an item in a text as one, of the highest cosine."""
+    found: list[tuple[int, int, int, int, float]] = []
+    for text, item, begin, end, cosine in sorted(places):
+        if found and found[-1][:2] == (text, item) and begin <= found[-1][3]:
+            _, _, low, high, best = found.pop()
+            found.append((text, item, low, max(high, end), max(best, cosine)))
+        else:
+            found.append((text, item, begin, end, cosine))
+    return found
 
 
 def search(places: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray) -> DataFrame:
-    """Confirmed (key, passage, cosine, common, size, begin, end, answered)."""
-    items = np.zeros((len(block.words), latent.shape[1]), dtype=np.float32)
-    for k, words in enumerate(block.words):
+    """Confirmed (key, number of the item, cosine, common, size, begin, end, answered)."""
+    items = np.zeros((len(block.passages), latent.shape[1]), dtype=np.float32)
+    for k, words in enumerate(block.passage_words()):
         items[k] = idf[words] @ latent[words]
     norms = np.linalg.norm(items, axis=1, keepdims=True)
     items = np.where(norms > 0, items / np.maximum(norms, 1e-9), 0).astype(np.float32)
     context = places.sparkSession.sparkContext
-    sent = context.broadcast(((idf[:, None] * latent).astype(np.float32), items, block.words, block.answers.tolist()))
-    heavy = idf > 0
+    sent = context.broadcast(((idf[:, None] * latent).astype(np.float32), items, block.words, block.answers, block.passages))
+    heavy, size = idf > 0, len(idf)
     kind = places.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, passage int, cosine double, common int, size int, begin bigint, end bigint, answered boolean"
+    schema = f"key {kind}, number int, cosine double, common int, size int, begin bigint, end bigint, answered boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted, sought, words_of, answers = sent.value
+        weighted, sought, words_of, answers, passages = sent.value
         ready = [Item(w, a) for w, a in zip(words_of, answers, strict=True)]
         for batch in batches:
             rows, out = [], []
-            for low, place, offsets in _texts(batch, 1):
+            for low, place, offsets in _texts(batch, 1, place_type(size)):
                 half, first = halves(offsets)
                 sums, words, where = _sum_halves(place, half, int(first[-1]), weighted, heavy)
                 if not len(words):
@@ -321,20 +342,26 @@ def search(places: DataFrame, block: Block, idf: np.ndarray, latent: np.ndarray)
                 norm = np.bincount(where, idf[words] ** 2, minlength=len(sums)).astype(np.float32)
                 norm = np.sqrt(_passages(norm[:, None], first)[:, 0])
                 alive = np.flatnonzero(norm > 0)
+                near = []
                 for cut in range(0, len(alive), 8192):
                     some = alive[cut : cut + 8192]
                     cosine = passage[some] / norm[some, None] @ sought.T
-                    for a, item in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    for a, b in zip(*np.nonzero(cosine >= COSINE), strict=True):
                         number = int(some[a])
                         text = int(np.searchsorted(first, number, side="right")) - 1
                         at = int(offsets[text]) + (number - int(first[text])) * HALF
-                        begin, end = max(int(offsets[text]), at - HALF), min(int(offsets[text + 1]), at + PASSAGE + HALF)
-                        found = ready[item].judge(place[begin:end].tolist())
-                        if found:
-                            length, x, y, answered = found
-                            shift = begin - int(offsets[text])
-                            rows.append(low + text)
-                            out.append((int(item), float(cosine[a, item]), length, ready[item].size, shift + x, shift + y, answered))
+                        # The rest of the item stands before and after what is alike, half as long again at most.
+                        item, head, tail = passages[b]
+                        before, after = head * 3 // 2, (len(words_of[item]) - tail) * 3 // 2
+                        begin = max(int(offsets[text]), at - HALF - before)
+                        near.append((text, item, begin, min(int(offsets[text + 1]), at + PASSAGE + HALF + after), float(cosine[a, b])))
+                for text, item, begin, end, alike in joined(near):
+                    found = ready[item].judge(place[begin:end].tolist())
+                    if found:
+                        length, x, y, answered = found
+                        shift = begin - int(offsets[text])
+                        rows.append(low + text)
+                        out.append((item, alike, length, ready[item].size, shift + x, shift + y, answered))
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
@@ -350,12 +377,12 @@ def find_leaks(
 ) -> DataFrame:
     """(key, item, kind, share, cosine, first_word, last_word): one row for each item found in a document."""
     spark = docs.sparkSession
-    passages = stage(item_passages(benchmark, item, item_text), "items")
-    blocks = max(1, math.ceil(passages.count() / ITEMS))
-    passages = passages.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(blocks)))
+    items = stage(item_texts(benchmark, item, item_text), "items")
+    blocks = max(1, math.ceil((items.agg(F.sum("parts")).first()[0] or 0) / ITEMS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     found = None
     for k in range(blocks):
-        rows = passages.filter(F.col("block") == k).orderBy("item", "part").collect()  # about ITEMS rows of PASSAGE words
+        rows = items.filter(F.col("block") == k).orderBy("item", "text").collect()  # about ITEMS passages of PASSAGE words
         if not rows:
             continue
         block = read_block(rows)
@@ -364,9 +391,9 @@ def find_leaks(
         seen = total(places.filter("sums").select(F.lit(0).alias("slice"), F.col("places").alias("part")), (size + 1,), np.int64, np.int64, slices=1)
         idf = weights(seen[:size], int(seen[size]), block)
         hits = search(places, block, idf, latent_vectors(places, block, idf))
-        kind = passages.schema["item"].dataType
-        names = spark.createDataFrame([(n, *name) for n, name in enumerate(block.names)], f"passage int, item {kind.simpleString()}, part int")
-        own = stage(hits.join(names, "passage"), "leaks")
+        kind = items.schema["item"].dataType
+        names = spark.createDataFrame(list(enumerate(block.names)), f"number int, item {kind.simpleString()}")
+        own = stage(hits.join(names, "number"), "leaks")
         found = own if found is None else found.unionByName(own)
     if found is None:
         kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()

@@ -128,6 +128,23 @@ def test_leaks_of_copies_and_paraphrases(spark, odd):
     assert decontaminate.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_long_items_are_judged_whole(spark):
+    """Passages only find an item: neither a last word nor a part of it is a leak, all parts together are."""
+    tail, long = [f"question{k}" for k in range(65)], [f"item{k}" for k in range(94)]
+    answer = "six words that close the case".split()
+    kept = [w if k % 3 else f"other{k}" for k, w in enumerate(long[:64])] + [w if k % 4 == 0 else f"other{k}" for k, w in enumerate(long[64:])]
+    many = [f"page{k}" for k in range(700)]
+    texts = [
+        (1, f"{prose(100, 21)} {tail[-1]} {prose(100, 22)}"), (2, f"{prose(40, 23)} {' '.join(kept + answer)}"), (3, " ".join(kept)),
+        (4, f"{prose(90, 24)} {' '.join(w for k, w in enumerate(many) if k % 6)} {prose(90, 25)}"), (5, " ".join(many[320:480])),
+    ]
+    benchmark = spark.createDataFrame([(1, " ".join(tail)), (2, f"{' '.join(long)}. {' '.join(answer)}."), (3, " ".join(many))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    assert set(found) == {(2, 2), (4, 3)}
+    assert found[2, 2].kind == "paraphrase" and found[2, 2].share == 0.56
+    assert found[4, 3].kind == "copy" and found[4, 3].share == 583 / 700 and (found[4, 3].first_word, found[4, 3].last_word) == (90, 672)
+
+
 def test_common_subsequence_is_that_of_the_table():
     pick = random.Random(3)
     for _ in range(200):
