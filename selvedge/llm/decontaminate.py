@@ -12,7 +12,8 @@ item at most); each block is searched against all documents:
 3. Every passage and passage of an item is projected, and pairs with a cosine of COSINE or more are candidates.
 4. A candidate is confirmed on the whole item, whatever its length, by the longest common subsequence of words
    within a stretch little longer than the item: ``COPY`` of the item's words make a copy; ``PARAPHRASE`` of them
-   and the item's answer (its last sentence, word by word in order) make a paraphrase.
+   and the item's answer (its last sentence of any length, word by word in order) make a paraphrase; of an item of
+   one sentence, which has no answer of its own, ``PARAPHRASE`` of the words alone do.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased for A-Z. Frequent words (in over
 COMMON of all half passages, and in more than FEW) weigh nothing in the search but count in the subsequence; the
@@ -56,7 +57,7 @@ def item_texts(benchmark: DataFrame, key: str, text: str) -> DataFrame:
         low = F.translate(column, UPPER, LOWER)
         return F.filter(F.split(low, NON_WORD), lambda w: w != "")
 
-    last = F.regexp_extract(body, "([^.!?]+)[.!?\\s]*$", 1)
+    last = F.element_at(F.split(F.regexp_replace(body, f"{NON_WORD}$", ""), "[.!?]"), -1)
     rows = benchmark.select(F.col(key).alias("item"), words(body).alias("w"), F.size(words(last)).alias("answer")).filter("size(w) > 0")
     return rows.select("item", F.array_join("w", " ").alias("text"), "answer", F.ceil(F.size("w") / PASSAGE).alias("parts")).distinct()
 
@@ -274,7 +275,7 @@ class Item:
         self.words, self.answer = words.tolist(), answer
         self.size = len(self.words)
         self.masks, self.backward = _masks(self.words), _masks(self.words[::-1])
-        self.closing = self.words[self.size - answer :] if answer else []
+        self.closing = self.words[self.size - answer :] if answer < self.size else []
         self.stretch = self.size + self.size // 2 + 8
 
     def judge(self, text: list[int]) -> tuple[int, int, int, bool] | None:
@@ -297,7 +298,7 @@ class Item:
             length, back = common_length(self.backward, self.size, part[:reach][::-1])
             begin, end = low + reach - back, low + reach
             answered = bool(self.closing) and common_length(_masks(self.closing), self.answer, text[begin : end + self.answer])[0] == self.answer
-            if length >= COPY * self.size or (answered and 3 <= self.answer < self.size):
+            if length >= COPY * self.size or answered or not self.closing:
                 best = length, begin, end, answered
         return best
 

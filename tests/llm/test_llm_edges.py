@@ -145,6 +145,18 @@ def test_long_items_are_judged_whole(spark):
     assert found[4, 3].kind == "copy" and found[4, 3].share == 583 / 700 and (found[4, 3].first_word, found[4, 3].last_word) == (90, 672)
 
 
+def test_paraphrases_with_answers_of_any_length(spark):
+    """Two thirds of the question and an answer of one word, of two, in quotes or none are leaks; a wrong answer is not."""
+    closings = [" Paris.", " 42.", " Grey pumice!", ' "Basalt."', "", " Lisbon.", " Grey chalk."]
+    said = ["Paris", "42", "grey pumice", "basalt", "", "Vienna", "chalk grey"]
+    questions = [[f"ask{k}word{n}" for n in range(24)] for k in range(len(closings))]
+    benchmark = spark.createDataFrame([(k, f"{' '.join(q)}?{c}") for k, (q, c) in enumerate(zip(questions, closings, strict=True))], "item_id long, text string")
+    texts = [f"{prose(80, 40 + k)} {' '.join(w if n % 3 else 'instead' for n, w in enumerate(q))} {s} {prose(60, 60 + k)}" for k, (q, s) in enumerate(zip(questions, said, strict=True))]
+    found = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(5)}
+    assert {r.kind for r in found} == {"paraphrase"} and all(0.6 < r.share < 0.75 for r in found)
+
+
 def test_common_subsequence_is_that_of_the_table():
     pick = random.Random(3)
     for _ in range(200):
