@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selvedge.llm import decontaminate as leaks
@@ -16,23 +16,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs)
 
 
+def row_id() -> Column:
+    """The id of a row; one without an id is known by its text, by a number of 2**62 and more."""
+    low = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    return F.coalesce(F.col("doc_id").cast("long"), low.bitwiseOR(F.lit(1 << 62)))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8, five words): the one with the least id.
 
-    Of rows that share an id the first by their columns stays; rows without an id all stay.
+    Of rows that share an id the first by their columns stays, and of rows without an id those that hold one text
+    count as sharing one; a row without an id goes if a near copy has an id.
     """
-    kept = neardup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.join(stage(kept, "kept"), "doc_id", "left_semi")
+    named = docs.withColumn("_row_id", row_id())
+    kept = neardup.near_duplicates(named, "_row_id").filter("kept").select("_row_id").distinct()
+    chosen = named.join(stage(kept, "kept"), "_row_id", "left_semi")
     order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    first = chosen.withColumn("_place_of_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_place_of_id = 1")
-    return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    first = chosen.withColumn("_place_of_id", F.row_number().over(Window.partitionBy("_row_id").orderBy(*order))).filter("_place_of_id = 1")
+    return first.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; rows without an id are judged by their text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = stage(leaks.find_leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    named = docs.withColumn("_row_id", row_id())
+    found = stage(leaks.find_leaks(named, benchmark, "_row_id").select("_row_id").distinct(), "leaking")
+    return named.join(found, "_row_id", "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

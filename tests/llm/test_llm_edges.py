@@ -114,6 +114,17 @@ def test_pipeline_dedup_keeps_one_row_of_each_group(spark, odd):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 9, 11, 12] and ids.count(None) == 3
 
 
+def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
+    item, text = " ".join(f"leak{k}" for k in range(30)), prose(120, 31)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{prose(50, 32)} {item}"), (None, text), (None, text), (None, text + " end"), (7, prose(120, 33)), (None, prose(120, 33)), (8, item), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = stages.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    single = [tuple(r) for r in stages.near_dedup(spark, docs, "").collect()]
+    assert len(single) == 5 and {rows[0], rows[4], rows[6], rows[7]} < set(single) and len({(None, text), (None, text + " end")} & set(single)) == 1
+
+
 def test_leaks_of_copies_and_paraphrases(spark, odd):
     item = "Which owl sings when the rain falls over the wide grey harbour at dusk and nobody listens? The seventh owl by the northern pier."
     other = "Name a stone that floats on warm water in the month of june while children look on. Pumice of the western islands."
