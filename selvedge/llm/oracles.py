@@ -1,7 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express, written apart from the operators.
 
 Of the operators only tables of rules are read: patterns, thresholds, words. Retrieval by singular vectors, a
-trained network, merging of symbols and license rules with look-around have none; tests hold them against
+trained network, eigenvectors, merging and cutting of symbols and license rules with look-around have none; tests hold them against
 brute force, held-out labels and the tokenizer's library.
 """
 
@@ -177,6 +177,14 @@ FROM e
 """
 
 
+EXACT = f"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY bare ORDER BY size DESC, doc_id NULLS LAST)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op2_near_duplicates": NEAR_DUPLICATES,
@@ -185,4 +193,5 @@ def llm_oracles() -> dict[str, str]:
         "op5_chat_format": CHAT,
         "op6_warc": WARC,
         "op7_mix_sources": MIX,
+        "op12_exact_duplicates": EXACT,
     }

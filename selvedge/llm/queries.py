@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm import chat, classifier, decontaminate, licenses, mixing, neardup, quality_rules, secrets, tokens, warc
+from selvedge.llm import (
+    align,
+    chat,
+    classifier,
+    decontaminate,
+    exactdup,
+    licenses,
+    mixing,
+    neardup,
+    quality_rules,
+    secrets,
+    tokens,
+    warc,
+    whiten,
+)
 from selvedge.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +117,20 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    found = whiten.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, folder, "documents"))
+
+
+def op13_align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.align_tokenizers(table(spark, folder, "documents"), *files)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -115,4 +143,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_license_scan": op9_license_scan,
         "op10_token_counts": op10_token_counts,
+        "op11_whiten_embeddings": op11_whiten_embeddings,
+        "op12_exact_duplicates": op12_exact_duplicates,
+        "op13_align_tokenizers": op13_align_tokenizers,
     }
