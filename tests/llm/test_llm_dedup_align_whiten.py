@@ -197,5 +197,5 @@ def test_whitening_of_odd_rows(spark, monkeypatch):
     assert whiten.whiten(frame.filter("vec_id = 405")).count() == 0
     flat = whiten.whiten(frame.filter("vec_id IN (300, 301)")).collect()
     assert {(r.deviation, r.whitened, r.explained, r.identity_error) for r in flat} == {(0, None, 0.0, 0.0)}
-    huge = spark.createDataFrame([(1, [1e30, 1.0]), (2, [-1e30, 2.0])], "vec_id long, embedding array<float>")
+    huge = spark.createDataFrame([(k, [1e30 * (-1) ** k, 1.0]) for k in range(9)], "vec_id long, embedding array<float>")
     assert {r.deviation for r in whiten.whiten(huge).collect()} == {None}
