@@ -22,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -39,35 +41,26 @@ SLICE = 1 << 20  # characters whose tokens are held as Python lists at a time
 SPACE = "▁"
 
 
-class Cuts:
-    """A tokenizer's library behind two calls; ``pieces[id]`` are the bytes of an id, ``size`` how many they are."""
+REMEMBERED, REMEMBERED_TOKENS = 500_000, 4_000_000  # words whose pieces a task keeps
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
-        self.size = np.array([len(p) for p in pieces], dtype=np.int64)
 
-    def cut(self, texts: list[str]) -> list[list[int]]:
-        raise NotImplementedError
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE characters."""
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE):
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
 
-    def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of all texts, how many each text has, and whether they spell space + text."""
-        tokens, counts, spelt, low = [np.zeros(0, dtype=np.int32)], [], [], 0
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE):
-                size += len(texts[high])
-                high += 1
-            found = self.cut(texts[low:high])
-            counts += map(len, found)
-            tokens.append(np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=sum(counts[low:])))
-            for text, own in zip(texts[low:high], found, strict=True):
-                spelt.append(b"".join(map(self.pieces.__getitem__, own)) == b" " + text.encode())
-            low = high
-        return np.concatenate(tokens), np.array(counts, dtype=np.int64), np.array(spelt, dtype=bool)
 
+class ByteLevel:
+    """Byte-level BPE of a tokenizer file whose ids follow the ranks of its merges; special strings are plain text.
 
-class ByteLevel(Cuts):
-    """Byte-level BPE of a tokenizer file whose ids follow the ranks of its merges; special strings are plain text."""
+    Every byte has a symbol, so the tokens of a text always spell it. ``size[id]`` are the bytes of an id.
+    """
 
     def __init__(self, file: str):
         import tiktoken
@@ -83,32 +76,75 @@ class ByteLevel(Cuts):
         if made != sorted(made):
             raise ValueError("the ids do not follow the ranks of the merges")
         self.library = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
-        pieces = [b""] * (max(ids.values()) + 1)
-        for piece, k in ids.items():
-            pieces[k] = piece
-        super().__init__(pieces)
+        self.size = np.zeros(max(ids.values()) + 1, dtype=np.int32)
+        self.size[list(ids.values())] = [len(piece) for piece in ids]
+
+    def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of all spaces + texts, how many each text has, and whether they spell it."""
+        tokens, counts = [np.zeros(0, dtype=np.int32)], []
+        for low, high in _runs(texts):
+            found = [self.library.encode_ordinary(" " + t) for t in texts[low:high]]
+            counts.append(np.array([len(f) for f in found], dtype=np.int64))
+            tokens.append(np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(counts[-1].sum())))
+        return np.concatenate(tokens), np.concatenate(counts), np.ones(len(texts), dtype=bool)
 
-    def cut(self, texts: list[str]) -> list[list[int]]:
-        return [self.library.encode_ordinary(" " + t) for t in texts]
 
+class Pieces:
+    """A sentence-piece model; it adds the first space itself. ``size[id]`` are the bytes of an id.
 
-class Pieces(Cuts):
-    """A sentence-piece model; it adds the first space itself."""
+    No piece goes over a space into a next word, so a text's pieces are those of its words, spaces first; the pieces of
+    distinct words are remembered up to a fixed number.
+    """
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
-        super().__init__(
-            [
-                bytes([int(n[3:5], 16)]) if self.library.is_byte(k) else n.replace(SPACE, " ").encode()
-                for k, n in enumerate(names)
-            ]
-        )
+        if any(SPACE in n.lstrip(SPACE) for n in names):
+            raise ValueError("the model has pieces that go over a space into a next word")
+        self.pieces = [
+            bytes([int(n[3:5], 16)]) if self.library.is_byte(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)
+        ]
+        self.size = np.array([len(p) for p in self.pieces], dtype=np.int32)
+        self.lone = [self.library.piece_to_id(SPACE)]
+        self.words = re.compile(" +[^ ]*")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.tokens, self.at, self.spelt = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=bool)
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words - self.number.keys())
+        if not new:
+            return
+        if len(self.number) + len(new) > REMEMBERED or len(self.tokens) > REMEMBERED_TOKENS:
+            self._forget()
+            new = list(words)
+        # The model adds a first space itself, but to nothing.
+        found = [f or self.lone for f in self.library.encode([w[1:] for w in new], num_threads=1)]
+        spell = self.pieces.__getitem__
+        self.spelt = np.append(self.spelt, [b"".join(map(spell, f)) == w.encode() for w, f in zip(new, found, strict=True)])
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.at = np.append(self.at, self.at[-1] + np.cumsum([len(f) for f in found]))
+        self.tokens = np.append(self.tokens, np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32))
 
-    def cut(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of all texts, how many each text has, and whether they spell space + text."""
+        tokens, counts, spelt = [np.zeros(0, dtype=np.int32)], [], []
+        for low, high in _runs(texts):
+            words = [self.words.findall(" " + t) for t in texts[low:high]]
+            self._learn(set(itertools.chain.from_iterable(words)))
+            ends = np.cumsum([len(ws) for ws in words])
+            own = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(ends[-1]))
+            length = self.at[own + 1] - self.at[own]
+            upto = np.concatenate([[0], np.cumsum(length)])
+            tokens.append(self.tokens[np.arange(upto[-1]) + np.repeat(self.at[own] - upto[:-1], length)])
+            counts.append(np.diff(upto[ends], prepend=0))
+            wrong = np.concatenate([[0], np.cumsum(~self.spelt[own])])[ends]
+            spelt.append(np.diff(wrong, prepend=0) == 0)
+        return np.concatenate(tokens), np.concatenate(counts), np.concatenate(spelt)
 
 
 def join_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,34 +165,34 @@ def join_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digits of 0 to ``most``, right-justified after zero bytes with one place left at the end, and how many each has."""
-    width = len(str(most))
-    table = np.zeros((most + 1, width + 1), dtype=np.uint8)
-    rest = np.arange(most + 1)
-    for k in range(width):
-        table[:, width - 1 - k] = np.where((rest > 0) | (k == 0), rest % 10 + ord("0"), 0)
+    """The digits of 0 to ``most`` in the low seven bytes of a number, zero bytes before them, and how many each has."""
+    if most >= 10**7:
+        raise ValueError("ids of more than seven digits")
+    rest, table, length = np.arange(most + 1), np.zeros(most + 1, dtype=np.uint64), np.zeros(most + 1, dtype=np.int32)
+    for k in range(7):
+        there = (rest > 0) | (k == 0)
+        table |= np.where(there, rest % 10 + ord("0"), 0).astype(np.uint64) << np.uint64(8 * (6 - k))
+        length += there
         rest = rest // 10
-    return table, (table > 0).sum(axis=1)
+    return table, length
 
 
 def spell_groups(
     a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, shown: tuple[np.ndarray, np.ndarray]
-) -> tuple[np.ndarray, np.ndarray]:
+) -> tuple[bytes, np.ndarray]:
     """The bytes ``a1,a2|b1;a3|b2;`` of all groups in order, and where each group ends among them."""
     groups = int(group_a[-1]) + 1
     size_a, size_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     upto = np.cumsum(size_a + size_b)
-    place_a = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]
-    place_b = np.arange(len(b)) + np.cumsum(size_a)[group_b]
-    ids = np.empty(len(a) + len(b), dtype=np.int64)
-    ids[place_a], ids[place_b] = a, b
-    mark = np.full(len(ids), ord(","), dtype=np.uint8)
+    ids = np.empty(len(a) + len(b), dtype=np.int32)
+    ids[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]] = a
+    ids[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = b
+    mark = np.full(len(ids), ord(","), dtype=np.uint64)
     mark[upto - size_b - 1] = ord("|")
     mark[upto - 1] = ord(";")
     table, length = shown
-    digits = table[ids]
-    digits[:, -1] = mark
-    return digits[digits > 0], np.cumsum(length[ids] + 1)[upto - 1]
+    spelt = (table[ids] | mark << np.uint64(56)).astype("<u8").tobytes().translate(None, b"\0")
+    return spelt, np.cumsum(length[ids] + 1, dtype=np.int64)[upto - 1]
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -169,7 +205,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def align_texts(
-    texts: list[str | None], left: Cuts, right: Cuts, shown: tuple[np.ndarray, np.ndarray]
+    texts: list[str | None], left: ByteLevel, right: Pieces, shown: tuple[np.ndarray, np.ndarray]
 ) -> dict[str, list | np.ndarray]:
     """Sizes, digest and linked id pairs (b * 2**32 + a, as runs of ``n_groups``) of every text."""
     held = [t or "" for t in texts]
@@ -180,7 +216,7 @@ def align_texts(
     n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
     n_groups, digests, pairs = np.zeros(len(held), dtype=np.int64), [""] * len(held), np.zeros(0, dtype=np.int64)
     if len(a):
-        ends_a, ends_b = np.cumsum(left.size[a]), np.cumsum(right.size[b])
+        ends_a, ends_b = np.cumsum(left.size[a], dtype=np.int64), np.cumsum(right.size[b], dtype=np.int64)
         group_a, group_b = join_groups(ends_a, ends_b)
         upto = np.where(good, group_a[np.maximum(np.cumsum(n_a) - 1, 0)] + 1, 0)
         upto = np.maximum.accumulate(upto)
@@ -202,12 +238,13 @@ def _aligned(rows: DataFrame, vocabulary: str, model: bytes, kind: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = ByteLevel(sent.value[0]), Pieces(sent.value[1])
-        shown = decimals(max(len(left.pieces), len(right.pieces)))
+        shown = decimals(max(len(left.size), len(right.size)))
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for low, high in _slices(batch.column(1)):
                 found = align_texts(batch.column(1).slice(low, high - low).to_pylist(), left, right, shown)
-                pair, number, times = np.unique(found["pairs"], return_inverse=True, return_counts=True)
+                number, pair = pd.factorize(found["pairs"])
+                times = np.bincount(number, minlength=len(pair))
                 count = high - low
                 at = np.concatenate([[0], np.cumsum(found["n_groups"])]).astype(np.int32)
                 first = np.full(count + 1, len(pair), dtype=np.int32)

@@ -152,7 +152,7 @@ def test_pointer_jumping_on_random_cuts():
 def test_spelling_of_groups():
     shown = align.decimals(70_000)
     spelt, at = align.spell_groups(np.array([0, 12, 65535]), np.array([7, 10, 9, 1]), np.array([0, 0, 1]), np.array([0, 1, 1, 1]), shown)
-    assert bytes(spelt) == b"0,12|7;65535|10,9,1;" and at.tolist() == [7, 20]
+    assert spelt == b"0,12|7;65535|10,9,1;" and at.tolist() == [7, 20]
 
 
 def brute_whitening(rows, width, most=8):
