@@ -1,19 +1,14 @@
 """The shopping bag as a fold over its ordered events.
 
-The outcome depends on order: a line enters only while the bag has room, so a removal decides
-whether a later SKU fits, and a bag cannot be split by SKU. It can be split in time. Events
-are range-partitioned by bag and moment into pieces of even size; a bag with very many events
-becomes a chain of pieces. All pieces are folded at once, the later ones of a chain from a
-guessed start, and a piece whose start turns out different from the guess is folded again.
-When no start changes any more the result is the one a single pass would have produced.
-Pieces forget their start as soon as the lines they began with are removed or replaced, so a
-few rounds are the rule; one more piece of every chain is final after each round in any case.
+The outcome depends on order: a line enters only while the bag has room, so a removal decides whether a later SKU
+fits. A bag's events are therefore read by one task in the order they happened, as a stream: what is held is one
+bag's lines, never its events, and copies of an event combine before the shuffle. ``streaming.bags`` keeps the same
+fold as a live stream, where a busy bag costs each micro-batch its new events only.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +16,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvedge.session import stage
-
 # The helpers below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,34 +23,34 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_LINES = 20
 MAX_QUANTITY = 10
 
-_ORDER = ["bag_id", "at", "seq", "sku", "op", "quantity"]
+ORDER = ["bag_id", "at", "seq", "sku", "op", "quantity"]
 _ROWS_PER_FRAME = 10_000
 
-Lines = list[tuple[str, int]]
-
 
-def _clean(events: DataFrame) -> DataFrame:
-    """Clamp quantities, turn setting zero into removal, and merge copies of an event; events without a bag go.
-
-    Copies share their place in the order, so they combine before the shuffle: adding one
-    quantity several times is adding their sum, everything else is done by the first.
-    """
+def conform_events(events: DataFrame) -> DataFrame:
+    """Bag events row by row: quantities clamped, setting zero is removing; events without a bag or SKU, and other
+    operations, go."""
     asked = F.greatest(F.lit(0), F.least(F.lit(MAX_QUANTITY), F.coalesce("quantity", F.lit(0))))
     removes = (F.col("op") == "remove") | ((F.col("op") == "set") & (asked == 0))
     quantity = F.when(removes, 0).when(F.col("op") == "add", F.greatest(F.lit(1), asked)).otherwise(asked)
     named = F.col("bag_id").isNotNull() & (F.col("sku") != "")
-    valid = events.filter(F.col("op").isin("add", "set", "remove") & named)
-    merged = valid.groupBy(
+    return events.filter(F.col("op").isin("add", "set", "remove") & named).select(
         "bag_id",
         "at",
         F.col("seq").cast("bigint").alias("seq"),
         "sku",
         F.when(removes, F.lit("remove")).otherwise(F.col("op")).alias("op"),
         quantity.cast("bigint").alias("quantity"),
-    ).agg(F.count(F.lit(1)).alias("copies"))
+    )
+
+
+def _merge_copies(events: DataFrame) -> DataFrame:
+    """Copies share their place in the order: adding one quantity several times is adding their sum, the rest is done
+    by the first."""
+    merged = events.groupBy(*ORDER).agg(F.count(F.lit(1)).alias("copies"))
     total = F.least(F.lit(MAX_QUANTITY), F.col("quantity") * F.least(F.col("copies"), F.lit(MAX_QUANTITY)))
     added = F.when(F.col("op") == "add", total).otherwise(F.col("quantity"))
-    return merged.select(*_ORDER[:-1], added.cast("bigint").alias("quantity"))
+    return merged.select(*ORDER[:-1], added.cast("bigint").alias("quantity"))
 
 
 def _held(state: DataFrame, events: DataFrame) -> DataFrame:
@@ -72,7 +65,8 @@ def _held(state: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def _apply(lines: dict[str, int], op: str, sku: str, quantity: int, max_lines: int) -> None:
+def apply_event(lines: dict[str, int], op: str, sku: str, quantity: int, max_lines: int) -> None:
+    """One conformed event on a bag's lines, which keep the order they entered in."""
     if op == "remove":
         lines.pop(sku, None)
     elif sku in lines:
@@ -81,108 +75,45 @@ def _apply(lines: dict[str, int], op: str, sku: str, quantity: int, max_lines: i
         lines[sku] = quantity
 
 
-def _fold_pieces(pieces: DataFrame, max_lines: int, starts: dict[tuple, Lines]) -> DataFrame:
-    """The lines of every piece's bags at its end, streamed with one bag's lines in memory.
+def fold_bags(events: DataFrame, state: DataFrame | None = None, max_lines: int = MAX_LINES) -> DataFrame:
+    """The lines of every bag after its events, in the order they entered.
 
-    ``edge`` marks the first and last bag of a piece, the only ones that can reach into
-    another piece; each such bag has a row ``line_no`` = 0 even when it ends up empty.
+    ``add`` accumulates up to ten of a SKU, ``set`` replaces the quantity of a line that is
+    there, ``remove`` (or setting zero) drops it. A full bag ignores further SKUs. ``state``
+    is an earlier result to continue from.
     """
+    ready = _merge_copies(conform_events(events))
+    if state is not None:
+        ready = _held(state, events).unionByName(ready)
+    columns = ["bag_id", "line_no", "sku", "quantity"]
 
     def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["bag_id", "piece", "edge", "line_no", "sku", "quantity"]
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
         out: list = []
-        piece = bag = None
-        lines: dict[str, int] = {}
-        first = False
+        bag, lines = None, {}
 
-        def close(edge: bool) -> None:
-            if bag is None:
-                return
-            if edge:
-                out.append((bag, piece, True, 0, None, 0))
-            out.extend((bag, piece, edge, n, sku, quantity) for n, (sku, quantity) in enumerate(lines.items(), 1))
+        def close() -> None:
+            out.extend((bag, n, sku, quantity) for n, (sku, quantity) in enumerate(lines.items(), 1))
 
         def batch() -> pa.RecordBatch:
-            values = list(zip(*out)) or [()] * len(columns)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], columns)
+            values = list(zip(*out, strict=True)) or [()] * len(columns)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], columns)
 
         for frame in frames:
             kinds[0] = frame.schema.field("bag_id").type
-            wanted = ["piece", "bag_id", "op", "sku", "quantity"]
-            for next_piece, next_bag, op, sku, quantity in zip(*(frame.column(c).to_pylist() for c in wanted)):
-                if next_piece != piece or next_bag != bag:
-                    close(edge=first or next_piece != piece)
-                    first = next_piece != piece
-                    piece, bag = next_piece, next_bag
-                    lines = dict(starts.get((bag, piece), ()))
-                _apply(lines, op, sku, quantity, max_lines)
+            wanted = ["bag_id", "op", "sku", "quantity"]
+            for owner, op, sku, quantity in zip(*(frame.column(c).to_pylist() for c in wanted), strict=True):
+                if owner != bag:
+                    close()
+                    bag, lines = owner, {}
+                apply_event(lines, op, sku, quantity, max_lines)
             if len(out) >= _ROWS_PER_FRAME:
                 yield batch()
                 out = []
-        close(edge=True)
+        close()
         if out:
             yield batch()
 
-    bag_type = pieces.schema["bag_id"].dataType.simpleString()
-    schema = f"bag_id {bag_type}, piece int, edge boolean, line_no bigint, sku string, quantity bigint"
-    return (
-        pieces.repartition("piece")
-        .sortWithinPartitions("piece", *_ORDER)
-        .select("piece", "bag_id", "op", "sku", "quantity")
-        .mapInArrow(fold, schema=schema)
-    )
-
-
-def _ends(edges: DataFrame) -> dict[tuple, Lines]:
-    """Edge bags on the driver: at most two bags per piece, each within the line limit."""
-    ends: dict[tuple, Lines] = defaultdict(list)
-    for row in sorted(edges.collect(), key=lambda r: r["line_no"]):
-        lines = ends[row["bag_id"], row["piece"]]
-        if row["line_no"]:
-            lines.append((row["sku"], row["quantity"]))
-    return dict(ends)
-
-
-def fold_bags(events: DataFrame, state: DataFrame | None = None, max_lines: int = MAX_LINES) -> DataFrame:
-    """The lines of every bag after its events, in the order they entered.
-
-    ``add`` accumulates up to ten of a SKU, ``set`` replaces the quantity of a line that is
-    there, ``remove`` (or setting zero) drops it. A full bag ignores further SKUs. ``state``
-    is an earlier result to continue from.
-    """
-    cleaned = _clean(events)
-    if state is not None:
-        cleaned = _held(state, events).unionByName(cleaned)
-    pieces = stage(cleaned.repartitionByRange(*_ORDER).withColumn("piece", F.spark_partition_id()), "bag-pieces")
-    folded = stage(_fold_pieces(pieces, max_lines, {}), "bag-ends")
-
-    ends = _ends(folded.filter("edge"))
-    chains = defaultdict(list)
-    for bag, piece in sorted(ends, key=lambda key: key[1]):
-        chains[bag].append(piece)
-    links = {
-        (bag, after): (bag, before) for bag, chain in chains.items() for before, after in zip(chain, chain[1:])
-    }
-    used: dict[tuple, Lines] = {}
-    while True:
-        changed = {key: ends[before] for key, before in links.items() if ends[before] != used.get(key, [])}
-        if not changed:
-            break
-        bags, places = {bag for bag, _ in changed}, {piece for _, piece in changed}
-        again = pieces.filter(F.col("piece").isin(*places) & F.col("bag_id").isin(*bags))
-        fresh = _ends(_fold_pieces(again, max_lines, changed).filter("edge"))
-        ends.update({key: lines for key, lines in fresh.items() if key in changed})
-        used.update(changed)
-
-    columns = ["bag_id", "line_no", "sku", "quantity"]
-    split = [bag for bag, chain in chains.items() if len(chain) > 1]
-    if not split:
-        return folded.filter("line_no > 0").select(*columns)
-    whole = folded.filter((F.col("line_no") > 0) & ~F.col("bag_id").isin(*split)).select(*columns)
-    last = [
-        (bag, n, sku, quantity)
-        for bag in split
-        for n, (sku, quantity) in enumerate(ends[bag, chains[bag][-1]], 1)
-    ]
-    return whole.unionByName(whole.sparkSession.createDataFrame(last, whole.schema))
+    bag_type = ready.schema["bag_id"].dataType.simpleString()
+    ordered = ready.repartition("bag_id").sortWithinPartitions(*ORDER)
+    return ordered.mapInArrow(fold, schema=f"bag_id {bag_type}, line_no bigint, sku string, quantity bigint")

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,12 @@ def violation_report(quarantine: DataFrame) -> DataFrame:
 def quarantine_stats(checked: DataFrame) -> DataFrame:
     """Rows in, kept and rejected, and the rejected percentage (zero over no rows), in one pass."""
     bad = F.count_if(F.size(VIOLATIONS) > 0)
-    return checked.agg(F.count(F.lit(1)).alias("rows_in"), bad.alias("rejected")).select(
+    return with_rates(checked.agg(F.count(F.lit(1)).alias("rows_in"), bad.alias("rejected")))
+
+
+def with_rates(counted: DataFrame) -> DataFrame:
+    """``rows_in`` and ``rejected`` with what was kept and the rejected percentage."""
+    return counted.select(
         "rows_in",
         (F.col("rows_in") - F.col("rejected")).alias("kept"),
         "rejected",
@@ -81,16 +86,24 @@ def quarantine_stats(checked: DataFrame) -> DataFrame:
     )
 
 
-def quarantine(checked: DataFrame, path: str, source: str, batch_id: str) -> tuple[DataFrame, DataFrame]:
+def quarantine(
+    checked: DataFrame, path: str, source: str, batch_id: str, counts: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Persist a checked batch, split into kept and quarantined rows.
 
+    ``counts`` observes the write: ``rows_in`` and ``rejected`` of the batch, without reading it again.
+
     Both halves come out of one write, so the plan above runs once and nothing is cached.
     The folder is named after the batch: running a batch again replaces it instead of
     adding its quarantined rows a second time.
     """
     target = f"{path}/batch_id={batch_id}"
+    seen = checked
+    if counts is not None:
+        bad_rows = F.count_if(F.size(VIOLATIONS) > 0)
+        seen = checked.observe(counts, F.count(F.lit(1)).alias("rows_in"), bad_rows.alias("rejected"))
     (
-        checked.withColumn("_quarantined", F.size(VIOLATIONS) > 0)
+        seen.withColumn("_quarantined", F.size(VIOLATIONS) > 0)
         .withColumn("_quarantined_at", F.current_timestamp())
         .withColumn("_source_table", F.lit(source))
         .write.mode("overwrite")

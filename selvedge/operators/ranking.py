@@ -7,31 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvedge.session import stage
+SAMPLES, CELL_SAMPLES = 4_096, 16  # rows drawn for the bounds of cells, and how many of them lie in a cell
 
-_TASK_BITS = 33
+Order = Sequence[str]
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``row_number`` over the whole table without pulling it into one task.
+def sort_columns(order: Order) -> list[Column]:
+    """``name`` ascending (nulls first), ``-name`` descending (nulls last)."""
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
 
-    Rows are range-partitioned and sorted by the full order, which must end in a unique key:
-    ties in the leading columns, however many, then still split across tasks. The staged
-    positions number rows within their task; adding the row counts of the tasks before it
-    gives the rank. Only those counts, one row per task, pass through a single task.
+
+def _precedes(a: Column, b: Column, order: Order) -> Column:
+    """Whether struct ``a`` stands before struct ``b``."""
+    before = F.lit(False)
+    for c in reversed(order):
+        down, name = c.startswith("-"), c.removeprefix("-")
+        x, y = a[name], b[name]
+        own = (y.isNull() & x.isNotNull()) | (x > y) if down else (x.isNull() & y.isNotNull()) | (x < y)
+        before = F.coalesce(own, F.lit(False)) | (x.eqNullSafe(y) & before)
+    return before
+
+
+def global_rank(df: DataFrame, order: Order, name: str) -> DataFrame:
+    """``row_number`` over the whole table without pulling it into one task, and without a job while it is built.
+
+    ``order`` must end in a unique key. Rows are cut into cells by bounds in the full order, key included, so ties in
+    the leading columns, however many, fall into different cells. The bounds come from one row for each remainder of
+    a hash of the order columns, the one with the least hash: the same rows whenever they are drawn. A rank is the
+    row's number in its cell plus the rows of the cells before it; bounds and counts are scalar subqueries of a few
+    thousand entries at most, whatever the table's size. Rows of equal order share a cell and are numbered arbitrarily.
+
+    Bounds, counts and rows each read ``df``. All columns take part in each, so that a shuffle ``df`` ends in has the
+    same plan in all three and is run once.
     """
-    position = F.monotonically_increasing_id()
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_position", position)
-    staged = stage(ordered, name).withColumn("_task", F.shiftright("_position", _TASK_BITS))
-    sizes = staged.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    within = F.col("_position").bitwiseAND(F.lit((1 << _TASK_BITS) - 1))
-    return (
-        staged.join(F.broadcast(offsets), "_task")
-        .withColumn(name, (F.col("_offset") + within + 1).cast("bigint"))
-        .select(*df.columns, name)
+    names = [c.removeprefix("-") for c in order]
+    rest = [c for c in df.columns if c not in names]
+    drawn = F.xxhash64(*names)
+    picked = df.groupBy(F.pmod(drawn, F.lit(SAMPLES)).alias("_part")).agg(F.min(F.struct(drawn.alias("_hash"), *names, *rest)).alias("_row"))
+    sample = F.collect_list(F.struct(*[F.col(f"_row.{c}").alias(c) for c in names]))
+    compared = lambda a, b: F.when(_precedes(a, b, order), -1).when(_precedes(b, a, order), 1).otherwise(0)
+    ordered = picked.agg(F.array_sort(sample, compared).alias("_rows"))
+    bounds = ordered.select(F.filter("_rows", lambda _, k: (k + 1) % CELL_SAMPLES == 0)).scalar()
+
+    # The number of bounds that do not stand after the row, by halving.
+    own = F.struct(*names)
+    placed = df.withColumns({"_bounds": bounds, "_cell": F.lit(0)})
+    step = SAMPLES // CELL_SAMPLES
+    while step:
+        there = F.col("_cell") + step
+        bound = F.try_element_at("_bounds", there)
+        placed = placed.withColumn("_cell", F.when(bound.isNotNull() & ~_precedes(own, bound, order), there).otherwise(F.col("_cell")))
+        step //= 2
+    placed = placed.drop("_bounds")
+    # Counts by cell, and for every cell the rows of those before it.
+    rows = F.when(F.max(F.struct(*names, *rest)).isNotNull(), F.count(F.lit(1))).alias("rows")
+    sizes = placed.groupBy("_cell").agg(rows).agg(F.collect_list(F.struct("_cell", "rows")).alias("_sizes"))
+    total = lambda cell: F.aggregate(
+        F.filter("_sizes", lambda x: x["_cell"] < cell), F.lit(0).cast("bigint"), lambda t, x: t + x["rows"]
     )
+    cells = F.sequence(F.lit(0), F.lit(SAMPLES // CELL_SAMPLES))
+    before = F.get(sizes.select(F.transform(cells, total)).scalar(), F.col("_cell"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy(*sort_columns(order)))
+    return placed.withColumn(name, (before + within).cast("bigint")).select(*df.columns, name)
 
 
 def share_of(value: str, by: str, digits: int, empty: float | None = None) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,6 +82,49 @@ def interval_join_bucketed(
     return interval_join(placed, cut, [*keys, "_bucket"], at, start, end).drop("_bucket")
 
 
+def asof_join(
+    fact: DataFrame, dim: DataFrame, keys: Sequence[str], at: str, start: str, end: str, range_days: int, parts: int = 8
+) -> DataFrame:
+    """:func:`interval_join` for intervals of a key that do not overlap, whatever their length.
+
+    Facts and the starts of intervals stand in one stream, sorted by moment within a key and a range of time, and a
+    fact takes the last start before it. What is in force when a range begins is carried in as a start of its own,
+    found from the dimension and the ranges that hold facts, so an interval of many years costs one row for each
+    range with facts, not one for each range it covers. A key holding a large share of the facts spreads over its
+    ranges, and those of one range over ``parts``. Equal moments: an interval holds from its start on. Facts
+    without a key or a moment match nothing.
+    """
+    width = range_days * 86_400
+    kept = [c for c in dim.columns if c not in keys]
+    names = [f"_key{k}" for k in range(len(keys))]
+    reach = lambda moment: F.floor(F.unix_seconds(moment.cast("timestamp")) / width).cast("bigint")
+    by = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    every = reduce(and_, [F.col(c).isNotNull() for c in (*keys, at)])
+    facts = fact.filter(every).select(*by, reach(F.col(at)).alias("_range"), F.col(at).cast("timestamp").alias("_at"), F.struct(*fact.columns).alias("_fact"))
+    opened = reduce(and_, [F.col(c).isNotNull() for c in (*keys, start)])
+    begins = dim.filter(opened).select(
+        *by, reach(F.col(start)).alias("_range"), F.col(start).cast("timestamp").alias("_at"), F.struct(start, *[c for c in kept if c != start]).alias("_dim")
+    )
+    ended = F.col("_dim")[end]
+    # Ranges that hold facts get the last interval that began in a range before.
+    asked = facts.select(*names, "_range").distinct().withColumn("_dim", F.lit(None).cast(begins.schema["_dim"].dataType))
+    lasting = begins.groupBy(*names, "_range").agg(F.max_by("_dim", F.struct("_at", ended.isNull(), ended)).alias("_dim"))
+    before = Window.partitionBy(*names).orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)
+    grid = asked.withColumn("_asked", F.lit(True)).unionByName(lasting.withColumn("_asked", F.lit(False)))
+    carried = grid.withColumn("_carry", F.last("_dim", ignorenulls=True).over(before)).filter("_asked AND _carry IS NOT NULL")
+    starts = begins.unionByName(carried.select(*names, "_range", F.lit(None).cast("timestamp").alias("_at"), F.col("_carry").alias("_dim")))
+
+    plain = [F.col(f"_fact.{f.name}") for f in fact.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    dealt = facts.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(parts)))
+    copied = starts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    both = dealt.unionByName(copied, allowMissingColumns=True)
+    stream = Window.partitionBy(*names, "_range", "_part").orderBy(F.asc_nulls_first("_at"), "_is_fact", F.asc_nulls_last(ended))
+    held = both.withColumn("_is_fact", F.col("_fact").isNotNull()).withColumn("_in_force", F.last("_dim", ignorenulls=True).over(stream))
+    matched = held.filter(F.col("_fact").isNotNull() & F.col("_in_force").isNotNull())
+    until = F.col("_in_force")[end]
+    return matched.filter(until.isNull() | (F.col("_fact")[at] < until)).select("_fact.*", *[F.col("_in_force")[c].alias(c) for c in kept])
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row of each key.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selvedge.operators.temporal import interval_join, interval_join_bucketed, latest_per_key
+from selvedge.operators.temporal import asof_join, interval_join, interval_join_bucketed, latest_per_key
 
 # Fixed value: rupees per dollar used for the approximate figure.
 INR_PER_USD = 88
@@ -27,9 +27,14 @@ def usage_freshness(usage: DataFrame) -> DataFrame:
     )
 
 
-def priced_usage(usage: DataFrame, prices: DataFrame, bucket_days: int | None = None) -> DataFrame:
-    """Usage with its value in dollars; ``bucket_days`` switches to the time-bucketed join."""
-    if bucket_days:
+def priced_usage(
+    usage: DataFrame, prices: DataFrame, bucket_days: int | None = None, range_days: int | None = None
+) -> DataFrame:
+    """Usage with its value in dollars; ``bucket_days`` switches to the time-bucketed join, ``range_days`` to the
+    as-of join, which needs price rows that do not overlap."""
+    if range_days:
+        rows = asof_join(usage, prices, _PRICE_KEYS, *_PRICE_TIMES, range_days=range_days)
+    elif bucket_days:
         rows = interval_join_bucketed(usage, prices, _PRICE_KEYS, *_PRICE_TIMES, bucket_days=bucket_days)
     else:
         rows = interval_join(usage, prices, _PRICE_KEYS, *_PRICE_TIMES)
@@ -45,11 +50,15 @@ def _spend(rows: DataFrame, by: Mapping[str, Column], *more: Column) -> DataFram
 
 
 def spend_by_day_sku(
-    usage: DataFrame, prices: DataFrame, inr_per_usd: float = INR_PER_USD, bucket_days: int | None = None
+    usage: DataFrame,
+    prices: DataFrame,
+    inr_per_usd: float = INR_PER_USD,
+    bucket_days: int | None = None,
+    range_days: int | None = None,
 ) -> DataFrame:
     rupees = F.round(F.sum("_usd") * inr_per_usd, 2).alias("inr_approx")
     by = {c: F.col(c) for c in ("usage_date", "sku_name")}
-    return _spend(priced_usage(usage, prices, bucket_days), by, rupees)
+    return _spend(priced_usage(usage, prices, bucket_days, range_days), by, rupees)
 
 
 def cost_per_job(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -41,14 +41,54 @@ def unknown_statuses(events: DataFrame) -> DataFrame:
     return events.filter(~F.col("status").isin(*ORDER_STATUSES) | F.col("status").isNull())
 
 
-def apply_status_events(orders: DataFrame, events: DataFrame) -> DataFrame:
+def accepted_steps(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """order_id, the status its header names (``first``) and the legal ``steps`` it took, in order.
+
+    Of all events after an order's last step, the earliest one that its status allows is the next step; the others
+    before it are skipped. Fulfilment only goes forward, so as many rounds as it has steps find them all, each a
+    minimum per order. An event without a moment comes first. Events of one moment count by status and note.
+    """
+    step = F.struct("updated_at", "seq", "status", F.nullif(F.trim("note"), F.lit("")).alias("note"))
+    known = events.filter(F.col("status").isin(*ORDER_STATUSES)).select("order_id", step.alias("_event"))
+    none = F.array().cast(f"array<{known.schema['_event'].dataType.simpleString()}>")
+    walked = orders.select("order_id", F.col("status").alias("first"), none.alias("steps"))
+    for _ in TRACK[1:]:
+        last = F.try_element_at("steps", F.lit(-1))
+        now = F.coalesce(last["status"], F.col("first"))
+        moment = lambda s: F.struct(s["updated_at"], s["seq"])
+        later = last.isNull() | (moment(F.col("_event")) > moment(last))
+        allowed = F.array_contains(offered_actions(now), F.col("_event.status"))
+        rounds = walked.join(known, "order_id", "left").groupBy("order_id", "first", "steps")
+        found = rounds.agg(F.min(F.when(F.coalesce(allowed & later, F.lit(False)), F.col("_event"))).alias("_next"))
+        walked = found.select("order_id", "first", F.concat("steps", F.array_compact(F.array("_next"))).alias("steps"))
+    return walked
+
+
+def illegal_transitions(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """Events that are no step an order could take then, unknown statuses included, and the status they ``met``.
+
+    Copies of a step, of its moment and status, are no fault. An event of an unknown order met nothing.
+    """
+    own = [F.col(c) for c in ("order_id", "seq", "status", "note", "updated_at")]
+    joined = events.join(accepted_steps(orders, events), "order_id", "left")
+    earlier = F.filter("steps", lambda s: F.struct(s["updated_at"], s["seq"]) < F.struct("updated_at", "seq"))
+    same = lambda s: s["updated_at"].eqNullSafe(F.col("updated_at")) & s["seq"].eqNullSafe(F.col("seq")) & s["status"].eqNullSafe(F.col("status"))
+    taken = F.coalesce(F.exists("steps", same), F.lit(False))
+    met = F.coalesce(F.try_element_at(earlier, F.lit(-1))["status"], F.col("first"))
+    return joined.filter(~taken).select(*own, met.alias("met"))
+
+
+def apply_status_events(orders: DataFrame, events: DataFrame, strict: bool = False) -> DataFrame:
     """The order book after its status events.
 
     The newest event sets the status; a note stays until a later event brings another.
     The fold is a ``max_by`` per order, combined on the map side, so an order with very many
-    events costs one row per task in the shuffle.
+    events costs one row per task in the shuffle. ``strict`` lets an order only take the steps
+    the console offers; :func:`illegal_transitions` tells what was skipped.
     """
     known = events.filter(F.col("status").isin(*ORDER_STATUSES))
+    if strict:
+        known = accepted_steps(orders, events).select("order_id", F.inline("steps"))
     note = F.nullif(F.trim("note"), F.lit(""))
     moment = F.struct("updated_at", "seq")
     folded = known.groupBy("order_id").agg(

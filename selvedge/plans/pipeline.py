@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.operators.quality import quarantine, quarantine_stats
+from selvedge.operators.quality import quarantine, with_rates
 from selvedge.plans import marts, silver
 from selvedge.session import tune
 from selvedge.sources.tables import read_table, write_table
@@ -46,7 +46,10 @@ def refine(
     present = {name: _with_columns(bronze[name], ddl) for name, ddl in columns.items()}
 
     def settle(name: str, checked: DataFrame) -> DataFrame:
-        kept, _ = quarantine(checked, f"{lake}/silver_checked/{name}", f"bronze.{name}", batch_id)
+        counts = Observation()
+        kept, _ = quarantine(checked, f"{lake}/silver_checked/{name}", f"bronze.{name}", batch_id, counts)
+        row = spark.createDataFrame([(counts.get["rows_in"], counts.get["rejected"])], "rows_in long, rejected long")
+        row.write.mode("overwrite").json(_stats_folder(lake, name, batch_id))
         return kept
 
     sales = settle("sales", silver.check_sales(present["sales"], products))
@@ -107,5 +110,10 @@ def run_medallion(
 
 
 def batch_stats(spark: SparkSession, lake: str, stream: str, batch_id: str) -> DataFrame:
-    """Rows in, kept and rejected of a checked batch, from its files."""
-    return quarantine_stats(spark.read.parquet(f"{lake}/silver_checked/{stream}/batch_id={batch_id}"))
+    """Rows in, kept and rejected of a checked batch, as counted while it was written."""
+    counted = spark.read.schema("rows_in long, rejected long").json(_stats_folder(lake, stream, batch_id))
+    return with_rates(counted)
+
+
+def _stats_folder(lake: str, stream: str, batch_id: str) -> str:
+    return f"{lake}/silver_stats/{stream}/batch_id={batch_id}"

@@ -6,23 +6,24 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selvedge.functions import report
 from selvedge.functions.measures import shown_discount
 from selvedge.operators.folds import fold_bags
-from selvedge.operators.quality import passed, quarantine, quarantine_stats, rejected, violation_report
+from selvedge.operators.quality import passed, quarantine, quarantine_stats, rejected, violation_report, with_rates
 from selvedge.operators.ranking import global_rank
 from selvedge.operators.temporal import dedupe_by, fanout
-from selvedge.plans import billing, marts, orderbook, silver, storefront
+from selvedge.plans import billing, marts, orderbook, refresh, silver, storefront
 from selvedge.plans.adapter import Retail
 from selvedge.session import run_dir, stage, tune
 from selvedge.sources import layout, tables
 from selvedge.sources import orderbook as book_tables
 from selvedge.sources.drops import write_lines
-from selvedge.sources.tables import delete_where, row_diff
+from selvedge.sources.tables import delete_days, delete_where, read_days, row_diff, write_days
+from selvedge.streaming.bags import keep_bags
 from selvedge.streaming.ingest import STREAM_HINTS, ingest_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,15 +82,19 @@ class Lake(Retail):
 
     @cached_property
     def product_catalog(self) -> DataFrame:
-        return marts.product_catalog(self.good_sales, self.returns, self.inventory, self.products)
+        return self.dated_catalog.select(*marts.CATALOG)
+
+    @cached_property
+    def dated_catalog(self) -> DataFrame:
+        return marts.dated_catalog(self.good_sales, self.returns, self.inventory, self.products)
 
     @cached_property
     def style_catalog(self) -> DataFrame:
-        return marts.style_catalog(self.product_catalog, self.good_sales)
+        return marts.style_catalog(self.dated_catalog)
 
     @cached_property
     def colourways(self) -> DataFrame:
-        return marts.colourways(self.product_catalog, self.good_sales)
+        return marts.colourways(self.dated_catalog)
 
     @cached_property
     def current_orders(self) -> DataFrame:
@@ -123,8 +128,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 def _rank_lines(lake: Lake) -> DataFrame:
     lines = lake.good_sales.groupBy("sku", "store_id").agg(F.sum("quantity").alias("units"))
-    order = [F.desc_nulls_last("units"), F.asc("sku"), F.asc("store_id")]
-    return global_rank(lines, order, "line_rank")
+    return global_rank(lines, ["-units", "sku", "store_id"], "line_rank")
 
 
 def _fanout_check(lake: Lake) -> DataFrame:
@@ -135,7 +139,7 @@ def _fanout_check(lake: Lake) -> DataFrame:
 
 
 def _bundle(lake: Lake) -> DataFrame:
-    bundle = storefront.catalogue_bundle(lake.colourways, lake.product_catalog)
+    bundle = storefront.catalogue_bundle(marts.colourways(lake.dated_catalog, with_skus=True))
     money = lambda x: x.cast("bigint").cast("string")
     entry = lambda s: F.concat_ws(":", s["size"], s["sku"], s["on_hand"].cast("string"), money(s["list_price"]), money(s["current_price"]))
     return bundle.withColumn("sizes", F.transform("sizes", entry))
@@ -229,8 +233,8 @@ class _Landing:
         self.lake, self.landing = lake, f"{root}/landing"
         self.target, self.checkpoint = f"{root}/bronze", f"{root}/checkpoint"
 
-    def ingest(self) -> DataFrame:
-        return ingest_json(self.lake.spark, self.landing, self.target, self.checkpoint, STREAM_HINTS["sales"])
+    def ingest(self, **options) -> DataFrame:
+        return ingest_json(self.lake.spark, self.landing, self.target, self.checkpoint, STREAM_HINTS["sales"], **options)
 
 
 def _ingest_rescue(lake: Lake) -> DataFrame:
@@ -282,6 +286,36 @@ def _ingest_evolving(lake: Lake) -> DataFrame:
     return table.groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.count("promo").alias("promo_rows"))
 
 
+def _ingest_once(lake: Lake) -> DataFrame:
+    """The same rows land twice under other file names, in one run and in the next."""
+    place = _Landing(lake, "ingest-once")
+    for batch in ("first", "again"):
+        _drop_lines(lake, place.landing, _promo(), batch)
+    place.ingest(once="transaction_id")
+    _drop_lines(lake, place.landing, _promo(), "later")
+    table = place.ingest(once="transaction_id")
+    return table.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("transaction_id").alias("transactions"))
+
+
+# --- live bags ---
+
+
+def _fold_bags_stream(lake: Lake) -> DataFrame:
+    """The bag events arrive in three batches, some of them a batch late but within the watermark's delay."""
+    root = run_dir(lake.spark, "bags")
+    events = lake.bag_events.withColumn("at", F.col("at").cast("timestamp"))
+    first, last = events.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    third = max(1, (last - first) // 3 + 1)
+    own = F.unix_micros("at") - first
+    # Of a third's second half every third event is late.
+    late = (own % third > third // 2) & (F.col("seq") % 3 == 0) & (own < 2 * third)
+    dealt = events.withColumn("batch", F.floor(own / third) + late.cast("int"))
+    for number in range(3):
+        dealt.filter(F.col("batch") == number).drop("batch").write.mode("append").parquet(f"{root}/events")
+        shown = keep_bags(lake.spark, f"{root}/events", f"{root}/bags", f"{root}/checkpoint", f"{third} microseconds")
+    return shown
+
+
 # --- table upkeep ---
 
 
@@ -319,6 +353,68 @@ def _quarantine_rerun(lake: Lake) -> DataFrame:
     return tagged.select("transaction_id", F.array_join("_violations", ",").alias("violations"), F.col("_source_table").alias("source_table"), "dated")
 
 
+def _quarantine_observed(lake: Lake) -> DataFrame:
+    """Counts of a batch from the one write that splits it."""
+    counts = Observation()
+    quarantine(lake.checked_sales, run_dir(lake.spark, "observed"), "bronze.sales", "day-1", counts)
+    return with_rates(lake.spark.createDataFrame([(counts.get["rows_in"], counts.get["rejected"])], "rows_in long, rejected long"))
+
+
+def _file_days(lake: Lake, path: str) -> DataFrame:
+    """The data files of a folder cut by day, by name."""
+    day = F.regexp_extract("path", "/sale_date=([^/]+)/", 1)
+    return layout.data_files(lake.spark, path).select(day.alias("sale_date"), "path")
+
+
+def _untouched(lake: Lake, path: str, before: list) -> DataFrame:
+    """sale_date, kept: whether each day still has the files it had ``before``."""
+    old = lake.spark.createDataFrame(before, "sale_date string, path string").withColumn("old", F.lit(1))
+    both = old.unionByName(_file_days(lake, path).withColumn("old", F.lit(0)))
+    files = both.groupBy("sale_date", "path").agg(F.countDistinct("old").alias("times"))
+    return files.groupBy("sale_date").agg((F.min("times") == 2).alias("kept_files"))
+
+
+def _delete_days(lake: Lake) -> DataFrame:
+    """Daily sales in a folder by day, of which some days lose their online rows and one day all of its rows."""
+    path = run_dir(lake.spark, "delete")
+    write_days(lake.daily_sales.hint("rebalance", F.col("sale_date")), path, ["sale_date"])
+    before = [tuple(r) for r in _file_days(lake, path).collect()]
+    day = F.col("sale_date")
+    unwanted = ((F.day(day) % 7 == 0) & (F.col("channel") == "online")) | (day == F.lit("2026-08-10").cast("date"))
+    delete_days(lake.spark, path, unwanted, ["sale_date"])
+    left = read_days(lake.spark, path).groupBy(day.cast("string").alias("sale_date"))
+    rows = left.agg(F.count(F.lit(1)).alias("rows"), F.sum("units_sold").alias("units_sold"))
+    kept = _untouched(lake, path, before).join(rows, "sale_date", "left")
+    return kept.select("sale_date", "kept_files", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("units_sold", F.lit(0)).alias("units_sold"))
+
+
+def _late(returned: str) -> Column:
+    """Returns that come in a batch of their own."""
+    return F.col(returned) >= F.lit("2026-08-20").cast("date")
+
+
+def _late_returns(lake: Lake) -> DataFrame:
+    """Daily sales after late returns were netted off the days they touch only."""
+    root = run_dir(lake.spark, "late-returns")
+    late = _late("returned_at")
+    refresh.build_net_lake(lake.good_sales, lake.returns.filter(~late), lake.products, lake.stores, root)
+    refresh.add_returns(lake.returns.filter(late), lake.products, lake.stores, root, "late")
+    return refresh.daily_sales_now(lake.spark, root).select(*lake.daily_sales.columns)
+
+
+def _late_returns_files(lake: Lake) -> DataFrame:
+    """Late returns of three days of sales: which days of sales and mart kept their files."""
+    root = run_dir(lake.spark, "late-returns-files")
+    early = F.col("sale_date") <= F.lit("2026-08-03").cast("date")
+    few = lake.returns.join(lake.good_sales.filter(early).select("transaction_id"), "transaction_id", "left_semi")
+    rest = lake.returns.join(lake.good_sales.filter(early).select("transaction_id"), "transaction_id", "left_anti")
+    refresh.build_net_lake(lake.good_sales, rest, lake.products, lake.stores, root)
+    before = {t: [tuple(r) for r in _file_days(lake, f"{root}/{t}").collect()] for t in ("sales", "daily_sales")}
+    refresh.add_returns(few, lake.products, lake.stores, root, "late")
+    sales, daily = (_untouched(lake, f"{root}/{t}", before[t]) for t in before)
+    return sales.withColumnRenamed("kept_files", "kept_sales").join(daily.withColumnRenamed("kept_files", "kept_daily"), "sale_date")
+
+
 def _quality_report(lake: Lake) -> DataFrame:
     """Broken rules of all three streams."""
     streams = {"sales": lake.checked_sales, "returns": lake.checked_returns, "inventory": lake.checked_inventory}
@@ -350,14 +446,15 @@ def _evolved(lake: Lake) -> DataFrame:
     return tables.read_evolving(lake.spark, path).groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.count("colour").alias("coloured"))
 
 
-def _placed(lake: Lake) -> DataFrame:
-    """Orders placed into tables of their own, changed by events, and summed up."""
+def _placed(lake: Lake, times: int = 1) -> DataFrame:
+    """Orders placed into tables of their own, changed by events, and summed up; a retried batch counts once."""
     schema = _table_name("ops")
     for _ in range(2):
         book_tables.ensure_ops_tables(lake.spark, schema)
     headers = lake.orders.drop("placed_at", "updated_at", "status", "channel", "note")
-    book_tables.place_orders(headers, lake.order_lines, schema)
-    book_tables.record_status_events(lake.status_events, schema)
+    for _ in range(times):
+        book_tables.place_orders(headers, lake.order_lines, schema, "checkout-1")
+        book_tables.record_status_events(lake.status_events, schema, "console-1")
     read = lambda name: lake.spark.read.table(f"{schema}.{name}")
     now = orderbook.current_orders(read("orders"), read("status_events"))
     units = read("order_lines").groupBy("order_id").agg(F.sum("quantity").alias("line_units"))
@@ -372,7 +469,7 @@ def _document_of(lake: Lake) -> DataFrame:
 
 
 def _availability_of(lake: Lake) -> DataFrame:
-    asked = lake.products.filter("sku % 50 = 0").select("sku")
+    asked = lake.bags.select("sku").distinct()
     unknown = lake.spark.createDataFrame([("no-such-sku",)], "sku string")
     return orderbook.availability_of(lake.product_catalog, lake.reserved, asked.unionByName(unknown))
 
@@ -399,6 +496,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "violation_report_inventory": lambda k: violation_report(rejected(k.checked_inventory)),
     "quality_report": _quality_report,
     "quarantine_rerun": _quarantine_rerun,
+    "quarantine_observed": _quarantine_observed,
     "quarantine_stats": lambda k: quarantine_stats(k.checked_sales),
     "net_sales": lambda k: k.sales,
     "dedupe_sales": lambda k: dedupe_by(k.good_sales, ["transaction_id"], ["sold_at", "sku"]),
@@ -419,6 +517,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "interval_join_bucketed": lambda k: billing.spend_by_day_sku(k.usage, k.list_prices, bucket_days=90),
     "cost_per_job": lambda k: billing.cost_per_job(k.usage, k.list_prices),
     "spend_by_tag": lambda k: billing.spend_by_tag(k.usage, k.list_prices),
+    "asof_join": lambda k: billing.spend_by_day_sku(k.usage, k.list_prices, range_days=30),
     "spend_by_cluster": lambda k: billing.spend_by_cluster(k.usage, k.list_prices, k.clusters),
     "current_clusters": lambda k: billing.current_clusters(k.clusters),
     "fanout_check": _fanout_check,
@@ -452,6 +551,10 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "conform_customer": _customers,
     "order_status_latest": lambda k: k.current_orders.select("order_id", "status", "updated_at", "note", "total"),
     "order_tracking": _tracking,
+    "order_status_strict": lambda k: orderbook.apply_status_events(k.orders, k.status_events, strict=True).select(
+        "order_id", "status", "updated_at", "note", "total"
+    ),
+    "illegal_transitions": lambda k: orderbook.illegal_transitions(k.orders, k.status_events),
     "unknown_statuses": lambda k: orderbook.unknown_statuses(k.status_events),
     "orders_by_email": lambda k: orderbook.orders_by_email(k.current_orders, "c7@EXAMPLE.com"),
     "recent_orders": lambda k: orderbook.recent_orders(k.current_orders),
@@ -462,6 +565,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "order_documents": _documents,
     "order_document_by_id": _document_of,
     "place_orders": _placed,
+    "place_orders_again": lambda k: _placed(k, times=2),
     "reserved_units": lambda k: k.reserved,
     "availability": lambda k: orderbook.availability(k.product_catalog, k.reserved),
     "availability_of": _availability_of,
@@ -469,6 +573,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "style_availability": lambda k: orderbook.style_availability(k.product_catalog, k.reserved),
     "price_bags": lambda k: orderbook.price_bags(k.bags, k.product_catalog, k.reserved),
     "fold_bags": lambda k: fold_bags(k.bag_events),
+    "fold_bags_stream": _fold_bags_stream,
     # report text
     "format_report": _report,
     # ingest
@@ -477,8 +582,12 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "drops_late_rows": _drops_late_rows,
     "ingest_idempotent": _ingest_idempotent,
     "ingest_evolving": _ingest_evolving,
+    "ingest_once": _ingest_once,
     # table upkeep
     "delete_where": lambda k: delete_where(k.daily_sales, F.col("net_revenue") > BUSY_DAY),
+    "delete_days": _delete_days,
+    "late_returns": _late_returns,
+    "late_returns_files": _late_returns_files,
     "version_diff": lambda k: row_diff(k.daily_sales, delete_where(k.daily_sales, F.col("net_revenue") > BUSY_DAY)),
     "table_detail": _detail,
     "compact": _compacted,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvedge.functions.measures import on_sale, pct_null, size_rank, status_rank
@@ -148,24 +148,26 @@ def facets(listing: DataFrame) -> DataFrame:
 
 
 def shelves(styles: DataFrame) -> DataFrame:
-    """The home page: new in, trending, and the largest reductions, all in stock."""
-    stocked = styles.filter("in_stock")
+    """The home page: new in, trending, and the largest reductions, all in stock.
+
+    One pass over the styles: each goes to the shelves it fits, and every task keeps only a shelf's best.
+    """
     was, now = F.col("list_price"), F.col("current_price")
-    popular = [F.desc("units_sold"), F.asc("product_id")]
-    picks = {
-        "new_in": (stocked.filter("is_new"), popular, NEW_IN),
-        "trending": (stocked, popular, TRENDING),
-        "reduced": (
-            stocked.filter(on_sale(was, now)),
-            [(was - now).desc(), *popular],
-            REDUCED,
+    # What puts a style on each shelf, and its weight there before popularity.
+    shelf = F.filter(
+        F.array(
+            F.struct(F.lit("new_in").alias("name"), F.lit(NEW_IN).alias("places"), F.col("is_new").alias("fits"), F.lit(0.0).alias("weight")),
+            F.struct(F.lit("trending").alias("name"), F.lit(TRENDING).alias("places"), F.lit(True).alias("fits"), F.lit(0.0).alias("weight")),
+            F.struct(F.lit("reduced").alias("name"), F.lit(REDUCED).alias("places"), on_sale(was, now).alias("fits"), (was - now).alias("weight")),
         ),
-    }
-    shelf = None
-    for name, (rows, order, n) in picks.items():
-        top = top_rows(rows, order, n, "position").select(F.lit(name).alias("shelf"), "position", "product_id")
-        shelf = top if shelf is None else shelf.unionByName(top)
-    return shelf
+        lambda s: s["fits"],
+    )
+    shown = styles.filter("in_stock").select("product_id", "units_sold", F.explode(shelf).alias("s"))
+    best = Window.partitionBy("s.name").orderBy(F.desc("s.weight"), F.desc("units_sold"), F.asc("product_id"))
+    top = shown.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= max(NEW_IN, TRENDING, REDUCED))
+    return top.filter(F.col("position") <= F.col("s.places")).select(
+        F.col("s.name").alias("shelf"), F.col("position").cast("bigint").alias("position"), "product_id"
+    )
 
 
 def styles_per_category(styles: DataFrame) -> DataFrame:
@@ -177,18 +179,15 @@ def catalogue_values(styles: DataFrame, column: str) -> DataFrame:
     return styles.select(column).distinct().orderBy(column)
 
 
-def catalogue_bundle(styles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Everything a product page shows: its SKUs in size order and its style's other colours.
+def catalogue_bundle(styles: DataFrame) -> DataFrame:
+    """Everything a product page shows: its SKUs in size order (``colourways(..., with_skus=True)``) and its style's
+    other colours, best seller first.
 
     Both arrays hold what one style offers, a handful of sizes and colours.
     """
-    entry = F.struct(size_rank(F.col("size")).alias("rank"), "size", "sku", "on_hand", "list_price", "current_price")
-    sizes = catalog.groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("sizes"))
     colour = F.struct((-F.col("units_sold")).alias("units"), "product_id")
-    ways = styles.groupBy("style_id").agg(F.array_sort(F.collect_list(colour)).getField("product_id").alias("colourways"))
-    return styles.join(sizes, "product_id").join(ways, "style_id").select(
-        *[c for c in styles.columns], "sizes", "colourways"
-    )
+    ways = F.array_sort(F.collect_list(colour).over(Window.partitionBy("style_id")))
+    return styles.withColumn("colourways", ways.getField("product_id"))
 
 
 def fit_note(analysis: DataFrame) -> DataFrame:

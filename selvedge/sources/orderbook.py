@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +18,34 @@ STATUS_EVENTS = "order_id STRING, seq BIGINT, status STRING, note STRING, update
 
 
 def ensure_ops_tables(spark: SparkSession, schema: str) -> None:
-    """Create the order book where it does not exist yet."""
+    """Create the order book where it does not exist yet; every batch of rows is a partition of its table."""
     spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:schema)", args={"schema": schema})
     for table, columns in (("orders", ORDERS), ("order_lines", ORDER_LINES), ("status_events", STATUS_EVENTS)):
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:name) ({columns}) USING parquet", args={"name": f"{schema}.{table}"}
+            f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:name) ({columns}, batch STRING) USING parquet PARTITIONED BY (batch)",
+            args={"name": f"{schema}.{table}"},
         )
 
 
-def _append(df: DataFrame, table: str) -> None:
-    columns = df.sparkSession.read.table(table).columns
-    df.select(*columns).write.insertInto(table)
+def _put(df: DataFrame, table: str, batch_id: str | None) -> None:
+    """Write a batch's rows; a batch of that name which is there already is replaced."""
+    batch = batch_id or uuid.uuid4().hex
+    if not batch.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("batch_id takes letters, digits, - and _")
+    spark = df.sparkSession
+    columns = [c for c in spark.read.table(table).columns if c != "batch"]
+    spark.sql(
+        f"INSERT OVERWRITE TABLE IDENTIFIER(:name) PARTITION (batch = '{batch}') SELECT * FROM {{rows}}",
+        args={"name": table},
+        rows=df.select(*columns),
+    )
 
 
-def place_orders(headers: DataFrame, lines: DataFrame, schema: str) -> None:
-    """Record a batch of orders, lines first.
+def place_orders(headers: DataFrame, lines: DataFrame, schema: str, batch_id: str | None = None) -> None:
+    """Record a batch of orders: its lines, then its headers.
 
-    A failure in between leaves lines nobody refers to, which readers ignore; the other way
-    round it would leave orders that cannot be fulfilled.
+    Readers start from headers, so a batch that stops after its lines is not there yet. Placing a batch again under
+    its ``batch_id`` replaces both parts of it; without one every call is a batch of its own.
     """
     now = F.current_timestamp()
     placed = headers.withColumns(
@@ -46,10 +58,11 @@ def place_orders(headers: DataFrame, lines: DataFrame, schema: str) -> None:
             "note": F.lit(None).cast("string"),
         }
     )
-    _append(lines, f"{schema}.order_lines")
-    _append(placed, f"{schema}.orders")
+    batch = batch_id or uuid.uuid4().hex
+    _put(lines, f"{schema}.order_lines", batch)
+    _put(placed, f"{schema}.orders", batch)
 
 
-def record_status_events(events: DataFrame, schema: str) -> None:
-    """Add status changes; the orders themselves are never rewritten."""
-    _append(events, f"{schema}.status_events")
+def record_status_events(events: DataFrame, schema: str, batch_id: str | None = None) -> None:
+    """Add a batch of status changes, once for each ``batch_id``; the orders themselves are never rewritten."""
+    _put(events, f"{schema}.status_events", batch_id)

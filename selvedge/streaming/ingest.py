@@ -122,9 +122,15 @@ def ingest_json(
     checkpoint: str,
     hints: str,
     files_per_batch: int = 10_000,
+    once: str | None = None,
+    within: str = "7 days",
 ) -> DataFrame:
     """Ingest the files that are new since the last run, then stop; returns the whole table.
 
+    ``once`` names a key, such as the transaction id: of lines that share it only the first is taken in, if the others
+    land ``within`` that time after it, whatever files they come in. A line without the key is known by its whole text.
+    The time is that of landing, so late rows are no older than others and none is dropped for its age.
+
     Every micro-batch owns one folder of the target and replaces it when retried, so a batch
     that fails half-way and runs again leaves its rows once. The first batch is looked through
     for its columns; later ones are written in one pass, and only when a batch turns out to
@@ -158,9 +164,13 @@ def ingest_json(
                 write(batch, batch_id, wider)
 
     lines = spark.readStream.schema("value STRING, dt STRING").option("maxFilesPerTrigger", files_per_batch).text(source)
+    traced = with_provenance(lines.select("value", "dt", "_metadata"))
+    if once:
+        known = F.coalesce(F.get_json_object("value", f"$['{once}']"), F.col("value"))
+        landed = traced.withColumns({"_once": known, "_landed": F.current_timestamp()}).withWatermark("_landed", within)
+        traced = landed.dropDuplicatesWithinWatermark(["_once"]).drop("_once", "_landed")
     query = (
-        with_provenance(lines.select("value", "dt", "_metadata"))
-        .writeStream.foreachBatch(land)
+        traced.writeStream.foreachBatch(land)
         .option("checkpointLocation", f"{checkpoint}/commits")
         .trigger(availableNow=True)
         .start()

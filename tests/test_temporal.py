@@ -78,7 +78,7 @@ def test_global_rank_is_row_number_whatever_the_partitions(spark, partitions):
     try:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         df = spark.createDataFrame(data, "v int, id string")
-        got = rows(global_rank(df, [F.desc("v"), F.asc("id")], "r").select("id", "r"))
+        got = rows(global_rank(df, ["-v", "id"], "r").select("id", "r"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -88,7 +88,7 @@ def test_global_rank_is_row_number_whatever_the_partitions(spark, partitions):
 
 def test_global_rank_of_nothing(spark):
     df = spark.createDataFrame([], "v int, id string")
-    assert rows(global_rank(df, [F.desc("v"), F.asc("id")], "r")) == []
+    assert rows(global_rank(df, ["-v", "id"], "r")) == []
 
 
 def test_shares(spark):
