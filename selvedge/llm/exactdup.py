@@ -179,7 +179,8 @@ def exact_duplicates(
 
     stripped = bare(text)
     texts = docs.select(stripped.alias("bare"), _digest(stripped, digest_chars).alias("digest"))
-    buckets = texts.join(totals.select("digest"), "digest")
+    # Texts meet their buckets by a sorted join at any size: what travels is in proportion, and a hot bucket is split.
+    buckets = texts.join(totals.select("digest").hint("merge"), "digest")
     extremes = buckets.groupBy("digest").agg(F.min("bare").alias("least"), F.max("bare").alias("most"))
     unlike = stage(extremes.filter("least <> most").select("digest"), "unlike")
     if unlike.isEmpty():
