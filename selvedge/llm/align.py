@@ -36,21 +36,21 @@ from pyspark.sql import functions as F
 from selvedge.llm.tokens import PATTERN, _byte_letters
 from selvedge.session import stage
 
-CHUNK = 4 << 20  # bytes of text that are aligned, and whose pairs are looked up, together
-SLICE = 1 << 20  # characters whose tokens are held as Python lists at a time
+CHUNK = 4 << 20  # bytes of text whose pairs are looked up together
+SLICE = 1 << 20  # characters that are cut and aligned at a time
 SPACE = "▁"
 
 
-REMEMBERED, REMEMBERED_TOKENS = 500_000, 4_000_000  # words whose pieces a task keeps
+REMEMBERED, REMEMBERED_TOKENS = 300_000, 3_000_000  # words whose pieces a task keeps
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about SLICE characters."""
     low = 0
     while low < len(texts):
         high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE):
-            size += len(texts[high])
+        while high < len(texts) and (high == low or size + len(texts[high] or "") <= SLICE):
+            size += len(texts[high] or "")
             high += 1
         yield low, high
         low = high
@@ -81,12 +81,10 @@ class ByteLevel:
 
     def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all spaces + texts, how many each text has, and whether they spell it."""
-        tokens, counts = [np.zeros(0, dtype=np.int32)], []
-        for low, high in _runs(texts):
-            found = [self.library.encode_ordinary(" " + t) for t in texts[low:high]]
-            counts.append(np.array([len(f) for f in found], dtype=np.int64))
-            tokens.append(np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(counts[-1].sum())))
-        return np.concatenate(tokens), np.concatenate(counts), np.ones(len(texts), dtype=bool)
+        found = [self.library.encode_ordinary(" " + t) for t in texts]
+        counts = np.array([len(f) for f in found], dtype=np.int64)
+        tokens = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(counts.sum()))
+        return tokens, counts, np.ones(len(texts), dtype=bool)
 
 
 class Pieces:
@@ -132,19 +130,15 @@ class Pieces:
 
     def tokenize(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all texts, how many each text has, and whether they spell space + text."""
-        tokens, counts, spelt = [np.zeros(0, dtype=np.int32)], [], []
-        for low, high in _runs(texts):
-            words = [self.words.findall(" " + t) for t in texts[low:high]]
-            self._learn(set(itertools.chain.from_iterable(words)))
-            ends = np.cumsum([len(ws) for ws in words])
-            own = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(ends[-1]))
-            length = self.at[own + 1] - self.at[own]
-            upto = np.concatenate([[0], np.cumsum(length)])
-            tokens.append(self.tokens[np.arange(upto[-1]) + np.repeat(self.at[own] - upto[:-1], length)])
-            counts.append(np.diff(upto[ends], prepend=0))
-            wrong = np.concatenate([[0], np.cumsum(~self.spelt[own])])[ends]
-            spelt.append(np.diff(wrong, prepend=0) == 0)
-        return np.concatenate(tokens), np.concatenate(counts), np.concatenate(spelt)
+        words = [self.words.findall(" " + t) for t in texts]
+        self._learn(set(itertools.chain.from_iterable(words)))
+        ends = np.cumsum([len(ws) for ws in words])
+        own = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(ends[-1]))
+        length = self.at[own + 1] - self.at[own]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        tokens = self.tokens[np.arange(upto[-1]) + np.repeat(self.at[own] - upto[:-1], length)]
+        wrong = np.concatenate([[0], np.cumsum(~self.spelt[own])])[ends]
+        return tokens, np.diff(upto[ends], prepend=0), np.diff(wrong, prepend=0) == 0
 
 
 def join_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +236,10 @@ def _aligned(rows: DataFrame, vocabulary: str, model: bytes, kind: str) -> DataF
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for low, high in _slices(batch.column(1)):
-                found = align_texts(batch.column(1).slice(low, high - low).to_pylist(), left, right, shown)
+                texts = batch.column(1).slice(low, high - low).to_pylist()
+                parts = [align_texts(texts[a:b], left, right, shown) for a, b in _runs(texts)]
+                found = {c: np.concatenate([p[c] for p in parts]) for c in ("n_a", "n_b", "n_groups", "pairs")}
+                found["digest"] = list(itertools.chain.from_iterable(p["digest"] for p in parts))
                 number, pair = pd.factorize(found["pairs"])
                 times = np.bincount(number, minlength=len(pair))
                 count = high - low
