@@ -23,6 +23,7 @@ import math
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix, Matrices
@@ -99,6 +100,7 @@ def fit(rows: DataFrame, count: int, width: int, components: int) -> tuple[Fit,
     sums = [int(s) for s in totals]
     means = F.array(*[F.lit(s / count) for s in sums])
     centred = block_matrix(rows, F.zip_with("x", means, lambda x, m: x.cast("double") - m), count, width)
+    centred.persist(StorageLevel.MEMORY_AND_DISK)  # three products read the blocks; a lost one is made again
     covariance = scatter(centred) / count
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(values)[::-1][:components]
