@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints pick declarative mappings, turns are marked and escaped.
 
 A record is a JSON object of any known layout. Its fingerprint is a hash of the sorted paths of its
-leaves (array steps written ``[]``); a mapping lists, for one fingerprint, where role and text of its
-turns stand. Mappings are data: a new layout is a new row of LAYOUTS.
+leaves (array steps written ``[]``); a mapping lists where role and text of a layout's turns stand.
+Mappings are data: a new layout is a new row of LAYOUTS. A record may hold further fields (a name, an id):
+the first time its fingerprint is met, the layout with the most paths that are all there is chosen for it, unless a
+field is left over in which some layout keeps text. So no text is dropped without a word.
 
 The template writes a turn as ``### role: text</turn>`` and a line break. A backslash goes before each
 backslash, ``#`` and ``<`` of a text or role (and before ``:`` of a role), so no control string survives inside one and reading
@@ -10,8 +12,10 @@ back undoes exactly that. Every turn stays a row, in order, so a conversation of
 gathered; its loss mask is the span of an assistant's text in its row.
 
 Defined results: null text or role is empty; a record that is not an object, or of an unknown layout,
-gives one row with a null layout, role and text; turns of one conversation are ordered by turn, then
-place in the record, role and text; repeated rows repeat; other columns are ignored.
+gives one row with a null layout, role and text and the record itself in ``unread``; such a row is carried along and
+never formatted. Turns of one conversation are ordered by turn, then place in the record, role and text; repeated
+rows repeat; very long texts are read whole; an empty table gives an empty result. Other columns are carried along;
+one that has the name of a column made here comes back as ``given_`` and its name.
 """
 
 from __future__ import annotations
@@ -94,50 +98,72 @@ def _text(value: object) -> str:
 
 
 MAPPINGS = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+TEXTS = {path for layout in LAYOUTS for path in layout.paths if not layout.each or path.endswith(f".{layout.each[2]}")}
+MADE = ("layout", "fingerprint", "part", "role", "text", "unread")
+KNOWN = 100_000  # fingerprints remembered by a task
 
 
-def turns_of(record: str | None) -> list[tuple[str | None, str, str | None, str | None]]:
-    """(layout, fingerprint, role, text) of each turn of a record."""
+def choose_layout(paths: set[str]) -> Layout | None:
+    """The layout with the most paths, all of them there, if no other path is one that a layout keeps text in."""
+    fitting = [layout for layout in LAYOUTS if paths >= set(layout.paths)]
+    best = max(fitting, key=lambda layout: len(layout.paths), default=None)
+    return None if best is None or (paths - set(best.paths)) & TEXTS else best
+
+
+def turns_of(record: str | None, known: dict[str, Layout | None] | None = None) -> list[tuple[str | None, str, str | None, str | None]]:
+    """(layout, fingerprint, role, text) of each turn of a record; ``known`` are fingerprints met before."""
+    known = dict(MAPPINGS) if known is None else known
     try:
         value = json.loads(record or "null")
     except (ValueError, RecursionError):
         value = None
     if not isinstance(value, dict):
         return [(None, fingerprint(()), None, None)]
-    mark = fingerprint(leaf_paths(value))
-    layout = MAPPINGS.get(mark)
+    paths = leaf_paths(value)
+    mark = fingerprint(paths)
+    if mark not in known:
+        if len(known) >= KNOWN:
+            known.clear()
+            known.update(MAPPINGS)
+        known[mark] = choose_layout(paths)
+    layout = known[mark]
     if layout is None:
         return [(None, mark, None, None)]
     if layout.each:
         array, role, text = layout.each
-        pairs = [(_text(x.get(role)), _text(x.get(text))) for x in _at(value, array)]
+        steps = _at(value, array)
+        if not isinstance(steps, list) or not all(isinstance(x, dict) for x in steps):
+            return [(None, mark, None, None)]
+        pairs = [(_text(x.get(role)), _text(x.get(text))) for x in steps]
     else:
         pairs = [(role, _text(_at(value, path))) for role, path in layout.turns]
     return [(layout.name, mark, layout.roles.get(role, role), text) for role, text in pairs]
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
-    """The other columns of ``records`` with layout, fingerprint, part, role and text, a row per turn."""
+    """The other columns of ``records`` with layout, fingerprint, part, role, text and unread, a row per turn."""
     keys = [c for c in records.columns if c != record]
-    held = records.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("key"), F.col(record).alias("record"))
+    held = records.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("key"), F.col(f"`{record}`").alias("record"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(MAPPINGS)
         for batch in batches:
-            rows, out = [], ([], [], [], [], [])
+            rows, out = [], ([], [], [], [], [], [])
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for part, (layout, mark, role, body) in enumerate(turns_of(text)):
+                for part, (layout, mark, role, body) in enumerate(turns_of(text, known)):
                     rows.append(k)
-                    for column, item in zip(out, (layout, mark, part, role, body), strict=True):
+                    for column, item in zip(out, (layout, mark, part, role, body, text if layout is None else None), strict=True):
                         column.append(item)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]],
-                ["key", "layout", "fingerprint", "part", "role", "text"],
+                ["key", *MADE],
             )
 
     kind = held.schema["key"].dataType.simpleString()
-    turns = held.mapInArrow(run, f"key {kind}, layout string, fingerprint string, part int, role string, text string")
-    return turns.select("key.*", "layout", "fingerprint", "part", "role", "text")
+    turns = held.mapInArrow(run, f"key {kind}, layout string, fingerprint string, part int, role string, text string, unread string")
+    given = [F.col(f"key.`{c}`").alias(f"given_{c}" if c.lower() in MADE else c) for c in keys]
+    return turns.select(*given, *MADE)
 
 
 def _escaped(text: Column, role: bool = False) -> Column:
@@ -145,13 +171,17 @@ def _escaped(text: Column, role: bool = False) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """``formatted`` for each turn, and the span [loss_start, loss_end) of it that is learnt (null if none)."""
+    """``formatted`` for each turn, and the span [loss_start, loss_end) of it that is learnt (null if none).
+
+    A row of :func:`canonical_turns` without a layout is no turn: all three are null.
+    """
     head = F.concat(F.lit("### "), _escaped(F.col("role"), role=True), F.lit(": "))
     body = _escaped(F.col("text"))
-    learnt = F.col("role") == "assistant"
+    turn = F.col("layout").isNotNull() if "layout" in turns.columns else F.lit(True)
+    learnt = turn & (F.col("role") == "assistant")
     return turns.withColumns(
         {
-            "formatted": F.concat(head, body, F.lit(f"{END}\n")),
+            "formatted": F.when(turn, F.concat(head, body, F.lit(f"{END}\n"))),
             "loss_start": F.when(learnt, F.length(head)),
             "loss_end": F.when(learnt, F.length(head) + F.length(body)),
         }
@@ -182,9 +212,9 @@ def digest_conversations(formatted: DataFrame, key: str, order: list[str]) -> Da
     """Read formatted turns back in order and digest each conversation.
 
     A digest is sequential, so a conversation is streamed through one task, a batch at a time: memory
-    does not grow with its length.
+    does not grow with its length. Rows that are no turns take no part.
     """
-    rows = formatted.select(F.col(key).alias("key"), "formatted", "loss_start", "loss_end", *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
+    rows = formatted.filter(F.col("formatted").isNotNull()).select(F.col(key).alias("key"), "formatted", "loss_start", "loss_end", *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
     rows = rows.repartition("key").sortWithinPartitions("key", *[f"o{k}" for k in range(len(order))])
     rows = rows.select("key", "formatted", "loss_start", "loss_end")
 

@@ -7,19 +7,28 @@ its keywords occur. Marks around each match are control characters, which the re
 hold, so word positions follow from splitting the marked text once.
 
 Of two detections where one lies within the other, the one of lower priority goes (equal priority:
-the shorter; equal spans: the later rule). Detections that only overlap both stay, as both may hold.
+the shorter; equal spans: the later rule), found in one sweep over the detections by their start. Detections
+that only overlap both stay, as both may hold. The operands of an identifier line joined by "or" and "and" are
+found one by one. One license has one label: a version is written with its ".0" whether a text spells it so or not. What
+a text says it is not under is no detection of these rules (base phrases are counted wherever they stand).
 
 Defined results: null or empty text has no words and no labels; rows are answered one by one, so
-repeated rows repeat; columns of the input other than key and text are ignored.
+repeated rows repeat; columns of the input other than key and text are ignored; a very long text is read whole, in
+work that grows with its length and its detections; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selvedge.llm.arrays import scan_array
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -121,20 +130,27 @@ class Signature:
     base: bool = False
 
 
+# Fixed value: what comes before a license that a text denies.
+DENIED = "(?<!not (?:licensed |released |distributed |available |published )?(?:under )?(?:the )?(?:terms of )?(?:the )?)"
+# An identifier follows its line's name, or "or" or "and" some words on.
+OPERAND = "(?<=spdx license identifier |spdx license identifier [a-z0-9 ]{1,400} (?:or|and) )"
+
+
 def _family_rules() -> list[Signature]:
     """Each family plain, with a version, and within the phrases that grant it."""
     rules = []
     for name, label, versions in FAMILIES:
         plain = name.replace("licen[sc]e", "").split() + (["licen"] if "licen[sc]e" in name else [])
         keys = tuple(dict.fromkeys(plain))
-        rules.append(Signature(label, f"(?:the )?{name}", keys, 20, 0.8))
-        granted = f"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}"
+        rules.append(Signature(label, f"{DENIED}(?:the )?{name}", keys, 20, 0.8))
+        granted = f"{DENIED}(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}"
         rules.append(Signature(label, granted, (*keys, "under"), 30, 0.95))
         for version in versions.split():
             number = " ".join(version.split("."))
             suffix = f"(?: as published)? ?(?:version|v)? ?v?{number}(?: 0)?"
-            rules.append(Signature(f"{label}-{version}", f"(?:the )?{name}{suffix}", (*keys, version[0]), 40, 0.9))
-            rules.append(Signature(f"{label}-{version}", f"{granted}{suffix}", (*keys, "under", version[0]), 50, 1.0))
+            named = f"{label}-{version}" if "." in version else f"{label}-{version}.0"
+            rules.append(Signature(named, f"{DENIED}(?:the )?{name}{suffix}", (*keys, version[0]), 40, 0.9))
+            rules.append(Signature(named, f"{granted}{suffix}", (*keys, "under", version[0]), 50, 1.0))
     return rules
 
 
@@ -142,7 +158,7 @@ def _identifier_rules() -> list[Signature]:
     rules = []
     for name in IDENTIFIERS:
         form = " ".join(name.replace(".", "-").split("-"))
-        rules.append(Signature(name, f"spdx license identifier {form}", ("spdx", form.split()[0]), 60, 1.0))
+        rules.append(Signature(name, f"{OPERAND}{form}", ("spdx", form.split()[0]), 60, 1.0))
     return rules
 
 
@@ -171,14 +187,53 @@ def _rule_array(rules: list[Signature]) -> Column:
     )
 
 
-def _gate(rules: list[Signature]) -> str:
-    """A regular expression that every text with a match satisfies: the longest keyword of each rule."""
-    longest = sorted({max(r.keywords, key=len) for r in rules}, key=lambda w: (len(w), w))
-    roots = [w for w in longest if not any(v != w and len(v) >= 4 and v in w for v in longest)]
-    short = [w for w in roots if len(w) < 4]
+def _roots(rules: list[Signature]) -> list[str]:
+    """A few words of which every text with a match holds one: of each rule the keyword that most rules share."""
+    left, roots = list(rules), []
+    while left:
+        shared = Counter(k for r in left for k in set(r.keywords))
+        best = max(shared, key=lambda k: (len(k) >= 4, shared[k], len(k), k))
+        roots.append(best)
+        left = [r for r in left if best not in r.keywords]
+    return roots
+
+
+def _gate(low: Column, rules: list[Signature]) -> Column:
+    """Whether a text holds any root; short ones must be words of their own."""
     edge = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
-    parts = [f"(?:^|{edge}){w}(?:$|{edge})" for w in short] + [w for w in roots if len(w) >= 4]
-    return "|".join(parts)
+    roots = _roots(rules)
+    short = "|".join(w for w in roots if len(w) < 4)
+    tests = [F.contains(low, F.lit(w)) for w in roots if len(w) >= 4]
+    return reduce(or_, tests + ([low.rlike(f"(?:^|{edge})(?:{short})(?:$|{edge})")] if short else []))
+
+
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case. Of other letters' lower cases only those of two are ASCII; texts with these fold A-Z alone."""
+    body = F.coalesce(text, F.lit(""))
+    return F.when(body.rlike("[\u0130\u212a]"), F.translate(body, UPPER, LOWER)).otherwise(F.lower(body))
+
+
+def _settle(own: Column) -> Column:
+    """The detections that no other contains and outranks, in one sweep by start; what is still open is carried on."""
+    size = lambda x: x["last"] - x["first"]
+    order = F.sort_array(
+        F.transform(own, lambda x: F.struct(x["first"], -x["last"], -x["priority"], x["rule"], x.alias("x")))
+    )
+    held = F.transform(order, lambda o: o["x"])
+    begin = F.array().cast("array<struct<last:bigint,priority:int,size:bigint,behind:int>>")
+
+    def entry(x: Column) -> Column:
+        return F.struct(x["last"].alias("last"), x["priority"].alias("priority"), size(x).alias("size"), (-x["rule"]).alias("behind"))
+
+    def step(state: Column, x: Column) -> Column:
+        return F.concat(F.filter(state, lambda s: s["last"] >= x["first"]), F.array(entry(x)))
+
+    def show(state: Column, x: Column) -> Column:
+        rank = F.struct(x["priority"], size(x), -x["rule"])
+        beaten = F.exists(state, lambda s: (s["last"] >= x["last"]) & (F.struct(s["priority"], s["size"], s["behind"]) > rank))
+        return F.struct(x.alias("x"), beaten.alias("beaten"))
+
+    return F.transform(F.filter(scan_array(held, begin, step, show), lambda o: ~o["beaten"]), lambda o: o["x"])
 
 
 def scan_licenses(
@@ -186,13 +241,12 @@ def scan_licenses(
 ) -> DataFrame:
     """Per row: key, n_words, ``base`` and ``found`` detections (label, first and last word), labels, score."""
     rules = signatures() if rules is None else rules
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.col(key).alias("_key"), low.alias("_low"))
+    rows = docs.select(F.col(key).alias("_key"), _lowered(F.col(text)).alias("_low"))
     rows = rows.select(
         "_key",
         F.regexp_count("_low", F.lit(WORD)).cast("long").alias("n_words"),
         F.when(
-            F.col("_low").rlike(_gate(rules)),
+            _gate(F.col("_low"), rules),
             F.concat(F.lit(" "), F.btrim(F.regexp_replace("_low", GAP, " ")), F.lit(" ")),
         ).alias("_form"),
     )
@@ -225,13 +279,7 @@ def scan_licenses(
     rows = rows.withColumn("base", F.filter("_all", lambda x: x["base"]))
     rows = rows.withColumn("_own", F.filter("_all", lambda x: ~x["base"]))
 
-    def rank(x: Column) -> Column:
-        return F.struct(x["priority"], x["last"] - x["first"], -x["rule"])
-
-    def beaten(x: Column, y: Column) -> Column:
-        return (y["first"] <= x["first"]) & (y["last"] >= x["last"]) & (rank(y) > rank(x))
-
-    found = F.filter("_own", lambda x: ~F.exists("_own", lambda y: beaten(x, y)))
+    found = F.when(F.size("_own") > 0, _settle(F.col("_own"))).otherwise(F.col("_own"))
     rows = rows.withColumn("found", F.array_sort(found))
     every = F.sort_array(F.array_distinct(F.transform(F.concat("base", "found"), lambda x: x["label"])))
     return rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selvedge.llm import (
@@ -62,17 +62,44 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
-    """Each row of ``conversations`` as a JSON record in one of the layouts that hold such a turn."""
+    """Conversations as JSON records in all ten layouts: runs of one to four neighbouring turns, each in one that fits.
+
+    A conversation's runs are of one length. Runs of a user and an assistant, alone or in a pair or behind a system
+    turn, take the layouts that have a field for each; others take a list of turns.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
-    other = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt")
-    shared = F.to_json(F.struct(F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations")))
-    plain = F.when(F.col("role") == "user", F.to_json(F.struct(text.alias("prompt")))).when(
-        F.col("role") == "assistant", F.to_json(F.struct(text.alias("completion")))
+    ordered = Window.partitionBy("conv_id").orderBy("turn", role, text)
+    place = F.row_number().over(ordered) - 1
+    size = F.pmod(F.xxhash64("conv_id"), F.lit(4)) + 1
+    numbered = turns.select("conv_id", role.alias("role"), text.alias("text"), place.alias("place"), F.floor(place / size).alias("run"))
+    held = F.array_sort(F.collect_list(F.struct("place", "role", "text")))  # four at most
+    runs = numbered.groupBy("conv_id", "run").agg(held.alias("held"))
+    roles = F.transform("held", lambda x: x["role"])
+    said = lambda k: F.col("held")[k]["text"]
+    kind = F.pmod(F.xxhash64("conv_id", "run"), F.lit(4))
+
+    def record(**fields: Column) -> Column:
+        return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+    def each(who: str, what: str) -> Column:
+        names = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+        own = lambda x: names[x["role"]] if who == "from" else x["role"]
+        return F.transform("held", lambda x: F.struct(own(x).alias(who), x["text"].alias(what)))
+
+    is_roles = lambda *asked: roles == F.array(*[F.lit(r) for r in asked])
+    pair = F.when(kind == 0, record(prompt=said(0), completion=said(1))).when(kind == 1, record(prompt=said(0), response=said(1)))
+    pair = pair.when(kind == 2, record(question=said(0), answer=said(1))).otherwise(record(instruction=said(0), output=said(1)))
+    two = F.forall(roles, lambda r: r.isin("user", "assistant"))
+    lists = F.when((kind == 1) & two, record(conversations=each("from", "value")))
+    lists = lists.when(kind == 2, record(chat=F.struct(each("role", "text").alias("turns"))))
+    made = (
+        F.when(is_roles("user"), record(prompt=said(0)))
+        .when(is_roles("assistant"), record(completion=said(0)))
+        .when(is_roles("user", "assistant"), pair)
+        .when(is_roles("system", "user", "assistant"), record(instruction=said(0), input=said(1), output=said(2)))
+        .otherwise(F.coalesce(lists, record(messages=each("role", "content"))))
     )
-    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
-    record = F.when(kind == 1, plain).when(kind == 2, F.when(other.isNotNull(), shared))
-    return turns.select("conv_id", "turn", F.coalesce(record, messages).alias("record"))
+    return runs.select("conv_id", "run", made.alias("record"))
 
 
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +108,7 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
     turns = chat.canonical_turns(conversation_records(given.unionByName(extra)))
     formatted = stage(chat.format_turns(turns), "chat")
-    return chat.digest_conversations(formatted, "conv_id", ["turn", "part", "role", "text"])
+    return chat.digest_conversations(formatted, "conv_id", ["run", "part"])
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,8 @@ Spans are code points, end exclusive, leftmost and non-overlapping within a kind
 follow from the lengths of the pieces between matches, so a text is read twice per rule at most.
 
 Defined results: null or empty text has no spans; a null key cannot be posted, so such rows are
-verified by every rule; repeated rows repeat; an empty table gives an empty result.
+verified by every rule; repeated rows repeat; an empty table gives an empty result. Keys are whole numbers. The work
+on a text grows with its length and with its number of matches, not with their square.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selvedge.llm.arrays import let, scan_array
 from selvedge.session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,8 +67,14 @@ MORE_RULES = (
     SecretRule("google", "AIza[0-9A-Za-z_-]{35}"),
     SecretRule("stripe", "[rs]k_live_[0-9A-Za-z]{16,}"),
     SecretRule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    SecretRule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    SecretRule("login", "[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.%+-]{1,64}:[A-Za-z0-9_.%+-]{1,64}@"),
+    # A key runs to its END line; one that has none runs through the base64 text after its first line.
+    SecretRule(
+        "pem",
+        "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+        "(?:[A-Za-z0-9+/=:,. \r\n\t-]*?-----END [A-Z0-9 ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)",
+    ),
+    # User and password of an address, of any length; the scheme before them is no secret.
+    SecretRule("login", "://[A-Za-z0-9_.~%!$&'()*+,;=-]*:[A-Za-z0-9_.~%!$&'()*+,;=:-]+@"),
 )
 
 RULES = BASE_RULES + MORE_RULES
@@ -181,20 +189,16 @@ def _spans(rule: SecretRule, order: int, text: Column) -> Column:
         F.transform(values, lambda v: F.length(v)).alias("v"),
         gaps.alias("g"),
     )
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + x["m"]
-        span = F.struct(
-            start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind")
+    def span(state: Column, x: Column) -> Column:
+        start = state + x["g"]
+        return F.struct(
+            F.when(x["v"] >= rule.least, start).alias("start"), F.lit(order).alias("order"), (start + x["m"]).alias("end"), F.lit(rule.kind).alias("kind")
         )
-        keep = F.when(x["v"] >= rule.least, F.array(span)).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(state["found"], keep).alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
     # The last piece has no match after it.
-    return F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), start, step, lambda state: state["found"])
+    found = scan_array(F.filter(steps, lambda x: x["m"].isNotNull()), F.lit(0), lambda at, x: at + x["g"] + x["m"], span)
+    return F.filter(found, lambda x: x["start"].isNotNull())
 
 
 def scan_secrets(
@@ -244,25 +248,40 @@ def span_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     )
 
 
+PIECE, PIECES = 4_096, 1 << 20
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of PIECE characters, by way of longer ones: finding a place in a string means counting to it."""
+
+    def cut(whole: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(whole) - 1, F.lit(0)), F.lit(size))
+        return F.transform(starts, lambda k: F.substring(whole, k + 1, F.lit(size)))
+
+    return F.flatten(F.transform(cut(text, PIECES), lambda part: cut(part, PIECE)))
+
+
+def _between(pieces: Column, low: Column, high: Column) -> Column:
+    """Characters low to high of a text in pieces."""
+    first, last = F.floor(low / PIECE).cast("int"), F.floor(high / PIECE).cast("int")
+    at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    head = F.substring(at(first), low % PIECE + 1, F.lit(PIECE))
+    middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    near = F.substring(at(first), low % PIECE + 1, high - low)
+    return F.when(high <= low, F.lit("")).when(first == last, near).otherwise(
+        F.concat(head, middle, F.substring(at(last), F.lit(1), high % PIECE))
+    )
+
+
 def redact(text: Column, spans: Column, mark: Callable[[Column], Column] | None = None) -> Column:
-    """``text`` with every span replaced by ``[kind]``; overlapping spans are replaced as one."""
+    """``text`` with every span replaced by ``[kind]``; overlapping spans are replaced as one. ``spans`` are sorted."""
     name = mark or (lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["parts"], F.array(gap, name(s)))).otherwise(state["parts"]).alias("parts"),
-        )
+    def replaced(pieces: Column, held: Column) -> Column:
+        def show(at: Column, s: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(_between(pieces, at, s["start"]), name(s))).otherwise(F.lit(""))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    tail = F.length(text)
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(
-            spans,
-            begin,
-            step,
-            lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, tail)),
-        )
-    )
+        parts = scan_array(held, F.lit(0), lambda at, s: F.greatest(at, s["end"]), show)
+        return F.concat(F.array_join(parts, ""), _between(pieces, F.array_max(F.transform(held, lambda s: s["end"])), F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(_pieces(text), lambda pieces: let(spans, lambda held: replaced(pieces, held))))

@@ -1,8 +1,13 @@
-"""Stages of the corpus pipeline; each keeps the columns of documents, but for the last."""
+"""Stages of the corpus pipeline; each keeps the columns of documents, and the last brings its order too.
+
+Every stage judges rows, not ids: rows are numbered as they are read, so rows without an id, unlike texts under one id
+and columns of any name are all told apart. Defined for all: a null text counts as empty; an empty table stays empty;
+further columns are carried along, whatever their names; texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvedge.llm import decontaminate as leaks
@@ -11,41 +16,41 @@ from selvedge.llm import quality_rules as rules
 from selvedge.session import stage
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return rules.keep_good(docs)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written so that it is the same whenever it is read, and its column's name."""
+    name = "row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def row_id() -> Column:
-    """The id of a row; one without an id is known by its text, by a number of 2**62 and more."""
-    low = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    return F.coalesce(F.col("doc_id").cast("long"), low.bitwiseOR(F.lit(1 << 62)))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep; rows are judged one by one, so repeated rows stay or go together."""
+    return rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8, five words): the one with the least id.
+    """One row of each group of near copies (similarity 0.8, five words): that with the least id, one without an id last.
 
-    Of rows that share an id the first by their columns stays, and of rows without an id those that hold one text
-    count as sharing one; a row without an id goes if a near copy has an id.
+    Of rows of a group that share that id the first as read stays. Texts without words are linked with nothing and stay.
     """
-    named = docs.withColumn("_row_id", row_id())
-    kept = neardup.near_duplicates(named, "_row_id").filter("kept").select("_row_id").distinct()
-    chosen = named.join(stage(kept, "kept"), "_row_id", "left_semi")
-    order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    first = chosen.withColumn("_place_of_id", F.row_number().over(Window.partitionBy("_row_id").orderBy(*order))).filter("_place_of_id = 1")
-    return first.select(docs.columns)
+    rows, row = numbered(docs)
+    groups = neardup.near_duplicates(rows, row).select(row, "component_id")
+    named = groups.join(rows.select(row, F.col("doc_id").alias("_named")), row)
+    first = F.min(F.struct(F.col("_named").isNull().alias("unnamed"), F.col("_named").alias("id"), F.col(row).alias("row")))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(stage(kept, "kept"), row, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark; rows without an id are judged by their text."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    named = docs.withColumn("_row_id", row_id())
-    found = stage(leaks.find_leaks(named, benchmark, "_row_id").select("_row_id").distinct(), "leaking")
-    return named.join(found, "_row_id", "left_anti").select(docs.columns)
+    """Rows that hold no item of the benchmark; each copy of a row that does goes."""
+    rows, row = numbered(docs)
+    found = leaks.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row).select(row).distinct()
+    return rows.join(stage(found, "leaking"), row, "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets; ``n_chars`` follows the text."""
+    """All rows, each secret replaced by its kind in brackets; ``n_chars`` follows the text. A null text stays null."""
     found = secrets.scan_secrets(docs)
     text = secrets.redact(F.col("_row.text"), F.col("spans"))
     cleaned = found.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
@@ -55,5 +60,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: one row per pass over a document."""
-    return mixing.mix_sources(docs)
+    """The training set in training order: a row, with its cleaned text, for each pass over a document.
+
+    Rows lie in files by ``place`` and sorted by it. Documents are weighed by their white-space words, not by the tokens
+    of a vocabulary. A document without words is drawn once, whatever its source.
+    """
+    rows, row = numbered(docs)
+    drawn = mixing.mix_sources(rows, row).select(row, "pass", "n_tokens", "block", "place")
+    own = [c for c in docs.columns if c not in ("pass", "n_tokens", "block", "place")]
+    whole = drawn.join(rows.select(row, *own), row)
+    return whole.repartitionByRange("place").sortWithinPartitions("place").select(*own, "pass", "n_tokens", "block", "place")

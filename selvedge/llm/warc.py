@@ -6,11 +6,14 @@ gzip member of its own into a new archive, and an offset index beside it. ``read
 records by offset. Archives go to the shared folder through the file system that its address
 names; a file's name is new for every attempt and only names in a finished manifest are read, so a lost
 executor leaves an orphan file and no wrong row. Records are streamed: memory is bounded by one
-payload when writing and by a chunk when normalising.
+payload when writing and by a chunk when normalising. Archives are dealt to tasks one by one when they are
+normalised, and by archive and offset when they are read, whatever the size of the rows that name them. A stream
+that breaks off, or holds another number of records than were written, is an error.
 
 Defined results: a null payload is empty; of records with equal payloads of at least ``least`` bytes that
 with the largest id is the response and the others revisit it (rows that share this id are all responses);
-a null id never is revisited, nor revisits; a null address is written empty; repeated rows repeat.
+a null id never is revisited, nor revisits; a null address is written empty; repeated rows repeat; ids are
+whole numbers. An empty table writes no archive and gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from selvedge.session import run_dir, stage
 ROLL_BYTES = 64 << 20
 CHUNK = 1 << 18
 LEVEL = 3
+TASKS = 10_000  # of one job at most; beyond that a task works on several archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -113,17 +117,20 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
 
 def inflate(source: BinaryIO) -> Iterator[bytes]:
     """The bytes of a gzip file of any number of members, a chunk at a time."""
-    expand = zlib.decompressobj(wbits=31)
+    expand, begun = zlib.decompressobj(wbits=31), False
     while data := source.read(CHUNK):
         while data:
+            begun = True
             part = expand.decompress(data, CHUNK)
             if part:
                 yield part
             data = expand.unconsumed_tail
             if expand.eof:
-                data, expand = expand.unused_data, zlib.decompressobj(wbits=31)
+                data, expand, begun = expand.unused_data, zlib.decompressobj(wbits=31), False
     if part := expand.flush():
         yield part
+    if begun and not expand.eof:
+        raise ValueError("the gzip stream breaks off")
 
 
 class Reader:
@@ -176,15 +183,15 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in INDEX.split(", ")]
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, written in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, root = fs.FileSystem.from_uri(folder)
                 system.create_dir(root, recursive=True)
                 new = f"{root}/members-{uuid.uuid4().hex}.warc.gz"
-                rows, offset = [], 0
+                rows, offset, count = [], 0, 0
                 with (
                     system.open_input_stream(path, compression=None) as source,
                     system.open_output_stream(new, compression=None) as out,
-                    system.open_output_stream(new.removesuffix(".warc.gz") + ".cdxj", compression=None) as index,
+                    system.open_output_stream(new.removesuffix(".warc.gz") + ".index.jsonl", compression=None) as index,
                 ):
                     reader = Reader(inflate(source))
                     while head := reader.header():
@@ -199,14 +206,17 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         row = (new, offset, length, about["warc-type"], about["warc-record-id"], about["warc-payload-digest"], about["warc-target-uri"])
                         index.write((json.dumps(dict(zip(names, row, strict=True))) + "\n").encode())
                         rows.append(row)
-                        offset += length
+                        offset, count = offset + length, count + 1
                         if len(rows) >= 4096:
                             yield _index_batch(rows, names)
                             rows = []
+                if count != written:
+                    raise ValueError(f"{path} holds {count} records of {written}")
                 if rows:
                     yield _index_batch(rows, names)
 
-    spread = archives.select("path").repartition("path")
+    tasks = min(TASKS, max(1, archives.count()))
+    spread = archives.select("path", "records").repartitionByRange(tasks, "path")
     return stage(spread.mapInArrow(run, INDEX), "index")
 
 
@@ -254,7 +264,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    rows = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    tasks = min(TASKS, max(1, index.select("path").distinct().count()))
+    rows = index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return rows.mapInArrow(run, schema)
 
 

@@ -289,11 +289,12 @@ def test_mixing_meets_its_limit_and_budget(spark):
     for r in mixed:
         uses.setdefault(r.doc_id, []).append(r["pass"])
     assert set(uses) == {r[0] for r in rows}
-    assert all(len(uses[k]) == 1 for k in range(300)) and uses[2000] == uses[2000][:2] * 3 or len(uses[2000]) == 6
+    assert all(len(uses[k]) == 1 for k in range(300))
+    assert len(uses[2000]) == 6 and sorted(uses[2000]) == [1, 1, 2, 2, 3, 3]
     assert max(len(v) for k, v in uses.items() if k != 2000) <= 3 and len({r.place for r in mixed if r.doc_id != 2000}) == len([r for r in mixed if r.doc_id != 2000])
     half = mixing.mix_sources(docs.filter("source = 'big'"), budget=3000).collect()
     assert 2980 < sum(r.n_tokens for r in half) <= 3000
-    assert [r.place for r in mixing.mix_sources(docs.filter("source = 'big'"), budget=3000).collect()].sort() == [r.place for r in half].sort()
+    assert sorted(r.place for r in mixing.mix_sources(docs.filter("source = 'big'"), budget=3000).collect()) == sorted(r.place for r in half)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
@@ -342,10 +343,10 @@ def test_licenses_of_odd_rows(odd, none):
 
 def test_contained_licenses_are_suppressed(spark):
     texts = {
-        "Licensed under the Apache License, Version 2.0.": ["apache", "apache-2"],
+        "Licensed under the Apache License, Version 2.0.": ["apache", "apache-2.0"],
         "the GNU Lesser General Public License v2.1": ["lgpl-2.1"],
         "SPDX-License-Identifier: GPL-2.0-or-later": ["gpl-2.0-or-later"],
-        "CC BY-NC-SA 4.0 and CC BY 4.0; mit\nLICENSE": ["cc-by", "cc-by-4", "cc-by-nc-sa-4", "mit"],
+        "CC BY-NC-SA 4.0 and CC BY 4.0; mit\nLICENSE": ["cc-by", "cc-by-4.0", "cc-by-nc-sa-4.0", "mit"],
         "accby licenses of emit license": [],
         "Released under the MIT License. Released under the MIT License.": ["mit"],
     }
