@@ -8,8 +8,9 @@
    and a static binary fuse filter is built of each. The entries of the next batch are screened by the filters of
    all snapshots before it; what no filter knows is new, and only what one may know is joined with that snapshot's
    bucket of the digest.
-4. The texts of all digests that are held more than once are compared byte by byte: the least and the greatest text
-   of a bucket must be the same. A bucket with unlike texts (equal digests of unlike texts) is grouped again by whole texts.
+4. Texts are compared byte by byte by grouping them whole, within each task first; what is left is joined with the
+   buckets of all digests that are held more than once, and a bucket must have one text. One with unlike texts (equal
+   digests of unlike texts) is grouped again by whole texts.
 
 Filters are never sent to all tasks: a shard of digests meets the same shard's filter. The driver sees counts only.
 
@@ -178,11 +179,11 @@ def exact_duplicates(
     totals = stage(_totals(entries.join(stage(repeated, "repeated"), "digest", "left_semi"), ["digest"]), "groups")
 
     stripped = bare(text)
-    texts = docs.select(stripped.alias("bare"), _digest(stripped, digest_chars).alias("digest"))
-    # Texts meet their buckets by a sorted join at any size: what travels is in proportion, and a hot bucket is split.
-    buckets = texts.join(totals.select("digest").hint("merge"), "digest")
-    extremes = buckets.groupBy("digest").agg(F.min("bare").alias("least"), F.max("bare").alias("most"))
-    unlike = stage(extremes.filter("least <> most").select("digest"), "unlike")
+    texts = docs.select(_digest(stripped, digest_chars).alias("digest"), stripped.alias("bare"))
+    # Equal texts meet as wholes, and within a task before they travel: a text that many rows hold costs a row a task.
+    distinct = texts.groupBy("digest", "bare").agg(F.count(F.lit(1)).alias("rows")).select("digest")
+    buckets = distinct.join(totals.select("digest"), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    unlike = stage(buckets.filter("texts > 1").select("digest"), "unlike")
     if unlike.isEmpty():
         return _answer(rows, totals, ["digest"], key)
 
