@@ -527,6 +527,9 @@ BODIES: dict[str, str] = {
         FROM drops GROUP BY 1""",
     "drops_late_rows": """SELECT dt, COUNT(*) AS "rows",
         COUNT(DISTINCT CASE WHEN NOT broken THEN transaction_id END) AS transactions FROM drops GROUP BY 1""",
+    "ingest_tail": """SELECT name, type, COUNT(*) AS "rows" FROM (
+          SELECT 'k' || (l_orderkey % 1000) AS name, CASE WHEN l_orderkey % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END AS type FROM raw_sales
+          UNION ALL SELECT unnest(['transaction_id', 'sku', 'store_id', 'sold_at', 'customer_id']), 'STRING' FROM raw_sales) GROUP BY 1, 2""",
     "ingest_once": """SELECT COUNT(*) AS "rows", COUNT(DISTINCT transaction_id) AS transactions FROM
         (SELECT DISTINCT CASE WHEN NOT broken THEN transaction_id END AS transaction_id,
           CASE WHEN broken THEN transaction_id END AS cut FROM drops)""",
@@ -571,7 +574,7 @@ BODIES: dict[str, str] = {
 ORACLES: dict[str, str] = {name: oracle(body) for name, body in BODIES.items()}
 
 # Written twice or counted on the way, the result is the same.
-ORACLES |= {"quarantine_observed": ORACLES["quarantine_stats"], "place_orders_again": ORACLES["place_orders"]}
+ORACLES |= {"landing_retried": ORACLES["drops_late_rows"], "quarantine_observed": ORACLES["quarantine_stats"], "place_orders_again": ORACLES["place_orders"]}
 
 # The bag as a recursion over each bag's ordered events.
 ORACLES["fold_bags"] = """

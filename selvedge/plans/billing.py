@@ -58,21 +58,22 @@ def spend_by_day_sku(
 ) -> DataFrame:
     rupees = F.round(F.sum("_usd") * inr_per_usd, 2).alias("inr_approx")
     by = {c: F.col(c) for c in ("usage_date", "sku_name")}
-    return _spend(priced_usage(usage, prices, bucket_days, range_days), by, rupees)
+    rows = _spend(priced_usage(usage, prices, bucket_days, range_days), by, rupees)
+    return rows.orderBy(F.desc("usage_date"), F.desc("usd"), "sku_name")
 
 
 def cost_per_job(usage: DataFrame, prices: DataFrame) -> DataFrame:
     job = F.col("usage_metadata.job_id")
     runs = F.countDistinct("usage_metadata.job_run_id").alias("runs")
-    return _spend(priced_usage(usage.filter(job.isNotNull()), prices), {"job_id": job}, runs)
+    rows = _spend(priced_usage(usage.filter(job.isNotNull()), prices), {"job_id": job}, runs)
+    return rows.orderBy(F.desc("usd"), "job_id")
 
 
 def spend_by_tag(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Spend per purpose, owner and product; spend nobody owns groups under NULL."""
     tags = {name: F.col("custom_tags")[name] for name in ("purpose", "owner")}
-    return _spend(
-        priced_usage(usage, prices), {**tags, "billing_origin_product": F.col("billing_origin_product")}
-    )
+    by = {**tags, "billing_origin_product": F.col("billing_origin_product")}
+    return _spend(priced_usage(usage, prices), by).orderBy(F.desc("usd"), *by)
 
 
 def current_clusters(clusters: DataFrame) -> DataFrame:

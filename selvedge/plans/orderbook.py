@@ -138,11 +138,13 @@ def recent_orders(orders: DataFrame, status: str | None = None, n: int = 60) ->
 
 
 def order_summary(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("status").agg(
+    """Orders, units and value by status, the most frequent first."""
+    rows = orders.groupBy("status").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("item_count").alias("units"),
         F.round(F.sum("total"), 0).alias("value"),
     )
+    return rows.orderBy(F.desc("orders"), "status")
 
 
 def order_rollup(summary: DataFrame) -> DataFrame:

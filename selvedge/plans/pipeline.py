@@ -9,7 +9,7 @@ from selvedge.operators.quality import quarantine, with_rates
 from selvedge.plans import marts, silver
 from selvedge.session import tune
 from selvedge.sources.tables import read_table, write_table
-from selvedge.streaming.ingest import STREAM_HINTS, ingest_json
+from selvedge.streaming.ingest import STREAM_HINTS, ingest_json, ingest_landing
 
 MARTS = (
     "daily_sales",
@@ -22,10 +22,13 @@ MARTS = (
 )
 
 
-def ingest_streams(spark: SparkSession, landing: str, checkpoints: str, lake: str) -> dict[str, DataFrame]:
-    """Bronze: take in what is new of every stream."""
+def ingest_streams(
+    spark: SparkSession, landing: str, checkpoints: str, lake: str, published: bool = False
+) -> dict[str, DataFrame]:
+    """Bronze: take in what is new of every stream, from all files or, if ``published``, from batches with a manifest."""
+    take = ingest_landing if published else ingest_json
     return {
-        name: ingest_json(spark, f"{landing}/{name}", f"{lake}/bronze/{name}", f"{checkpoints}/{name}", hints)
+        name: take(spark, f"{landing}/{name}", f"{lake}/bronze/{name}", f"{checkpoints}/{name}", hints)
         for name, hints in STREAM_HINTS.items()
     }
 
@@ -92,6 +95,7 @@ def run_medallion(
     products: DataFrame,
     stores: DataFrame,
     batch_id: str = "full",
+    published: bool = False,
 ) -> dict[str, DataFrame]:
     """Ingest, refine and build the marts; returns the marts by name."""
     for name, value in (("landing", landing), ("checkpoints", checkpoints), ("lake", lake)):
@@ -103,7 +107,7 @@ def run_medallion(
     write_table(products, "bronze.products")
     write_table(stores, "bronze.stores")
     products, stores = read_table(spark, "bronze.products"), read_table(spark, "bronze.stores")
-    bronze = ingest_streams(spark, landing, checkpoints, lake)
+    bronze = ingest_streams(spark, landing, checkpoints, lake, published)
     facts = refine(spark, bronze, products, lake, batch_id)
     build_marts(spark, facts, products, stores)
     return {name: read_table(spark, f"gold.{name}") for name in MARTS}

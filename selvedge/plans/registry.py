@@ -24,7 +24,7 @@ from selvedge.sources import orderbook as book_tables
 from selvedge.sources.drops import write_lines
 from selvedge.sources.tables import delete_days, delete_where, read_days, row_diff, write_days
 from selvedge.streaming.bags import keep_bags
-from selvedge.streaming.ingest import STREAM_HINTS, ingest_json
+from selvedge.streaming.ingest import STREAM_HINTS, ingest_json, ingest_landing, tail_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,7 +234,9 @@ class _Landing:
         self.target, self.checkpoint = f"{root}/bronze", f"{root}/checkpoint"
 
     def ingest(self, **options) -> DataFrame:
-        return ingest_json(self.lake.spark, self.landing, self.target, self.checkpoint, STREAM_HINTS["sales"], **options)
+        """What is published in the landing folder; with ``once`` its files, whoever wrote them."""
+        take = ingest_json if "once" in options else ingest_landing
+        return take(self.lake.spark, self.landing, self.target, self.checkpoint, STREAM_HINTS["sales"], **options)
 
 
 def _ingest_rescue(lake: Lake) -> DataFrame:
@@ -286,6 +288,33 @@ def _ingest_evolving(lake: Lake) -> DataFrame:
     return table.groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.count("promo").alias("promo_rows"))
 
 
+def _ingest_tail(lake: Lake) -> DataFrame:
+    """Every sale brings a key of its own kind, a thousand in all, half of them numbers: what the tail holds."""
+    place = _Landing(lake, "ingest-tail")
+    key = F.split("transaction_id", "-")[0].cast("bigint") % 1000
+    value = F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit('"v'), key.cast("string"), F.lit('"')))
+    more = F.concat(F.lit(',"k'), key.cast("string"), F.lit('":'), value, F.lit("}"))
+    columns = [c for c in lake.bronze_sales.columns if c != "_rescued_data"]
+    text = F.concat(F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", ""), more)
+    write_lines(lake.bronze_sales, place.landing, F.to_date("sold_at"), text, "only")
+    names = tail_types(place.ingest(tail=True))
+    return names.withColumn("type", F.col("type").cast("string"))
+
+
+def _landing_retried(lake: Lake) -> DataFrame:
+    """A landing that stopped after its files, before its manifest, and was tried again."""
+    place = _Landing(lake, "retried")
+    _drop_lines(lake, place.landing, _promo(), "first", "store_id % 2 = 0")
+    half = lake.bronze_sales.filter("store_id % 4 = 1").select(
+        F.to_json(F.struct("transaction_id")).alias("value"), F.date_format(F.to_date("sold_at"), "yyyy-MM-dd").alias("dt"),
+        F.lit("late").alias("batch"), F.lit("stopped").alias("attempt"),
+    )
+    half.write.mode("append").partitionBy("dt", "batch", "attempt").text(place.landing)
+    place.ingest()
+    _drop_lines(lake, place.landing, _promo(), "late", "store_id % 2 = 1")
+    return place.ingest().groupBy("dt").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("transaction_id").alias("transactions"))
+
+
 def _ingest_once(lake: Lake) -> DataFrame:
     """The same rows land twice under other file names, in one run and in the next."""
     place = _Landing(lake, "ingest-once")
@@ -583,6 +612,8 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "ingest_idempotent": _ingest_idempotent,
     "ingest_evolving": _ingest_evolving,
     "ingest_once": _ingest_once,
+    "ingest_tail": _ingest_tail,
+    "landing_retried": _landing_retried,
     # table upkeep
     "delete_where": lambda k: delete_where(k.daily_sales, F.col("net_revenue") > BUSY_DAY),
     "delete_days": _delete_days,

@@ -41,13 +41,14 @@ def lake_session(app: str, master: str | None = None, **conf: str) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may run without the setting; a cluster without it is an error,
-    because a machine-local folder would be lost with its executor.
+    Only a session in one process may run without the setting; a cluster without it, a local one
+    included, is an error, because a machine-local folder would be lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:

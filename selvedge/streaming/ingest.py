@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from selvedge.sources.drops import ENTRY, MANIFESTS, published_paths
+
 # Numeric columns pinned per stream.
 STREAM_HINTS = {
     "sales": "quantity INT, unit_price DOUBLE, list_price DOUBLE, discount_pct DOUBLE",
@@ -14,10 +16,10 @@ STREAM_HINTS = {
     "returns": "quantity INT",
 }
 
-RESCUED = "_rescued_data"
+RESCUED, TAIL = "_rescued_data", "_tail"
 _OWN = T.StructType().add(RESCUED, "string").add("_source_file", "string").add("_ingested_at", "timestamp")
 _FOLDERS = T.StructType().add("ingest_batch", "long").add("dt", "string")
-_RESERVED = {f.name for f in (*_OWN.fields, *_FOLDERS.fields)}
+_RESERVED = {TAIL, *[f.name for f in (*_OWN.fields, *_FOLDERS.fields)]}
 
 
 # --- discovered columns, kept beside the checkpoint ---
@@ -58,11 +60,12 @@ def _unknown(name: Column, columns: T.StructType) -> Column:
     return ~F.lower(name).isin(*taken) & (name != "")
 
 
-def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
+def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False) -> DataFrame:
     """Parse JSON lines to ``columns``, keeping whatever does not fit in ``_rescued_data``.
 
     Rescued are values of the wrong type and keys without a column; a line that is no JSON
     object is rescued whole. ``_novel`` marks rows with a key that could become a column.
+    With ``tail`` keys without a column are kept, types and all, in the VARIANT ``_tail`` instead.
     """
     parsed = raw.filter(F.trim("value") != "").withColumns(
         {"_typed": F.from_json("value", columns), "_keys": F.json_object_keys("value")}
@@ -77,18 +80,25 @@ def rescue(raw: DataFrame, columns: T.StructType) -> DataFrame:
         blank = names = F.array().cast("array<string>")
 
     def misfit(key: Column, value: Column) -> Column:
-        return value.isNotNull() & (~F.array_contains(names, key) | F.array_contains(blank, key))
+        named = F.array_contains(names, key)
+        return value.isNotNull() & (named & F.array_contains(blank, key) if tail else ~named | F.array_contains(blank, key))
 
     # A row with as many typed values as keys has nothing to rescue. That is the usual case,
     # and it is spared the second parse.
     clean = F.lit(len(columns)) - F.size(blank) == F.size("_keys")
     left_over = F.nullif(F.to_json(F.map_filter(fields, misfit)), F.lit("{}"))
     novel = F.when(clean, False).otherwise(F.exists("_keys", lambda k: _unknown(k, columns)))
+    kept_apart = []
+    if tail:
+        rest = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & ~F.array_contains(names, k))
+        kept_apart = [F.when(~clean & (F.size(rest) > 0), F.to_variant_object(rest)).alias(TAIL)]
+        novel = F.lit(False)
     rescued = F.when(F.col("_keys").isNull(), F.col("value")).when(clean, None).otherwise(left_over)
     carried = [c for c in raw.columns if c != "value"]
     return parsed.select(
         *[F.col("_typed").getField(f.name).alias(f.name) for f in columns],
         *carried,
+        *kept_apart,
         rescued.alias(RESCUED),
         F.coalesce(novel, F.lit(False)).alias("_novel"),
     )
@@ -115,6 +125,56 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.withColumn("_source_file", F.col("_metadata.file_path"))
 
 
+def _checked(**places: str) -> list[str]:
+    for name, value in places.items():
+        if not value or not value.strip():
+            raise ValueError(f"{name} is required")
+    return [p.rstrip("/") for p in places.values()]
+
+
+class _Table:
+    """An ingested table: every micro-batch owns one folder of it and replaces it when retried."""
+
+    def __init__(self, target: str, checkpoint: str, hints: str, tail: bool = False):
+        self.target, self.checkpoint, self.hints, self.tail = target, checkpoint, hints, tail
+
+    def _write(self, lines: DataFrame, batch_id: int, columns: T.StructType) -> bool:
+        seen = Observation()
+        rows = rescue(lines, columns, self.tail).withColumn("_ingested_at", F.current_timestamp())
+        counted = rows.observe(seen, F.coalesce(F.bool_or("_novel"), F.lit(False)).alias("novel")).drop("_novel")
+        counted.write.mode("overwrite").partitionBy("dt").parquet(f"{self.target}/ingest_batch={batch_id}")
+        return seen.get["novel"]
+
+    def _widen(self, lines: DataFrame, columns: T.StructType) -> T.StructType:
+        if self.tail:
+            return columns
+        wider = _discover(lines, columns)
+        if len(wider) > len(columns):
+            _remember(lines.sparkSession, self.checkpoint, wider)
+        return wider
+
+    def land(self, lines: DataFrame, batch_id: int) -> None:
+        """The first batch is looked through for its columns; later ones are written in one pass, and only when a batch
+        turns out to bring new keys are the columns widened and the batch written again."""
+        columns = _remembered(lines.sparkSession, self.checkpoint)
+        if columns is None:
+            self._write(lines, batch_id, self._widen(lines, T.StructType.fromDDL(self.hints)))
+        elif self._write(lines, batch_id, columns):
+            wider = self._widen(lines, columns)
+            if len(wider) > len(columns):
+                self._write(lines, batch_id, wider)
+
+    def take_in(self, stream: DataFrame, land) -> DataFrame:
+        query = (
+            stream.writeStream.foreachBatch(land)
+            .option("checkpointLocation", f"{self.checkpoint}/commits")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return read_bronze(stream.sparkSession, self.target, self.checkpoint, self.hints, self.tail)
+
+
 def ingest_json(
     spark: SparkSession,
     source: str,
@@ -124,68 +184,77 @@ def ingest_json(
     files_per_batch: int = 10_000,
     once: str | None = None,
     within: str = "7 days",
+    tail: bool = False,
 ) -> DataFrame:
     """Ingest the files that are new since the last run, then stop; returns the whole table.
 
+    A batch that fails half-way and runs again leaves its rows once.
+
+    ``tail`` keeps to the hinted columns and puts all other keys of a row into one VARIANT, however many there are:
+    no list of names is kept anywhere, and :func:`tail_types` tells what came.
+
     ``once`` names a key, such as the transaction id: of lines that share it only the first is taken in, if the others
     land ``within`` that time after it, whatever files they come in. A line without the key is known by its whole text.
     The time is that of landing, so late rows are no older than others and none is dropped for its age.
-
-    Every micro-batch owns one folder of the target and replaces it when retried, so a batch
-    that fails half-way and runs again leaves its rows once. The first batch is looked through
-    for its columns; later ones are written in one pass, and only when a batch turns out to
-    bring new keys are the columns widened and the batch written again.
     """
-    for name, value in (("source", source), ("target", target), ("checkpoint", checkpoint)):
-        if not value or not value.strip():
-            raise ValueError(f"{name} is required")
-    source, target, checkpoint = (p.rstrip("/") for p in (source, target, checkpoint))
-
-    def write(batch: DataFrame, batch_id: int, columns: T.StructType) -> bool:
-        seen = Observation()
-        rows = rescue(batch, columns).withColumn("_ingested_at", F.current_timestamp())
-        counted = rows.observe(seen, F.coalesce(F.bool_or("_novel"), F.lit(False)).alias("novel")).drop("_novel")
-        counted.write.mode("overwrite").partitionBy("dt").parquet(f"{target}/ingest_batch={batch_id}")
-        return seen.get["novel"]
-
-    def widen(batch: DataFrame, columns: T.StructType) -> T.StructType:
-        wider = _discover(batch, columns)
-        if len(wider) > len(columns):
-            _remember(batch.sparkSession, checkpoint, wider)
-        return wider
-
-    def land(batch: DataFrame, batch_id: int) -> None:
-        columns = _remembered(batch.sparkSession, checkpoint)
-        if columns is None:
-            write(batch, batch_id, widen(batch, T.StructType.fromDDL(hints)))
-        elif write(batch, batch_id, columns):
-            wider = widen(batch, columns)
-            if len(wider) > len(columns):
-                write(batch, batch_id, wider)
-
+    source, target, checkpoint = _checked(source=source, target=target, checkpoint=checkpoint)
     lines = spark.readStream.schema("value STRING, dt STRING").option("maxFilesPerTrigger", files_per_batch).text(source)
     traced = with_provenance(lines.select("value", "dt", "_metadata"))
     if once:
         known = F.coalesce(F.get_json_object("value", f"$['{once}']"), F.col("value"))
         landed = traced.withColumns({"_once": known, "_landed": F.current_timestamp()}).withWatermark("_landed", within)
         traced = landed.dropDuplicatesWithinWatermark(["_once"]).drop("_once", "_landed")
-    query = (
-        traced.writeStream.foreachBatch(land)
-        .option("checkpointLocation", f"{checkpoint}/commits")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return read_bronze(spark, target, checkpoint, hints)
+    table = _Table(target, checkpoint, hints, tail)
+    return table.take_in(traced, table.land)
 
 
-def read_bronze(spark: SparkSession, target: str, checkpoint: str, hints: str) -> DataFrame:
+def ingest_landing(
+    spark: SparkSession, landing: str, target: str, checkpoint: str, hints: str, batches_per_run: int = 1_000, tail: bool = False
+) -> DataFrame:
+    """Ingest the batches published in a landing folder since the last run, then stop; returns the whole table.
+
+    The stream is that of the manifests; a micro-batch reads the folders they name, so files of a landing that stopped
+    half-way are never seen, and a batch comes in once however often its landing was tried.
+    """
+    landing, target, checkpoint = _checked(landing=landing, target=target, checkpoint=checkpoint)
+    manifests = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", batches_per_run).option("recursiveFileLookup", "true")
+    table = _Table(target, checkpoint, hints, tail)
+
+    def land(named: DataFrame, batch_id: int) -> None:
+        paths = published_paths(landing, named.collect())  # a row for each day of a batch
+        if paths:
+            reader = named.sparkSession.read.schema("value STRING, dt STRING").option("basePath", landing)
+            table.land(with_provenance(reader.text(paths).select("value", "dt", "_metadata")), batch_id)
+
+    try:
+        stream = manifests.json(f"{landing}/{MANIFESTS}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return read_bronze(spark, target, checkpoint, hints, tail)
+    return table.take_in(stream, land)
+
+
+def read_bronze(spark: SparkSession, target: str, checkpoint: str, hints: str, tail: bool = False) -> DataFrame:
     """The ingested table under all columns found so far; no file is opened to learn the schema."""
     columns = known_columns(spark, checkpoint.rstrip("/"), hints)
-    schema = T.StructType([*columns.fields, *_OWN.fields, *_FOLDERS.fields])
+    apart = [T.StructField(TAIL, T.VariantType())] if tail else []
+    schema = T.StructType([*columns.fields, *apart, *_OWN.fields, *_FOLDERS.fields])
     try:
         return spark.read.schema(schema).parquet(target)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def tail_types(table: DataFrame) -> DataFrame:
+    """(name, type, rows): the keys in the tail, the type that holds all their values, and how many rows have them."""
+    keys = table.sparkSession.sql(f"SELECT t.key AS name, t.value FROM {{table}}, LATERAL variant_explode({TAIL}) AS t", table=table)
+    return keys.groupBy("name").agg(F.schema_of_variant_agg("value").alias("type"), F.count(F.lit(1)).alias("rows"))
+
+
+def tail_column(name: str, kind: str) -> Column:
+    """One key of the tail as a column of a type; NULL where it is not there or does not fit."""
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get(F.col(TAIL), f"$['{quoted}']", kind)
