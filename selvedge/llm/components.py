@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Edges stay distributed: every step is a minimum per vertex (combined before the shuffle) and a join
-back, so a vertex with very many neighbours is never gathered in one place. Each round is written to
+back; the edges of a vertex with very many neighbours meet its minimum in a join that is split by size
+(adaptive skew join), never in an array. Each round is written to
 the shared folder, which cuts its lineage; the driver sees two numbers a round.
 """
 

@@ -12,8 +12,8 @@ item at most); each block is searched against all documents:
 3. Every passage and passage of an item is projected, and pairs with a cosine of COSINE or more are candidates.
 4. A candidate is confirmed on the whole item, whatever its length, by the longest common subsequence of words
    within a stretch little longer than the item: ``COPY`` of the item's words make a copy; ``PARAPHRASE`` of them
-   and the item's answer (its last sentence of any length, word by word in order) make a paraphrase; of an item of
-   one sentence, which has no answer of its own, ``PARAPHRASE`` of the words alone do.
+   and the item's answer (its last sentence of any length, word by word in order; a point within a number or a
+   word ends no sentence) make a paraphrase; of an item of one sentence, which has no answer of its own, ``PARAPHRASE`` of the words alone do.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased for A-Z. Frequent words (in over
 COMMON of all half passages, and in more than FEW) weigh nothing in the search but count in the subsequence; the
@@ -21,7 +21,7 @@ OWN rarest words of every passage of an item always weigh, so an item is found h
 
 Defined results: null or empty items and texts match nothing; an item repeated under several ids is reported
 under each; rows that repeat are reported once; items of fewer than LEAST words need all their words in a
-row. An empty benchmark or corpus gives an empty result. Other columns are ignored.
+row. Texts are searched whole, a bounded run of words at a time, however long. An empty benchmark or corpus gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,13 +51,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def item_texts(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """(item, text, answer, parts): words of items; the last ``answer`` ones answer it, ``parts`` passages hold it."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
 
     def words(column):
-        low = F.translate(column, UPPER, LOWER)
-        return F.filter(F.split(low, NON_WORD), lambda w: w != "")
+        return F.filter(F.split(column, NON_WORD), lambda w: w != "")
 
-    last = F.element_at(F.split(F.regexp_replace(body, f"{NON_WORD}$", ""), "[.!?]"), -1)
+    last = F.element_at(F.split(F.regexp_replace(body, f"{NON_WORD}$", ""), "[.!?](?![0-9A-Za-z])"), -1)
     rows = benchmark.select(F.col(key).alias("item"), words(body).alias("w"), F.size(words(last)).alias("answer")).filter("size(w) > 0")
     return rows.select("item", F.array_join("w", " ").alias("text"), "answer", F.ceil(F.size("w") / PASSAGE).alias("parts")).distinct()
 

@@ -53,6 +53,10 @@ def _byte_letters() -> list[str]:
 def read_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
+    split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if parts.get("normalizer") or not plain or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
+        raise ValueError(f"{path} is not a plain byte-level vocabulary: its counts would be wrong")
     ids = parts["model"]["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in parts["model"]["merges"]]
     width = max(ids.values()) + 1

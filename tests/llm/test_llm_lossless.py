@@ -219,3 +219,46 @@ def test_licenses_of_a_text_full_of_them(spark):
     began = time.time()
     row = licenses.scan_licenses(frame).first()
     assert len(row.base) == 64_000 and row.label_list == ["cc-by", "cc-by-4.0", "mit"] and time.time() - began < 120
+
+
+def test_answers_are_not_cut_at_decimals(spark):
+    from selvedge.llm import decontaminate
+
+    items = [(1, "What is pi to two places? It is 3.14."), (2, "Name it. U.S.A"), (3, "One sentence only")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    answers = {r.item: r.answer for r in decontaminate.item_texts(frame, "item_id", "text").collect()}
+    assert answers[1] == 4 and answers[2] == 3
+
+
+@pytest.mark.parametrize("kept", [0.5, 0.6, 0.7, 0.8])
+def test_recall_of_paraphrases(spark, kept):
+    """Items whose words are replaced but for a share, answer kept, within 400 words of other text."""
+    import random
+
+    from selvedge.llm import decontaminate
+
+    folder = "/root/testdata/sf0.1"
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    pick, docs = random.Random(int(kept * 10)), []
+    for k, text in items.items():
+        head, mark, answer = text.rstrip(" .!?").rpartition(". ")
+        words = head.split() if mark else text.split()
+        swapped = set(pick.sample(range(len(words)), int((1 - kept) * len(words))))
+        told = [f"other{pick.randrange(10**6)}" if i in swapped else w for i, w in enumerate(words)] + (answer.split() if mark else [])
+        docs.append((k, f"{prose(200, 2 * k)} {' '.join(told)} {prose(200, 2 * k + 1)}"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark).collect()}
+    recall = sum((k, k) in found for k in items) / len(items)
+    extra = len(found - {(k, k) for k in items})
+    print(f"kept {kept}: recall {recall:.3f}, {extra} extra pairs")
+    assert recall >= 0.9 and extra <= 0.05 * len(items)
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    from selvedge.llm import tokens
+
+    with pytest.raises(ValueError):
+        tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
