@@ -75,7 +75,8 @@ def number_rows(rows: DataFrame, label: str = "embeddings") -> DataFrame:
         upto += r["count"]
     before = kept.sparkSession.createDataFrame(starts, "task bigint, before bigint")
     place = F.col("index").bitwiseAND(F.lit((1 << 33) - 1))
-    return kept.withColumn("task", task).join(before, "task").withColumn("index", F.col("before") + place).drop("task", "before")
+    # Sent to all: a row for each task that wrote, two numbers wide.
+    return kept.withColumn("task", task).join(F.broadcast(before), "task").withColumn("index", F.col("before") + place).drop("task", "before")
 
 
 def block_matrix(rows: DataFrame, vector: Column, count: int, width: int) -> BlockMatrix:
