@@ -17,11 +17,15 @@ from selvedge.session import stage
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written so that it is the same whenever it is read, and its column's name."""
+    """``docs`` with a number for each row, and its column's name.
+
+    A stage is given files that were written before and do not change, so a row's place in the scan, its task and its
+    place there, is the same whenever it is read, also by a task that runs again.
+    """
     name = "row"
     while name.lower() in (c.lower() for c in docs.columns):
         name = f"_{name}"
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
