@@ -357,9 +357,8 @@ def _compacted(lake: Lake) -> DataFrame:
     after = layout.compact(lake.spark, f"{path}/small", f"{path}/packed", target)
     kept = lake.spark.read.parquet(f"{path}/packed").agg(F.count(F.lit(1)).alias("rows"), F.sum("units_sold").alias("units_sold"))
     most = -(-before["size_bytes"] // target)
-    return kept.crossJoin(after).select(
-        "rows", "units_sold", (F.col("num_files") <= most).alias("few_files"), (F.col("num_files") < before["num_files"]).alias("fewer_files")
-    )
+    files = after.select("num_files").scalar()
+    return kept.select("rows", "units_sold", (files <= most).alias("few_files"), (files < before["num_files"]).alias("fewer_files"))
 
 
 def _detail(lake: Lake) -> DataFrame:
@@ -367,10 +366,10 @@ def _detail(lake: Lake) -> DataFrame:
     lake.good_sales.repartition(5).write.parquet(path)
     rows = lake.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
     found = layout.table_detail(lake.spark, path)
-    means = F.col("avg_bytes") * F.col("num_files") == F.col("size_bytes")
-    return rows.crossJoin(found).select(
-        "rows", "num_files", means.alias("mean_fits"), F.col("largest_bytes").between(F.col("avg_bytes"), F.col("size_bytes")).alias("largest_fits")
-    )
+    told = found.select(F.struct(*found.columns)).scalar()
+    means = told["avg_bytes"] * told["num_files"] == told["size_bytes"]
+    fits = told["largest_bytes"].between(told["avg_bytes"], told["size_bytes"])
+    return rows.select("rows", told["num_files"].alias("num_files"), means.alias("mean_fits"), fits.alias("largest_fits"))
 
 
 def _quarantine_rerun(lake: Lake) -> DataFrame:
