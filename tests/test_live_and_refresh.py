@@ -226,3 +226,70 @@ def test_the_catalogue_is_derived_once(spark, name, most):
     result = QUERIES[name](spark, SMALL)
     result.collect()
     assert 0 < fact_scans(result) <= most
+
+
+def test_a_bag_has_one_timer_however_many_events_wait():
+    """Waiting events cost a micro-batch one reading of the bag's state and one timer, not one for each of them."""
+    from selvedge.streaming.bags import BagProcessor
+
+    calls = []
+
+    class Held:
+        def __init__(self, value=None):
+            self.value = value
+
+        def get(self):
+            calls.append("get")
+            return self.value if self.value is not None else None
+
+        def update(self, value):
+            self.value = value
+
+    class Listed(Held):
+        def get(self):
+            return iter(self.value or [])
+
+        def put(self, values):
+            self.value = list(values)
+
+        def appendList(self, values):
+            self.value = [*(self.value or []), *values]
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return Held()
+
+        def getListState(self, *_):
+            return Listed()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Moment:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    class Event:
+        def __init__(self, n):
+            self.micros, self.seq, self.sku, self.op, self.quantity, self.millis = n * 1000, n, f"s{n}", "add", 1, n + 1
+
+    bag = BagProcessor(max_lines=1000)
+    bag.init(Handle())
+    shown = list(bag.handleInputRows((1,), iter(Event(n) for n in range(500)), Moment(0)))
+    assert len(shown[0].lines) == 500 and Handle.timers == [500] and len(calls) == 1
+    list(bag.handleInputRows((1,), iter(Event(n) for n in range(500, 600)), Moment(300)))
+    assert Handle.timers == [500] and len(bag.waiting.value) == 300 and len(bag.lines.value[0]) == 300
+    list(bag.handleExpiredTimer((1,), Moment(550), Moment(500)))
+    assert Handle.timers == [500, 600] and len(bag.waiting.value) == 50 and len(calls) == 3
+    list(bag.handleExpiredTimer((1,), Moment(900), Moment(600)))
+    assert Handle.timers == [500, 600] and not bag.waiting.value and len(bag.lines.value[0]) == 600
