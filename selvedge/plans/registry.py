@@ -217,7 +217,7 @@ def _drop_lines(lake: Lake, path: str, promo: Column, batch: str, when: str = "t
     text = F.when(mistyped, F.regexp_replace(text, r"\}$", ',"quantity":"x"}')).otherwise(text)
     cut = F.concat(F.lit('{"transaction_id":"'), "transaction_id", F.lit('",'))
     rows = lake.bronze_sales.filter(when)
-    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text), batch)
+    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text), batch, gather=False, compression="snappy")
 
 
 def _promo() -> Column:
@@ -295,8 +295,9 @@ def _ingest_tail(lake: Lake) -> DataFrame:
     value = F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit('"v'), key.cast("string"), F.lit('"')))
     more = F.concat(F.lit(',"k'), key.cast("string"), F.lit('":'), value, F.lit("}"))
     columns = [c for c in lake.bronze_sales.columns if c != "_rescued_data"]
-    text = F.concat(F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", ""), more)
-    write_lines(lake.bronze_sales, place.landing, F.to_date("sold_at"), text, "only")
+    whole = F.to_json(F.struct(*columns))
+    text = F.concat(F.left(whole, F.length(whole) - 1), more)
+    write_lines(lake.bronze_sales, place.landing, F.to_date("sold_at"), text, "only", gather=False, compression="snappy")
     names = tail_types(place.ingest(tail=True))
     return names.withColumn("type", F.col("type").cast("string"))
 

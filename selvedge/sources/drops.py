@@ -34,12 +34,15 @@ def published_paths(path: str, entries: list) -> list[str]:
     return [f"{path}/dt={r['dt']}/batch={r['batch']}/attempt={r['attempt']}" for r in entries if r["dt"] is not None]
 
 
-def write_lines(df: DataFrame, path: str, day: Column, line: Column, batch_id: str) -> None:
+def write_lines(
+    df: DataFrame, path: str, day: Column, line: Column, batch_id: str, gather: bool = True, compression: str = "none"
+) -> None:
     """Write one text line per row into its day's directory, every row, under the batch's name, and publish the batch.
 
     A batch lands once: a second landing of the same ``batch_id`` is refused, so a rerun cannot bring
     rows in again under new file names, while late rows of a landed day come in as a batch of their
-    own. The rebalance splits a heavy day over several files by size.
+    own. The rebalance splits a heavy day over several files by size. Without ``gather`` no line is moved:
+    each task writes its part of every day, for tables whose tasks hold enough of a day for a file.
     """
     if not batch_id or not batch_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError("batch_id takes letters, digits, - and _")
@@ -48,8 +51,9 @@ def write_lines(df: DataFrame, path: str, day: Column, line: Column, batch_id: s
         raise ValueError(f"batch {batch_id} has landed already")
     dated = F.date_format(day, "yyyy-MM-dd")
     lines = df.select(line.alias("value"), dated.alias("dt"), F.lit(batch_id).alias("batch"), F.lit(attempt).alias("attempt"))
-    seen = lines.hint("rebalance", F.col("dt")).observe(days, F.collect_set(F.coalesce("dt", F.lit(_NO_DAY))).alias("days"))
-    seen.write.mode("append").partitionBy("dt", "batch", "attempt").text(path)
+    spread = lines.hint("rebalance", F.col("dt")) if gather else lines
+    seen = spread.observe(days, F.collect_set(F.coalesce("dt", F.lit(_NO_DAY))).alias("days"))
+    seen.write.mode("append").partitionBy("dt", "batch", "attempt").option("compression", compression).text(path)
     entries = [(batch_id, attempt, d) for d in days.get["days"]] or [(batch_id, attempt, None)]
     manifest = spark.createDataFrame(entries, ENTRY).coalesce(1)
     manifest.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/{MANIFESTS}/{batch_id}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,9 @@ from pyspark.sql import types as T
 
 from selvedge.sources.drops import ENTRY, MANIFESTS, published_paths
 
+# Lines looked at before the first batch is written.
+_GLANCE = 10_000
+
 # Numeric columns pinned per stream.
 STREAM_HINTS = {
     "sales": "quantity INT, unit_price DOUBLE, list_price DOUBLE, discount_pct DOUBLE",
@@ -60,12 +66,14 @@ def _unknown(name: Column, columns: T.StructType) -> Column:
     return ~F.lower(name).isin(*taken) & (name != "")
 
 
-def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False) -> DataFrame:
+def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False, hinted: T.StructType | None = None) -> DataFrame:
     """Parse JSON lines to ``columns``, keeping whatever does not fit in ``_rescued_data``.
 
     Rescued are values of the wrong type and keys without a column; a line that is no JSON
     object is rescued whole. ``_novel`` marks rows with a key that could become a column.
     With ``tail`` keys without a column are kept, types and all, in the VARIANT ``_tail`` instead.
+    With ``hinted``, the columns that were not found but given, a key that differs from a found one in its case alone
+    is marked too: the column's name is not settled then.
     """
     parsed = raw.filter(F.trim("value") != "").withColumns(
         {"_typed": F.from_json("value", columns), "_keys": F.json_object_keys("value")}
@@ -85,14 +93,19 @@ def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False) -> DataFra
 
     # A row with as many typed values as keys has nothing to rescue. That is the usual case,
     # and it is spared the second parse.
-    clean = F.lit(len(columns)) - F.size(blank) == F.size("_keys")
+    typed = reduce(add, [F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns], F.lit(0))
+    clean = typed == F.size("_keys")
     left_over = F.nullif(F.to_json(F.map_filter(fields, misfit)), F.lit("{}"))
-    novel = F.when(clean, False).otherwise(F.exists("_keys", lambda k: _unknown(k, columns)))
+    new = (lambda k: _unknown(k, columns)) if hinted is None else (lambda k: _unknown(k, hinted) & ~F.array_contains(names, k))
+    novel = F.when(clean, False).otherwise(F.exists("_keys", new))
     kept_apart = []
     if tail:
         rest = F.map_filter(F.from_json("value", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & ~F.array_contains(names, k))
-        kept_apart = [F.when(~clean & (F.size(rest) > 0), F.to_variant_object(rest)).alias(TAIL)]
+        parsed = parsed.withColumn("_rest", F.when(~clean, rest))  # a column of its own, so that it is parsed once
+        kept_apart = [F.when(F.size("_rest") > 0, F.to_variant_object("_rest")).alias(TAIL)]
         novel = F.lit(False)
+        # Only a hinted column that is blank can have a value that does not fit it.
+        left_over = F.when(typed < len(columns), left_over)
     rescued = F.when(F.col("_keys").isNull(), F.col("value")).when(clean, None).otherwise(left_over)
     carried = [c for c in raw.columns if c != "value"]
     return parsed.select(
@@ -138,9 +151,9 @@ class _Table:
     def __init__(self, target: str, checkpoint: str, hints: str, tail: bool = False):
         self.target, self.checkpoint, self.hints, self.tail = target, checkpoint, hints, tail
 
-    def _write(self, lines: DataFrame, batch_id: int, columns: T.StructType) -> bool:
+    def _write(self, lines: DataFrame, batch_id: int, columns: T.StructType, hinted: T.StructType | None = None) -> bool:
         seen = Observation()
-        rows = rescue(lines, columns, self.tail).withColumn("_ingested_at", F.current_timestamp())
+        rows = rescue(lines, columns, self.tail, hinted).withColumn("_ingested_at", F.current_timestamp())
         counted = rows.observe(seen, F.coalesce(F.bool_or("_novel"), F.lit(False)).alias("novel")).drop("_novel")
         counted.write.mode("overwrite").partitionBy("dt").parquet(f"{self.target}/ingest_batch={batch_id}")
         return seen.get["novel"]
@@ -154,11 +167,17 @@ class _Table:
         return wider
 
     def land(self, lines: DataFrame, batch_id: int) -> None:
-        """The first batch is looked through for its columns; later ones are written in one pass, and only when a batch
-        turns out to bring new keys are the columns widened and the batch written again."""
+        """A batch is written in one pass, and only when it turns out to bring new keys are the columns widened and the
+        batch written again. The first batch is written under the columns of a glance at some of its lines; if it holds
+        others they are found from all of its lines, so that the columns are those of the whole batch either way."""
         columns = _remembered(lines.sparkSession, self.checkpoint)
         if columns is None:
-            self._write(lines, batch_id, self._widen(lines, T.StructType.fromDDL(self.hints)))
+            hinted = T.StructType.fromDDL(self.hints)
+            guess = hinted if self.tail else _discover(lines.limit(_GLANCE), hinted)
+            if self._write(lines, batch_id, guess, hinted):
+                self._write(lines, batch_id, self._widen(lines, hinted))
+            elif len(guess) > len(hinted):
+                _remember(lines.sparkSession, self.checkpoint, guess)
         elif self._write(lines, batch_id, columns):
             wider = self._widen(lines, columns)
             if len(wider) > len(columns):

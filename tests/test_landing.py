@@ -5,6 +5,7 @@ import json
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from selvedge.sources import drops
 from selvedge.streaming import ingest
@@ -76,3 +77,34 @@ def test_copies_come_in_once_whatever_their_files(spark, tmp_path):
     assert take().count() == 5
     place.write(['{"id":3}', '{"id":4}', '{"v":1.0}'], "c")
     assert sorted(r.id or 0 for r in take().collect()) == [0, 0, 1, 2, 3, 4]
+
+
+def test_lines_can_land_without_being_moved(spark, tmp_path):
+    place = Place(spark, tmp_path)
+    frame = spark.range(0, 4000, 1, 4).selectExpr("concat('{\"id\":', id, '}') AS line", "concat('2026-08-0', 1 + id % 2) AS dt")
+    context = spark.sparkContext
+    context.setJobGroup("landing", "")
+    try:
+        drops.write_lines(frame, place.landing, F.col("dt").cast("date"), F.col("line"), "a", gather=False, compression="snappy")
+        status = context.statusTracker()
+        tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("landing") for s in status.getJobInfo(j).stageIds]
+    finally:
+        context.setJobGroup("rest", "")
+    files = list((tmp_path / "landing").rglob("*.snappy"))
+    assert 4 in tasks and len(files) == 8  # two days of four tasks
+    assert sorted(r.id for r in place.take().collect()) == list(range(4000))
+
+
+@pytest.mark.parametrize("late", ['{"id":2,"more":"x"}', '{"id":2,"First":"x"}', '{"id":2}'])
+def test_columns_of_a_glance_are_those_of_the_whole_batch(spark, tmp_path, monkeypatch, late):
+    looked = []
+    discover = ingest._discover
+    monkeypatch.setattr(ingest, "_GLANCE", 1)
+    monkeypatch.setattr(ingest, "_discover", lambda lines, columns: looked.append(1) or discover(lines, columns))
+    place = Place(spark, tmp_path)
+    place.write(['{"id":1,"first":"a"}'] * 3 + [late], "a")
+    table = place.take()
+    whole = discover(spark.createDataFrame([('{"id":1,"first":"a"}',), (late,)], "value string"), T.StructType.fromDDL(HINTS))
+    assert table.columns[: len(whole)] == whole.names and table.count() == 4
+    assert len(looked) == (1 if len(whole) == 3 and whole.names[2] == "first" else 2)
+    assert table.filter("_rescued_data IS NOT NULL").count() == (3 if "First" in late else 0)
