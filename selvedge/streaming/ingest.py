@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +63,14 @@ def _unknown(name: Column, columns: T.StructType) -> Column:
     return ~F.lower(name).isin(*taken) & (name != "")
 
 
+def _sum(terms: list[Column]) -> Column:
+    """The terms added up by halves: thousands of them nest a few levels deep."""
+    if len(terms) < 2:
+        return terms[0] if terms else F.lit(0)
+    half = len(terms) // 2
+    return _sum(terms[:half]) + _sum(terms[half:])
+
+
 def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False, hinted: T.StructType | None = None) -> DataFrame:
     """Parse JSON lines to ``columns``, keeping whatever does not fit in ``_rescued_data``.
 
@@ -93,7 +98,7 @@ def rescue(raw: DataFrame, columns: T.StructType, tail: bool = False, hinted: T.
 
     # A row with as many typed values as keys has nothing to rescue. That is the usual case,
     # and it is spared the second parse.
-    typed = reduce(add, [F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns], F.lit(0))
+    typed = _sum([F.col("_typed").getField(f.name).isNotNull().cast("int") for f in columns])
     clean = typed == F.size("_keys")
     left_over = F.nullif(F.to_json(F.map_filter(fields, misfit)), F.lit("{}"))
     new = (lambda k: _unknown(k, columns)) if hinted is None else (lambda k: _unknown(k, hinted) & ~F.array_contains(names, k))
