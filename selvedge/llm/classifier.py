@@ -32,6 +32,7 @@ from selvedge.session import stage
 
 PLACES_BITS, WIDTH, NONZERO, REACH = 14, 64, 4, 2
 PLACES = 1 << PLACES_BITS
+TEXT_BYTES = 1 << 17  # texts taken at a time: the rows of their words' vectors stay within a processor's cache
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 LETTERS = alphabet(b" \t\n\x0b\x0c\r", MARKS, fold=False, seed=23)
 
@@ -46,22 +47,26 @@ def index_vectors(seed: int = 3) -> np.ndarray:
 
 
 def _places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, _, data, at in chunks(column, 1 << 20):
+    for _, _, data, at in chunks(column, TEXT_BYTES):
         hashes, offsets = hash_words(data, at, LETTERS)
         yield (hashes >> np.uint64(64 - PLACES_BITS)).astype(np.uint16), offsets
 
 
 def _add_contexts(held: np.ndarray, place: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> None:
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    around = np.zeros((len(place), WIDTH), dtype=np.int8)
+    own = vectors.take(place, axis=0)
+    around = np.zeros_like(own)
     for d in range(1, REACH + 1):
-        same = (text[d:] == text[:-d])[:, None]
-        around[:-d] += vectors[place[d:]] * same
-        around[d:] += vectors[place[:-d]] * same
+        around[:-d] += own[d:]
+        around[d:] += own[:-d]
+        # Words of two texts are no neighbours.
+        apart = np.flatnonzero(text[d:] != text[:-d])
+        around[apart] -= own[apart + d]
+        around[apart + d] -= own[apart]
     order = np.argsort(place, kind="stable")
     sorted_places = place[order]
     first = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
-    held[sorted_places[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+    held[sorted_places[first]] += np.add.reduceat(around.take(order, axis=0), first, axis=0, dtype=np.int64)
 
 
 def context_vectors(docs: DataFrame, text: str) -> np.ndarray:
@@ -98,7 +103,7 @@ def pool(docs: DataFrame, vectors: np.ndarray, key: str, text: str) -> DataFrame
                 mean = np.zeros((len(counts), WIDTH), dtype=np.float32)
                 spread, near = np.zeros_like(mean), np.zeros(len(counts), dtype=np.float32)
                 if len(full):
-                    held = words[place]
+                    held = words.take(place, axis=0)
                     n = counts[full][:, None].astype(np.float32)
                     mean[full] = np.add.reduceat(held, offsets[full], axis=0) / n
                     alike = np.zeros(len(place), dtype=np.float32)

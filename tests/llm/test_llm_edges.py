@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_brute import near_groups
 from pyspark.sql import functions as F
@@ -322,6 +324,30 @@ def test_quality_scores_of_odd_rows(spark, odd, none):
     assert classifier.score_quality(none, labels).count() == 0
 
 
+def test_contexts_equal_a_loop_over_words():
+    column = pa.array([None, "", "one", "one two", *[prose(40, n) for n in range(50)]])
+    vectors, wanted = classifier.index_vectors(), np.zeros((classifier.PLACES, classifier.WIDTH), dtype=np.int64)
+    found = np.zeros_like(wanted)
+    for place, offsets in classifier._places(column):
+        for low, high in zip(offsets[:-1], offsets[1:], strict=True):
+            for i in range(low, high):
+                for j in {i - 2, i - 1, i + 1, i + 2} & set(range(low, high)):
+                    wanted[place[i]] += vectors[place[j]]
+        classifier._add_contexts(found, place, offsets, vectors)
+    assert found.any() and (found == wanted).all()
+
+
+def test_contexts_of_many_texts_take_a_few_megabytes():
+    column = pa.array([prose(40, n) for n in range(6_000)])
+    vectors, held = classifier.index_vectors(), np.zeros((classifier.PLACES, classifier.WIDTH), dtype=np.int64)
+    tracemalloc.start()
+    for place, offsets in classifier._places(column):
+        classifier._add_contexts(held, place, offsets, vectors)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20
+
+
 def test_network_learns_and_is_calibrated():
     random = np.random.default_rng(2)
     x = random.normal(size=(4000, 6))
