@@ -191,10 +191,13 @@ def reserved_units(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def availability(catalog: DataFrame, reserved: DataFrame) -> DataFrame:
     """Units of each SKU that can still be sold: the snapshot less orders since, not a reservation."""
+    return with_available(catalog, reserved).select("sku", "product_id", "available")
+
+
+def with_available(catalog: DataFrame, reserved: DataFrame) -> DataFrame:
+    """The catalogue beside what is left of each SKU, so that who needs both derives the catalogue once."""
     left = available_units(F.col("on_hand"), F.col("reserved"))
-    return catalog.select("sku", "product_id", "on_hand").join(reserved, "sku", "left").select(
-        "sku", "product_id", left.alias("available")
-    )
+    return catalog.join(reserved, "sku", "left").select(*catalog.columns, left.alias("available"))
 
 
 def availability_of(catalog: DataFrame, reserved: DataFrame, skus: DataFrame) -> DataFrame:
@@ -213,8 +216,7 @@ def style_availability(catalog: DataFrame, reserved: DataFrame) -> DataFrame:
 
 def bag_lines(bags: DataFrame, catalog: DataFrame, reserved: DataFrame) -> DataFrame:
     """Bag contents priced against the catalogue; SKUs no longer in it drop out."""
-    stock = catalog.join(availability(catalog, reserved).select("sku", "available"), "sku")
-    return bags.join(stock, "sku").withColumns(
+    return bags.join(with_available(catalog, reserved), "sku").withColumns(
         {
             "line_total": F.round(F.col("current_price") * F.col("quantity"), 2),
             "short": F.col("quantity") > F.col("available"),
@@ -224,7 +226,7 @@ def bag_lines(bags: DataFrame, catalog: DataFrame, reserved: DataFrame) -> DataF
 
 def price_bags(bags: DataFrame, catalog: DataFrame, reserved: DataFrame) -> DataFrame:
     """Totals of every bag, including bags whose SKUs have all left the catalogue."""
-    stock = availability(catalog, reserved).join(catalog.select("sku", "list_price", "current_price"), "sku")
+    stock = with_available(catalog, reserved).select("sku", "list_price", "current_price", "available")
     quantity, price = F.col("quantity"), F.coalesce("current_price", F.lit(0.0))
     found = F.col("available").isNotNull()
     saving = (F.coalesce("list_price", F.lit(0.0)) - price) * quantity

@@ -95,3 +95,10 @@ def test_facts_are_read_a_few_times_at_most(spark, name, most):
     result = QUERIES[name](spark, SMALL)
     result.collect()
     assert 0 < fact_scans(result) <= most
+
+
+@pytest.mark.parametrize("name,most", [("bag_lines", 7), ("price_bags", 7)])
+def test_bags_are_priced_from_one_catalogue(spark, name, most):
+    result = QUERIES[name](spark, SMALL)
+    result.collect()
+    assert 0 < fact_scans(result) <= most
