@@ -426,8 +426,10 @@ def _late_returns(lake: Lake) -> DataFrame:
     """Daily sales after late returns were netted off the days they touch only."""
     root = run_dir(lake.spark, "late-returns")
     late = _late("returned_at")
-    refresh.build_net_lake(lake.good_sales, lake.returns.filter(~late), lake.products, lake.stores, root)
-    refresh.add_returns(lake.returns.filter(late), lake.products, lake.stores, root, "late")
+    # Checked once: both batches are of the same returns.
+    returns = stage(lake.returns.select("transaction_id", "quantity", "returned_at"), "good-returns")
+    refresh.build_net_lake(lake.good_sales, returns.filter(~late), lake.products, lake.stores, root)
+    refresh.add_returns(returns.filter(late), lake.products, lake.stores, root, "late")
     return refresh.daily_sales_now(lake.spark, root).select(*lake.daily_sales.columns)
 
 
@@ -435,8 +437,10 @@ def _late_returns_files(lake: Lake) -> DataFrame:
     """Late returns of three days of sales: which days of sales and mart kept their files."""
     root = run_dir(lake.spark, "late-returns-files")
     early = F.col("sale_date") <= F.lit("2026-08-03").cast("date")
-    few = lake.returns.join(lake.good_sales.filter(early).select("transaction_id"), "transaction_id", "left_semi")
-    rest = lake.returns.join(lake.good_sales.filter(early).select("transaction_id"), "transaction_id", "left_anti")
+    of_early = lake.good_sales.filter(early).select("transaction_id").distinct().withColumn("early", F.lit(True))
+    # Checked and told apart once.
+    returns = stage(lake.returns.select("transaction_id", "quantity").join(of_early, "transaction_id", "left"), "good-returns")
+    few, rest = returns.filter("early"), returns.filter("early IS NULL")
     refresh.build_net_lake(lake.good_sales, rest, lake.products, lake.stores, root)
     before = {t: [tuple(r) for r in _file_days(lake, f"{root}/{t}").collect()] for t in ("sales", "daily_sales")}
     refresh.add_returns(few, lake.products, lake.stores, root, "late")

@@ -102,3 +102,14 @@ def test_bags_are_priced_from_one_catalogue(spark, name, most):
     result = QUERIES[name](spark, SMALL)
     result.collect()
     assert 0 < fact_scans(result) <= most
+
+
+@pytest.mark.parametrize("name", ["late_returns", "late_returns_files"])
+def test_late_returns_are_checked_once(spark, monkeypatch, name):
+    from selvedge.plans import registry
+
+    read = []
+    put = registry.refresh._put_returns
+    monkeypatch.setattr(registry.refresh, "_put_returns", lambda returns, *rest: (read.append(fact_scans(returns)), put(returns, *rest)))
+    QUERIES[name](spark, SMALL)
+    assert read == [0, 0]
