@@ -46,9 +46,9 @@ def evaluate_rules(df: DataFrame, rules: Mapping[str, str], null_policy: str = "
         raise ValueError(f"null_policy must be 'pass' or 'fail', not {null_policy!r}")
     when_null = F.lit(null_policy == "pass")
     holds = {name: F.coalesce(F.expr(check), when_null) for name, check in rules.items()}
-    names = F.array_compact(F.array(*[F.when(~held, F.lit(name)) for name, held in holds.items()]))
     none = F.array().cast("array<string>")
-    # The names are only put together for the rows that need them.
+    names = F.concat(none, *[F.when(~held, F.array(F.lit(name))).otherwise(none) for name, held in holds.items()])
+    # The names are only put together for the rows that need them, and without a lambda, which no generated code holds.
     return df.withColumn(VIOLATIONS, F.when(reduce(and_, holds.values()), none).otherwise(names))
 
 

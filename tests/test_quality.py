@@ -140,3 +140,8 @@ def test_what_is_derived_from_a_sale_does_not_travel_to_the_join(spark):
     plan = silver.check_sales(given.bronze_sales, given.products)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join LeftOuter", 1)
     assert "gross_amount" in above and "gross_amount" not in below
+
+
+def test_rules_hold_no_lambda(spark):
+    kept = passed(evaluate_rules(spark.createDataFrame([(1,)], "quantity int"), {"positive_quantity": "quantity > 0"}))
+    assert "lambda" not in kept._jdf.queryExecution().optimizedPlan().toString()
