@@ -197,7 +197,7 @@ def _report(lake: Lake) -> DataFrame:
 # --- ingest ---
 
 
-def _drop_lines(lake: Lake, path: str, promo: Column, batch: str, when: str = "true") -> None:
+def _drop_lines(lake: Lake, path: str, promo: Column, batch: str, when: str = "true", compression: str = "snappy") -> None:
     """Land the sales as JSON lines by day; some broken, some with a mistyped quantity."""
     key = F.split("transaction_id", "-")[0].cast("bigint")
     mistyped, broken = key % 211 == 0, key % 503 == 0
@@ -217,7 +217,7 @@ def _drop_lines(lake: Lake, path: str, promo: Column, batch: str, when: str = "t
     text = F.when(mistyped, F.regexp_replace(text, r"\}$", ',"quantity":"x"}')).otherwise(text)
     cut = F.concat(F.lit('{"transaction_id":"'), "transaction_id", F.lit('",'))
     rows = lake.bronze_sales.filter(when)
-    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text), batch, gather=False, compression="snappy")
+    write_lines(rows, path, F.to_date("sold_at"), F.when(broken, cut).otherwise(text), batch, gather=False, compression=compression)
 
 
 def _promo() -> Column:
@@ -317,12 +317,15 @@ def _landing_retried(lake: Lake) -> DataFrame:
 
 
 def _ingest_once(lake: Lake) -> DataFrame:
-    """The same rows land twice under other file names, in one run and in the next."""
+    """The same rows land twice under other file names, in one run and in the next.
+
+    All copies lie there at once, so they are compressed closer than elsewhere.
+    """
     place = _Landing(lake, "ingest-once")
     for batch in ("first", "again"):
-        _drop_lines(lake, place.landing, _promo(), batch)
+        _drop_lines(lake, place.landing, _promo(), batch, compression="gzip")
     place.ingest(once="transaction_id")
-    _drop_lines(lake, place.landing, _promo(), "later")
+    _drop_lines(lake, place.landing, _promo(), "later", compression="gzip")
     table = place.ingest(once="transaction_id")
     return table.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("transaction_id").alias("transactions"))
 

@@ -53,7 +53,8 @@ def write_lines(
     lines = df.select(line.alias("value"), dated.alias("dt"), F.lit(batch_id).alias("batch"), F.lit(attempt).alias("attempt"))
     spread = lines.hint("rebalance", F.col("dt")) if gather else lines
     seen = spread.observe(days, F.collect_set(F.coalesce("dt", F.lit(_NO_DAY))).alias("days"))
-    seen.write.mode("append").partitionBy("dt", "batch", "attempt").option("compression", compression).text(path)
+    out = seen.write.mode("append").partitionBy("dt", "batch", "attempt")
+    out.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
     entries = [(batch_id, attempt, d) for d in days.get["days"]] or [(batch_id, attempt, None)]
     manifest = spark.createDataFrame(entries, ENTRY).coalesce(1)
     manifest.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/{MANIFESTS}/{batch_id}")

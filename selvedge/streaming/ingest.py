@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from selvedge.sources.drops import ENTRY, MANIFESTS, published_paths
 # Lines looked at before the first batch is written.
 _GLANCE = 10_000
 
+# Lines whose choice by key comes back to them as one row of words, a bit for each line.
+_BLOCK, _WORD = 4_096, 64
+
 # Numeric columns pinned per stream.
 STREAM_HINTS = {
     "sales": "quantity INT, unit_price DOUBLE, list_price DOUBLE, discount_pct DOUBLE",
@@ -199,6 +204,70 @@ class _Table:
         return read_bronze(stream.sparkSession, self.target, self.checkpoint, self.hints, self.tail)
 
 
+class _Once:
+    """The keys that were taken in, kept beside the checkpoint, and the lines of a batch that bring new ones.
+
+    The lines stay where they are read: their keys travel with the places of the lines in the batch, and what was chosen
+    comes back as one bit for each line. Every batch owns one folder of keys and replaces it when retried.
+    """
+
+    def __init__(self, checkpoint: str, key: str, within: str):
+        self.keys, self.chosen = f"{checkpoint}/once/keys", f"{checkpoint}/once/chosen"
+        self.key = F.coalesce(F.get_json_object("value", f"$['{key}']"), F.col("value"))
+        self.within = F.expr(f"INTERVAL '{within}'")
+
+    def _known(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The keys of earlier batches but those that are forgotten: lines had landed more than twice the time after them."""
+        schema = "key STRING, place LONG, batch LONG, landed LONG"
+        try:
+            log = spark.read.schema(schema).parquet(self.keys).withColumn("landed", F.timestamp_micros("landed"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+        newest = log.filter(F.col("batch") < batch_id - 1).agg(F.max("landed")).scalar()
+        kept = F.coalesce(F.col("landed") + self.within + self.within > newest, F.lit(True))
+        return log.filter((F.col("batch") < batch_id) & kept)
+
+    def _choose(self, lines: DataFrame, batch_id: int) -> int:
+        """Write down the new keys of a batch and the places of their first lines; returns how many they are."""
+        spark, mine = lines.sparkSession, f"{self.keys}/batch={batch_id}"
+        placed = lines.select(self.key.alias("key"), F.monotonically_increasing_id().alias("place"), "value")
+        keys = placed.filter(F.trim("value") != "").select("key", "place")
+        # Dealt by key first: keys hardly repeat within a task, so summing them there would only hold them in memory.
+        firsts = keys.repartition("key").groupBy("key").agg(F.min("place").alias("place"))
+        fresh = firsts.join(self._known(spark, batch_id).select("key"), "key", "left_anti")
+        dated = fresh.withColumn("landed", F.lit(time.time_ns() // 1000))
+        dated.write.mode("overwrite").partitionBy("landed").option("compression", "zstd").parquet(mine)
+        places = spark.read.schema("place LONG").parquet(mine)
+        dealt = places.select("place", F.floor(F.col("place") / _BLOCK).alias("_block")).repartition("_block")
+        bit = F.expr(f"shiftleft(1L, cast(place % {_WORD} as int))")
+        word = F.floor(F.col("place") % _BLOCK / _WORD).alias("word")
+        words = dealt.groupBy("_block", word).agg(F.bit_or(bit).alias("bits"))
+        found = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(_BLOCK // _WORD - 1).cast("long"))
+        filled = F.transform(every, lambda i: F.coalesce(F.try_element_at("_found", i), F.lit(0).cast("long")))
+        blocks = words.groupBy("_block").agg(found.alias("_found")).select("_block", filled.alias("_words"))
+        blocks.write.mode("overwrite").parquet(f"{self.chosen}/batch={batch_id}")
+        return places.count()
+
+    def land(self, table: _Table, lines: DataFrame, batch_id: int) -> None:
+        """Land the first line of every key that is not known. Both passes read the batch's one scan, whose places are fixed."""
+        spark = lines.sparkSession
+        most = self._choose(lines, batch_id)
+        blocks = spark.read.schema("_block LONG, _words ARRAY<LONG>").parquet(f"{self.chosen}/batch={batch_id}")
+        placed = lines.withColumn("_place", F.monotonically_increasing_id())
+        placed = placed.withColumn("_block", F.floor(F.col("_place") / _BLOCK))
+        # The words are an eighth of a byte for each line, so they go to the lines.
+        marked = placed.join(F.broadcast(blocks), "_block")
+        own = F.get("_words", F.floor(F.col("_place") % _BLOCK / _WORD).cast("int"))
+        taken = marked.filter(F.getbit(own, F.col("_place") % _WORD) == 1).select(*lines.columns)
+        table.land(taken, batch_id)
+        written = spark.read.schema(_OWN).parquet(f"{table.target}/ingest_batch={batch_id}").count()
+        if written != most:
+            raise RuntimeError(f"batch {batch_id} was read otherwise the second time: {written} lines for {most} keys; run it again")
+
+
 def ingest_json(
     spark: SparkSession,
     source: str,
@@ -219,16 +288,16 @@ def ingest_json(
 
     ``once`` names a key, such as the transaction id: of lines that share it only the first is taken in, if the others
     land ``within`` that time after it, whatever files they come in. A line without the key is known by its whole text.
-    The time is that of landing, so late rows are no older than others and none is dropped for its age.
+    The time is that of landing, so late rows are no older than others and none is dropped for its age. The keys lie
+    beside the checkpoint; one is forgotten when lines landed more than twice that time after it.
     """
     source, target, checkpoint = _checked(source=source, target=target, checkpoint=checkpoint)
     lines = spark.readStream.schema("value STRING, dt STRING").option("maxFilesPerTrigger", files_per_batch).text(source)
     traced = with_provenance(lines.select("value", "dt", "_metadata"))
-    if once:
-        known = F.coalesce(F.get_json_object("value", f"$['{once}']"), F.col("value"))
-        landed = traced.withColumns({"_once": known, "_landed": F.current_timestamp()}).withWatermark("_landed", within)
-        traced = landed.dropDuplicatesWithinWatermark(["_once"]).drop("_once", "_landed")
     table = _Table(target, checkpoint, hints, tail)
+    if once:
+        first = _Once(checkpoint, once, within)
+        return table.take_in(traced, lambda lines, batch_id: first.land(table, lines, batch_id))
     return table.take_in(traced, table.land)
 
 

@@ -79,6 +79,58 @@ def test_copies_come_in_once_whatever_their_files(spark, tmp_path):
     assert sorted(r.id or 0 for r in take().collect()) == [0, 0, 1, 2, 3, 4]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+
+def test_lines_taken_in_once_are_not_moved(spark, tmp_path):
+    """Half of the lines are copies in other files; of all only keys and places travel, and no state store holds them."""
+    place = Place(spark, tmp_path)
+    text = "concat('{\"id\":', id, ',\"more\":\"', sha2(cast(id as string), 512), sha2(cast(-id as string), 512), '\"}') AS line"
+    frame = spark.range(0, 9000, 1, 4).selectExpr(text, "concat('2026-08-0', 1 + id % 2) AS dt")
+    for batch in "ab":
+        drops.write_lines(frame, place.landing, F.col("dt").cast("date"), F.col("line"), batch, gather=False, compression="gzip")
+    before = shuffled(spark)
+    table = ingest.ingest_json(spark, place.landing, place.target, place.checkpoint, HINTS, once="id")
+    assert shuffled(spark) - before < 18_000 * 100  # a line has more than 280 characters that do not compress to fewer than 128
+    assert not (tmp_path / "checkpoint" / "commits" / "state").exists()
+    assert sorted(r.id for r in table.collect()) == list(range(9000))
+    wrong = table.filter("more <> concat(sha2(cast(id as string), 512), sha2(cast(-id as string), 512)) OR more IS NULL")
+    assert wrong.isEmpty()
+
+
+def test_a_key_is_forgotten_long_after_it_landed(spark, tmp_path, monkeypatch):
+    place, clock = Place(spark, tmp_path), [0]
+    monkeypatch.setattr(ingest.time, "time_ns", lambda: clock[0])
+
+    def take(day, *lines):
+        clock[0] = day * 86_400 * 10**9
+        place.write(lines, f"day{day}")
+        return ingest.ingest_json(spark, place.landing, place.target, place.checkpoint, HINTS, once="id", within="2 days").count()
+
+    assert take(1, '{"id":1}', '{"id":2}', " ", "") == 2
+    assert take(3, '{"id":1}', '{"id":3}') == 3  # within the time
+    assert take(9, '{"id":2}', '{"id":3}', '{"id":4}') == 4  # nothing landed so late before
+    assert take(10, '{"id":3}') == 4
+    assert take(11, '{"id":1}', '{"id":3}', '{"id":4}') == 6  # that of day 9 came long after the first two days
+
+
+def test_a_retried_batch_leaves_its_first_lines_once(spark, tmp_path, monkeypatch):
+    place = Place(spark, tmp_path)
+    options = (spark, place.landing, place.target, place.checkpoint, HINTS)
+    place.write(['{"id":1}', '{"id":1,"v":1.0}'], "a")
+    assert ingest.ingest_json(*options, once="id").count() == 1
+    place.write(['{"id":1}', '{"id":2}', '{"id":2}', '{"id":3}'], "b")
+    with monkeypatch.context() as patch:  # it stops after its keys were written down
+        patch.setattr(ingest._Table, "_write", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            ingest.ingest_json(*options, once="id")
+    assert sorted(r.id for r in ingest.ingest_json(*options, once="id").collect()) == [1, 2, 3]
+
+
 def test_lines_can_land_without_being_moved(spark, tmp_path):
     place = Place(spark, tmp_path)
     frame = spark.range(0, 4000, 1, 4).selectExpr("concat('{\"id\":', id, '}') AS line", "concat('2026-08-0', 1 + id % 2) AS dt")

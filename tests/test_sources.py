@@ -72,3 +72,13 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_adapter_reads_only_what_a_query_needs(spark):
     plan = Retail(spark, SMALL).bronze_sales.select("sku", "quantity")._jdf.queryExecution().executedPlan().toString()
     assert "l_discount" not in plan and "l_shipdate" not in plan and "l_quantity" in plan
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark, tmp_path):
+    from pathlib import Path
+
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in places for f in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    spark.range(0, 50_000, 1, 4).selectExpr("id", "id % 1000 AS k").repartition(3, "k").write.parquet(f"{tmp_path}/t")
+    assert held() <= before
