@@ -66,7 +66,12 @@ class Lake(Retail):
 
     @cached_property
     def top_products(self) -> DataFrame:
-        return marts.top_products(self.sales, self.returns, self.products, self.stores)
+        return marts.ranked_styles(self.style_sales)
+
+    @cached_property
+    def style_sales(self) -> DataFrame:
+        rows = silver.sales_beside_returns(self.good_sales, self.bronze_returns)
+        return marts.styles_of(rows, self.products, self.stores)
 
     @cached_property
     def inventory_health(self) -> DataFrame:
@@ -564,7 +569,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "revenue_by_category": lambda k: storefront.revenue_by_category(k.daily_sales, DAYS),
     "returns_by_reason": lambda k: storefront.returns_by_reason(k.returns_analysis),
     "inventory_by_status": lambda k: storefront.inventory_by_status(k.inventory_health),
-    "top_styles": lambda k: storefront.top_styles(marts.style_sales(k.sales, k.returns, k.products, k.stores)),
+    "top_styles": lambda k: storefront.top_styles(k.style_sales),
     "worst_size_style": lambda k: storefront.worst_size_style(k.size_curve),
     "size_curve_for_style": lambda k: storefront.size_curve_for_style(k.size_curve, "STY0005"),
     "inventory_lines": lambda k: storefront.inventory_lines(k.inventory_health),
