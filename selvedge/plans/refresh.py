@@ -29,10 +29,13 @@ def _returns(spark: SparkSession, root: str) -> DataFrame:
 def build_net_lake(
     sales: DataFrame, returns: DataFrame, products: DataFrame, stores: DataFrame, root: str, batch_id: str = "first"
 ) -> None:
-    """Good sales net of good returns, and daily sales, by day."""
+    """Good sales net of good returns, and daily sales, by day.
+
+    Net sales are not moved once more to lie together by day: each task of the join writes its part of every day.
+    """
     spark = sales.sparkSession
     _put_returns(returns, root, batch_id)
-    write_days(silver.net_sales(sales, _returns(spark, root)).hint("rebalance", F.col("sale_date")), f"{root}/sales", DAY)
+    write_days(silver.net_sales(sales, _returns(spark, root)), f"{root}/sales", DAY)
     write_days(marts.daily_sales(read_days(spark, f"{root}/sales"), products, stores), f"{root}/daily_sales", DAY)
 
 

@@ -38,7 +38,7 @@ class Lake(Retail):
 
     @cached_property
     def good_sales(self) -> DataFrame:
-        return passed(self.checked_sales)
+        return silver.good_sales(self.bronze_sales, self.products)
 
     @cached_property
     def checked_returns(self) -> DataFrame:
@@ -445,11 +445,11 @@ def _late_returns(lake: Lake) -> DataFrame:
 def _late_returns_files(lake: Lake) -> DataFrame:
     """Late returns of three days of sales: which days of sales and mart kept their files."""
     root = run_dir(lake.spark, "late-returns-files")
-    early = F.col("sale_date") <= F.lit("2026-08-03").cast("date")
-    of_early = lake.good_sales.filter(early).select("transaction_id").distinct().withColumn("early", F.lit(True))
-    # Checked and told apart once.
-    returns = stage(lake.returns.select("transaction_id", "quantity").join(of_early, "transaction_id", "left"), "good-returns")
-    few, rest = returns.filter("early"), returns.filter("early IS NULL")
+    # A transaction has a sale that early if its first sale is, which the check of its returns finds.
+    early = F.coalesce(F.col("_sale_date") <= F.lit("2026-08-03").cast("date"), F.lit(False)).alias("early")
+    matched = passed(silver.check_matched(silver.match_returns(lake.bronze_returns, lake.good_sales)))
+    returns = stage(matched.select("transaction_id", "quantity", early), "good-returns")
+    few, rest = returns.filter("early"), returns.filter("NOT early")
     refresh.build_net_lake(lake.good_sales, rest, lake.products, lake.stores, root)
     before = {t: [tuple(r) for r in _file_days(lake, f"{root}/{t}").collect()] for t in ("sales", "daily_sales")}
     refresh.add_returns(few, lake.products, lake.stores, root, "late")

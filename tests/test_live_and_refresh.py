@@ -334,3 +334,27 @@ def test_styles_of_rows_side_by_side_are_those_of_both_streams(spark):
     came = spark.createDataFrame([("t", "b", day(3), 1, None), ("t", "b", day(2), 1, None), ("x", "b", day(5), 1, None), ("t", "b", day(5), 1, "{}")], bronze.schema)
     seen = silver.sales_beside_returns(one, came)
     assert sorted((r.sku, r.quantity, r.kept_quantity, r.net_revenue, r._sold) for r in seen.collect()) == [("a", 3, 2, 10.0, True), ("b", 1, None, None, None)]
+
+
+def test_sales_of_the_net_lake_travel_once(spark, tmp_path):
+    """With joins shuffled a sale is moved to its returns and from there written into its day."""
+    from test_landing import shuffled
+
+    wide = spark.range(0, 4000, 1, 4).selectExpr(
+        "concat('t', id) AS transaction_id", "cast(id % 50 as string) AS sku", "'1' AS store_id",
+        "date_add(DATE'2026-08-01', cast(id % 3 as int)) AS sale_date", "2 AS quantity", "5D AS unit_price", "10D AS gross_amount",
+        "10D AS net_amount", "0D AS discount_amount", "concat(sha2(cast(id as string), 512), sha2(cast(-id as string), 512)) AS more",
+    )
+    back = spark.range(0, 4000, 10).selectExpr("concat('t', id) AS transaction_id", "1 AS quantity")
+    products = spark.range(50).selectExpr("cast(id as string) AS sku", "'c' AS category", "1D AS cost_price")
+    stores = spark.createDataFrame([("1", "online")], "store_id string, channel string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        refresh.build_net_lake(wide, back, products, stores, str(tmp_path))
+        assert shuffled(spark) - before < 4000 * 256 * 1.7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32MB")
+    daily = sorted((str(r.sale_date)[-1], r.units_sold, r.units_kept, r.transactions, r.cost_of_goods) for r in refresh.daily_sales_now(spark, str(tmp_path)).collect())
+    assert daily == [("1", 2668, 2534, 1334, 2534.0), ("2", 2666, 2533, 1333, 2533.0), ("3", 2666, 2533, 1333, 2533.0)]
+    assert refresh.net_sales_now(spark, str(tmp_path)).filter("length(more) = 256").count() == 4000

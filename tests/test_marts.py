@@ -182,3 +182,31 @@ def test_kpis_cover_the_days_asked_for(spark):
     assert rows(storefront.revenue_by_category(daily, 0)) == [("Tops", 100.0), ("Shoes", 0.0)]
     only_shoes = storefront.kpis(daily.filter("category = 'Shoes'"), 7).first()
     assert (only_shoes["margin_pct"], only_shoes["discount_pct"]) == (None, None)
+
+
+def test_daily_sales_count_transactions_beside_their_sums(spark):
+    made = [("t1", "a", 1, 5.0), ("t1", "a", 2, 5.0), ("t1", "b", 1, None), ("t2", "a", None, 3.0), (None, "a", 4, 1.0), (None, "a", 4, 1.0)]
+    sales = spark.createDataFrame(made, "transaction_id string, sku string, quantity int, net_revenue double").selectExpr(
+        "*", "'1' AS store_id", "DATE'2026-08-01' AS sale_date", "cast(quantity as bigint) AS kept_quantity", "6D AS gross_amount",
+        "cast(NULL as double) AS discount_amount",
+    )
+    products = spark.createDataFrame([("a", "x", 2.0), ("b", "y", 1.0)], "sku string, category string, cost_price double")
+    stores = spark.createDataFrame([("1", "online")], "store_id string, channel string")
+    shown = "category", "units_sold", "units_kept", "gross_amount", "discount_amount", "net_revenue", "cost_of_goods", "transactions"
+    got = marts.daily_sales(sales, products, stores).select(*shown)
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 11, 11, 30.0, None, 15.0, 22.0, 2), ("y", 1, 1, 6.0, None, None, 1.0, 1)]
+
+
+def test_good_sales_are_those_the_rules_pass(spark):
+    from itertools import product
+
+    from selvedge.operators.quality import passed
+    from selvedge.plans import silver
+
+    kinds = product(["a", "z", None], [1, 0, None], [9.0, 12.0, -1.0, None], [10.0, None], [0.1, 0.95, None], [None, "{}"], ["2026-08-01T10:00:00", "never"])
+    made = [(f"t{n}", "1", *k) for n, k in enumerate(kinds)]
+    bronze = spark.createDataFrame(made, "transaction_id string, store_id string, sku string, quantity int, unit_price double, list_price double, discount_pct double, _rescued_data string, sold_at string")
+    products = spark.createDataFrame([("a",), ("a",), (None,)], "sku string")
+    told, got = passed(silver.check_sales(bronze, products)), silver.good_sales(bronze, products)
+    assert got.columns == told.columns and got.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, told.collect()))
